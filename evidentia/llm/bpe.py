@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 
 from evidentia.llm.common import gathered, list_array, ragged, take_ragged
 
-BATCH_BYTES = 24 << 20
-CACHE_ENTRIES = 1_000_000
+BATCH_BYTES = 6 << 20
+CACHE_ENTRIES = 250_000
 NONE, NEVER = 1 << 31, 1 << 30
 
 
