@@ -12,6 +12,7 @@ from evidentia.llm.bpe import bpe_encode
 from evidentia.llm.common import shared_dir
 from evidentia.llm.fingerprint import fingerprint_edits
 from evidentia.llm.simhash import simhash_components
+from evidentia.llm.substring_dedup import substring_dedup
 from evidentia.llm.token_files import encode_sorted, token_positions, write_tokens
 from evidentia.llm.url_filter import url_filter
 
@@ -81,6 +82,34 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"), window=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM words WHERE len(w) >= 13)
+), marked AS (
+  SELECT s.doc_id, s.i FROM starts s JOIN (SELECT win, min(doc_id) AS m FROM starts GROUP BY win) f
+    ON s.win = f.win WHERE f.m < s.doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM marked, (SELECT unnest(generate_series(0, 12)) AS k) ks
+), places AS (
+  SELECT doc_id, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM words WHERE len(w) > 0
+), kept AS (
+  SELECT pl.doc_id, string_agg(pl.word, ' ' ORDER BY pl.p) AS t, count(*) AS n
+  FROM places pl LEFT JOIN gone g ON pl.doc_id = g.doc_id AND pl.p = g.p WHERE g.p IS NULL GROUP BY pl.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.t, '')) AS kept_sha256
+FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -96,6 +125,7 @@ def queries() -> dict[str, Query]:
         "op1_simhash": op1_simhash,
         "op2_url_filter": op2_url_filter,
         "op5_bpe": op5_bpe,
+        "op6_substring_dedup": op6_substring_dedup,
         "op9_fingerprint": op9_fingerprint,
         "op10_token_files": op10_token_files,
     }
@@ -104,4 +134,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": OP2_SQL,
+        "op6_substring_dedup": OP6_SQL,
     }
