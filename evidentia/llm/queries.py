@@ -13,6 +13,7 @@ from evidentia.llm.common import shared_dir
 from evidentia.llm.fingerprint import fingerprint_edits
 from evidentia.llm.simhash import simhash_components
 from evidentia.llm.substring_dedup import substring_dedup
+from evidentia.llm.suffix_dedup import suffix_dedup
 from evidentia.llm.token_files import encode_sorted, token_positions, write_tokens
 from evidentia.llm.url_filter import url_filter
 
@@ -110,6 +111,14 @@ FROM words d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"), window=50)
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -126,6 +135,7 @@ def queries() -> dict[str, Query]:
         "op2_url_filter": op2_url_filter,
         "op5_bpe": op5_bpe,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_fingerprint": op9_fingerprint,
         "op10_token_files": op10_token_files,
     }
