@@ -1,12 +1,12 @@
 """SimHash near-dedup by anchor-point covering.
 
-A fingerprint has 64 bits in three blocks. Two fingerprints at ``4`` or fewer
-differing bits differ in one bit at most within some block. The anchors of a
-block are the words of a covering code of radius 1: the Hamming [15, 11] code
-over its first fifteen bits, all words over the others. A fingerprint's home
-is the anchor within 1; it is replicated to every anchor within 1 + 1. So the
-home of one of the two holds a replica of the other, and a link is found
-where it is compared with its home's replicas.
+A fingerprint has 64 bits in three blocks. Two fingerprints at ``most`` or
+fewer differing bits differ in ``most // 3`` bits at most within some block.
+The anchors of a block are the words of a covering code of radius 1: the
+Hamming [15, 11] code over its first fifteen bits, all words over the others.
+A fingerprint's home is the anchor within 1; it is replicated to every anchor
+within 1 + ``most // 3``. So the home of one of the two holds a replica of the
+other, and a link is found where it is compared with its home's replicas.
 
 Within an anchor, links are reduced to a spanning forest before they leave
 the task; components are found over these edges, never over all pairs.
@@ -15,6 +15,9 @@ the task; components are found over these edges, never over all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from itertools import combinations
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -70,32 +73,28 @@ def fingerprints(docs: DataFrame, width: int = 4, key: str = "doc_id", text: str
     return docs.select(key, text).mapInArrow(run, "doc_id long, fp long")
 
 
-def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each 15-bit word: its home, and the code words within 2 with distances."""
+@lru_cache
+def _code(radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each 15-bit word: its home, and the code words within ``radius``."""
     words = np.arange(1 << CODE_BITS)
     syndrome = np.zeros(len(words), np.int64)
     for bit in range(CODE_BITS):
         syndrome ^= np.where(words >> bit & 1, bit + 1, 0)
     home = np.where(syndrome == 0, words, words ^ (1 << np.maximum(syndrome - 1, 0)))
     found = [(words, home, (syndrome > 0).astype(np.int64))]
-    for a in range(CODE_BITS):
-        for b in range(a + 1, CODE_BITS):
-            # Two flips reach a code word if their columns sum to the syndrome.
-            at = words[syndrome == (a + 1) ^ (b + 1)]
-            found.append((at, at ^ (1 << a | 1 << b), np.full(len(at), 2)))
+    for flips in range(2, radius + 1):
+        for bits in combinations(range(CODE_BITS), flips):
+            # Flips reach a code word if their columns sum to the syndrome.
+            at = words[syndrome == reduce(xor, (b + 1 for b in bits))]
+            found.append((at, at ^ sum(1 << b for b in bits), np.full(len(at), flips)))
     which, near, far = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(which, kind="stable")
     return home, near[order], far[order], ragged(np.bincount(which, minlength=len(words)))
 
 
-_TABLES: list = []
-
-
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(fp: np.ndarray, radius: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor key, is home) of every replica of the fingerprints."""
-    if not _TABLES:
-        _TABLES.extend(_code())
-    home, near, far, bounds = _TABLES
+    home, near, far, bounds = _code(radius)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for block, (low, width) in enumerate(BLOCKS):
         bits = (fp >> np.uint64(low) & np.uint64((1 << width) - 1)).astype(np.int64)
@@ -103,9 +102,10 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = np.diff(bounds)[code]
         row = np.repeat(np.arange(len(fp)), size)
         anchor, distance = take_ragged(near, bounds[code], size), take_ragged(far, bounds[code], size)
-        for flips in range(3):
-            for mask in _masks(width - CODE_BITS, flips):
-                ok = distance + flips <= 2
+        for flips in range(radius + 1):
+            ok = distance + flips <= radius
+            for bits_ in combinations(range(width - CODE_BITS), flips):
+                mask = sum(1 << b for b in bits_)
                 r, a = row[ok], anchor[ok]
                 f = free[r] ^ mask
                 key = block << 40 | f << CODE_BITS | a
@@ -113,14 +113,6 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _masks(width: int, flips: int) -> list[int]:
-    if flips == 0:
-        return [0]
-    if flips == 1:
-        return [1 << i for i in range(width)]
-    return [1 << i | 1 << j for i in range(width) for j in range(i + 1, width)]
-
-
 def _forest(fp: np.ndarray, home: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links that a home is part of.
 
@@ -176,21 +168,24 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.nd
 def fingerprint_links(reps: DataFrame, most: int = 4, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """Edges (a, b) between nodes that join all fingerprints within ``most`` bits.
 
-    ``reps``: one row for each distinct ``fp``, with its ``node``. Complete for
-    up to 4 bits. An anchor of over ``split_above`` replicas is compared by
+    ``reps``: one row for each distinct ``fp``, with its ``node``. Replicas of a
+    fingerprint: about 45 for up to 5 bits, 300 for up to 8. An anchor of over ``split_above`` replicas is compared by
     several tasks: each gets all replicas and a part of the homes.
     """
-    if not 0 <= most <= 4:
-        raise ValueError("the anchors cover distances of 0 to 4")
+    if not 0 <= most <= 8:
+        raise ValueError("the anchors cover distances of 0 to 8")
+    radius = 1 + max(1, most // 3)
     spark = reps.sparkSession
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp, node = np.asarray(batch.column("fp")), np.asarray(batch.column("node"))
-            for a in range(0, len(fp), 8192):
-                row, key, home = anchors(fp[a : a + 8192].view(np.uint64))
+            size = 8192 if radius < 3 else 1024
+            for a in range(0, len(fp), size):
+                z = a + size
+                row, key, home = anchors(fp[a:z].view(np.uint64), radius)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(fp[a : a + 8192][row]), pa.array(node[a : a + 8192][row]), pa.array(home)],
+                    [pa.array(key), pa.array(fp[a:z][row]), pa.array(node[a:z][row]), pa.array(home)],
                     names=["key", "fp", "node", "home"],
                 )
 
