@@ -5,15 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.bpe import bpe_encode
 from evidentia.llm.common import shared_dir
+from evidentia.llm.decontaminate import contaminated
 from evidentia.llm.fingerprint import fingerprint_edits
+from evidentia.llm.quality import fit_quality, held_out, score_quality
 from evidentia.llm.simhash import simhash_components
 from evidentia.llm.substring_dedup import substring_dedup
 from evidentia.llm.suffix_dedup import suffix_dedup
+from evidentia.llm.token_counts import token_counts
 from evidentia.llm.token_files import encode_sorted, token_positions, write_tokens
 from evidentia.llm.url_filter import url_filter
 
@@ -73,6 +76,30 @@ FROM judged
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def example_edits() -> Column:
+    """Three edits of every document: words are repeated in its middle, a space
+    and what stands around it goes, and its last tenth is cut off."""
+
+    def edit(start: str, stop: str, text: str) -> Column:
+        return F.expr(f"struct(cast({start} as int) as start, cast({stop} as int) as stop, {text} as text)")
+
+    n = "length(coalesce(text, ''))"
+    return F.array(
+        edit(f"{n} div 2", f"{n} div 2", "substring(coalesce(text, ''), 1, 30)"),
+        edit(f"{n} div 3", f"{n} div 3 + 2", "''"),
+        edit(f"{n} - {n} div 10", "2147483647", "cast(null as string)"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("edits", example_edits())
+    return token_counts(docs, word_bpe(), edits="edits")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe_encode(table(spark, sf_dir, "documents"), word_bpe(), decoded="decoded")
     return out.select(
@@ -119,6 +146,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -133,9 +168,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op2_url_filter": op2_url_filter,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_token_counts": op4_token_counts,
         "op5_bpe": op5_bpe,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_quality": op8_quality,
         "op9_fingerprint": op9_fingerprint,
         "op10_token_files": op10_token_files,
     }
