@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Bound of the labelled rows that a model is fitted on.
 SAMPLE_ROWS = 20_000
-BINS, PAIR_BINS = 32, 8
+BINS, PAIR_BINS = 24, 12
 ROUNDS, PAIR_ROUNDS, PAIRS, RATE = 150, 60, 10, 0.15
 RIDGE = 5.0
 
@@ -87,11 +87,12 @@ class Gam:
 
 
 def _cuts(x: np.ndarray, bins: int) -> np.ndarray:
-    """Bin edges: quantiles of the distinct ranks, so rare values get bins too."""
+    """Bin edges: quantiles of the rows and of the distinct values, so that rare
+    values get bins too."""
     low = np.quantile(x, np.arange(1, bins) / bins, method="lower")
     values = np.unique(x)
     spread = values[np.linspace(0, len(values) - 1, bins).astype(int)[1:]]
-    return np.unique(np.concatenate([low[::2], spread[::2]]))
+    return np.unique(np.concatenate([low, spread]))
 
 
 def _gain(g: np.ndarray, h: np.ndarray) -> np.ndarray:
