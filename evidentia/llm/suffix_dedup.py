@@ -2,7 +2,7 @@
 
 Every slice of input sorts its suffixes into a run and front-codes it: each
 suffix is sent as the length of the prefix that it shares with the one before,
-and the rest. The exchange deals runs by the suffixes' first ``gram`` bytes,
+and the rest, compressed. The exchange deals runs by the suffixes' first ``gram`` bytes,
 so equal beginnings meet. There, a tree of losers merges the runs. It keeps,
 for each loser, how much of it equals the last winner; these lengths mostly
 decide a match by themselves, and where they tie, comparison starts behind
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from evidentia.llm.common import gathered, partitions, ragged, take_ragged
@@ -128,7 +129,10 @@ def _front_coded(part, right, length, back, left, doc, mark, place) -> pa.Record
     ]
     names = ["lcp", "rest", "length", "left", "lefts", "count", "doc", "mark", "place"]
     return pa.RecordBatch.from_arrays(
-        [pa.array([part], pa.int32()), pa.array([len(rows)], pa.int32()), *[pa.array([v.tobytes()], pa.binary()) for v in values]],
+        [
+            pa.array([part], pa.int32()), pa.array([len(rows)], pa.int32()),
+            *[pa.array([zstandard.compress(v.tobytes(), 3)], pa.binary()) for v in values],
+        ],
         names=["part", "n", *names],
     )
 
@@ -248,13 +252,14 @@ def repeated_byte_spans(rows: DataFrame, window: int, gram: int = 16, filter_bit
     if not gram <= window < 256:
         raise ValueError("a window has between a gram and 255 bytes")
     shape, spark = Shape(window, gram), rows.sparkSession
-    parts = 4 * partitions(spark)
+    parts = partitions(spark)
     bitmap = shared_anchors(rows, read_bytes, _hashed, shape, filter_bits, "doc", "text")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
+                row = {k: zstandard.decompress(v) if isinstance(v, bytes) else v for k, v in row.items()}
                 if held and row["part"] != held[0]["part"]:
                     yield _merged_spans(held, shape)
                     held = []
