@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from evidentia.llm.common import gathered, partitions
 
 #: Text of one slice, within which anchors and surroundings are made distinct.
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 12 << 20
 #: Text whose positions are looked at together.
 PIECE = 3 << 20
 _POS = 24

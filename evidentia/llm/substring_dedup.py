@@ -24,9 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import gathered, partitions, ragged
+from evidentia.llm.common import gathered, list_array, partitions, ragged, stored, take_ragged
 from evidentia.llm.repeats import (
-    SLICE_BYTES,
     Shape,
     common_prefix,
     find_anchors,
@@ -38,7 +37,9 @@ from evidentia.llm.repeats import (
 )
 
 FILTER_BITS = 27
-#: Suffixes of one group, and of one prefix before it is grouped by windows.
+SLICE_BYTES = 8 << 20
+#: Suffixes of one group, and suffixes and documents of one prefix before it is
+#: grouped by windows.
 GROUP_ROWS = 60_000
 HOT_PREFIX = 200_000
 
@@ -69,41 +70,65 @@ def _same(symbols: np.ndarray) -> np.ndarray:
 ROWS = "prefix long, left int, words binary, docs array<long>, marks array<int>, places array<int>"
 
 
+def _distinct(numbers: np.ndarray, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray, left: np.ndarray):
+    """Class of each stretch (equal words and left sides), and a row of each class.
+
+    Stretches are grouped by a polynomial hash and then compared with the first
+    of their group; one that differs is a class of its own.
+    """
+    power = np.full(len(numbers) + 1, np.uint64(0x9E3779B97F4A7C15))
+    power[0] = 1
+    power = np.cumprod(power)
+    back = np.full(len(numbers) + 1, np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+    back[0] = 1
+    back = np.cumprod(back)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes[numbers] * power[:-1])])
+    key = ((sums[stop] - sums[start]) * back[start]) ^ (stop - start).astype(np.uint64)
+    order = np.lexsort((left, key))
+    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (left[order][1:] != left[order][:-1])])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    first = order[new]
+    size = stop - start
+    same = size == size[first[group]]
+    check = np.flatnonzero(same & (first[group] != np.arange(len(group))))
+    if len(check):
+        one = take_ragged(numbers, start[check], size[check])
+        two = take_ragged(numbers, start[first[group[check]]], size[check])
+        same[check] = np.logical_and.reduceat(one == two, ragged(size[check])[:-1])
+    odd = np.flatnonzero(~same)
+    group[odd] = len(first) + np.arange(len(odd))
+    return group, np.concatenate([first, odd])
+
+
 def _suffixes(docs: DataFrame, shape: Shape, bitmap, filter_bits: int) -> DataFrame:
     """Surroundings of the anchors in the filter, distinct within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
         for table in gathered(batches, "text", SLICE_BYTES):
-            ids, marks = table.column("doc").to_pylist(), table.column("mark").to_pylist()
+            ids, marks = table.column("doc").to_numpy(), table.column("mark").to_numpy()
             numbers, offsets, words = read_words(table.column("text"))
             hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-            found: dict[tuple, tuple] = {}
-            begin = offsets.tolist()
+            kept: list[tuple] = []
             for a in find_anchors(numbers, offsets, shape, lambda s: hashes[s]):  # noqa: B023
                 hit = in_filter(a.id, bits, filter_bits)
-                prefix = a.id[hit].view(np.int64).tolist()
-                for p, at, first, last, d in zip(prefix, *(x[hit].tolist() for x in (a.at, a.first, a.last, a.doc)), strict=True):
-                    part = numbers[first : last + shape.window]
-                    key = (at - first, part.tobytes())
-                    row = found.get(key)
-                    if row is None:
-                        row = found[key] = (p, [], [], [])
-                    row[1].append(ids[d])
-                    row[2].append(marks[d])
-                    row[3].append(at - begin[d])
-            if not found:
+                kept.append((a.id[hit], a.at[hit], a.first[hit], a.last[hit] + shape.window, a.doc[hit]))
+            if not sum(len(k[0]) for k in kept):
                 continue
-            text = [b" ".join(map(words.__getitem__, np.frombuffer(k[1], np.int64).tolist())) for k in found]
-            rows = list(found.values())
+            prefix, at, start, stop, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
+            group, row = _distinct(numbers, hashes, start, stop, at - start)
+            order = np.argsort(group, kind="stable")
+            bounds = ragged(np.bincount(group, minlength=len(row)))
+            text = [
+                b" ".join(map(words.__getitem__, numbers[a:b].tolist()))
+                for a, b in zip(start[row].tolist(), stop[row].tolist(), strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([k[0] for k in found], pa.int32()),
-                    pa.array(text, pa.binary()),
-                    pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-                    pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-                    pa.array([r[3] for r in rows], pa.list_(pa.int32())),
+                    pa.array(prefix[row].view(np.int64)), pa.array((at - start)[row].astype(np.int32)), pa.array(text, pa.binary()),
+                    list_array(ids[doc][order], bounds), list_array(marks[doc][order].astype(np.int32), bounds),
+                    list_array((at - offsets[doc])[order].astype(np.int32), bounds),
                 ],
                 names=["prefix", "left", "words", "docs", "marks", "places"],
             )
@@ -156,29 +181,18 @@ def _span_batch(doc, mark, a, b) -> pa.RecordBatch:
 SPANS = "doc long, mark int, a long, b long"
 
 
-def _window_spans(hot: DataFrame, shape: Shape) -> DataFrame:
-    """The same for prefixes with too many suffixes: one row for each window.
-
-    The smallest doc_id of a window is a combinable aggregate, so no task holds
-    a group; the join back splits skewed windows.
-    """
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                w = r["words"].split(b" ")
-                for s in range(len(w) - shape.window + 1):
-                    text = b" ".join(w[s : s + shape.window])
-                    out += [(text, d, m, p - r["left"] + s) for d, m, p in zip(r["docs"], r["marks"], r["places"], strict=True)]
-            names = ["window", "doc", "mark", "a"]
-            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64()]
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    rows = hot.mapInArrow(windows, "window binary, doc long, mark int, a long")
-    least = rows.groupBy("window").agg(F.min("doc").alias("least"))
-    return rows.join(least, "window").where("least < doc").select("doc", "mark", "a", (F.col("a") + shape.window).alias("b"))
+def _windows(rows: list[tuple], shape: Shape) -> pa.RecordBatch:
+    """All windows of suffixes whose prefix has too many: one row for each."""
+    out: list[tuple] = []
+    for _, left, text, docs, marks, places in rows:
+        w = text.split(b" ")
+        for s in range(len(w) - shape.window + 1):
+            window = b" ".join(w[s : s + shape.window])
+            out += [(d, m, p - left + s, p - left + s + shape.window, window) for d, m, p in zip(docs, marks, places, strict=True)]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "mark", "a", "b", "window"]
+    )
 
 
 def repeated_spans(
@@ -192,30 +206,47 @@ def repeated_spans(
     shape, spark = Shape(window, gram), rows.sparkSession
     bitmap = shared_anchors(rows, _read_hashed, _same, shape, filter_bits, "doc", "text")
     suffixes = _suffixes(rows, shape, bitmap, filter_bits)
-    counts = suffixes.groupBy("prefix").agg(F.count("*").alias("n"), F.sum(F.size("docs")).alias("m"))
-    # Few by construction: at most (all suffixes) / hot_prefix.
-    hot = [r[0] for r in counts.where((F.col("n") > hot_prefix) | (F.col("m") > 5 * hot_prefix)).select("prefix").collect()]
-    common = suffixes.where(~F.col("prefix").isin(hot)) if hot else suffixes
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        hot, now, size = None, None, 0
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("prefix", "left", "words", "docs", "marks", "places")]
             for row in zip(*columns, strict=True):
-                # A group ends between two prefixes, once it is large enough.
-                if len(held) >= group_rows and row[0] != held[-1][0]:
-                    yield _tree_spans(held, shape)
-                    held = []
+                if row[0] != now:
+                    now, size = row[0], 0
+                    # A group ends between two prefixes, once it is large enough.
+                    if held and (len(held) >= group_rows or hot is not None):
+                        yield _windows(held, shape) if hot is not None else _whole(_tree_spans(held, shape))
+                        held, hot = [], None
+                    begin = len(held)
                 held.append(row)
+                size += 1 + len(row[3])
+                if size > hot_prefix and hot is None:
+                    # What came before this prefix is a group of its own.
+                    if begin:
+                        yield _whole(_tree_spans(held[:begin], shape))
+                    held, hot = held[begin:], now
+                if hot is not None and len(held) >= 5_000:
+                    yield _windows(held, shape)
+                    held = []
         if held:
-            yield _tree_spans(held, shape)
+            yield _windows(held, shape) if hot is not None else _whole(_tree_spans(held, shape))
+
+    def _whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        none = pa.nulls(batch.num_rows, pa.binary())
+        return pa.RecordBatch.from_arrays([*batch.columns, none], names=["doc", "mark", "a", "b", "window"])
 
-    spans = (
-        common.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix").mapInArrow(trees, SPANS)
+    found = stored(
+        suffixes.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix").mapInArrow(trees, f"{SPANS}, window binary"),
+        "substring-spans",
     )
-    if hot:
-        spans = spans.unionByName(_window_spans(suffixes.where(F.col("prefix").isin(hot)), shape))
-    return spans
+    # The smallest doc_id of a window is a combinable aggregate, so no task
+    # holds a hot group; the join back splits skewed windows.
+    hot = found.where("window is not null")
+    least = hot.groupBy("window").agg(F.min("doc").alias("least"))
+    repeated = hot.join(least, "window").where("least < doc")
+    return found.where("window is null").drop("window").unionByName(repeated.select("doc", "mark", "a", "b"))
 
 
 def with_mark(docs: DataFrame, key: str, text: str) -> DataFrame:
