@@ -35,8 +35,9 @@ from evidentia.llm.common import (
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))
 CODE_BITS = 15
-#: Replicas an anchor may have before its homes are dealt to several tasks.
-SPLIT_ABOVE = 20_000
+#: Fingerprints at home in an anchor, before they are dealt to several tasks.
+SPLIT_ABOVE = 5_000
+_PARTS = 8192
 _PAIRS = 1 << 20
 
 
@@ -165,70 +166,75 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.nd
     return pairs[0], pairs[1]
 
 
-def fingerprint_links(reps: DataFrame, most: int = 4, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Edges (a, b) between nodes that join all fingerprints within ``most`` bits.
+def fingerprint_links(prints: DataFrame, most: int = 4, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Edges (a, b) that join all distinct fingerprints (``fp``) within ``most`` bits.
 
-    ``reps``: one row for each distinct ``fp``, with its ``node``. Replicas of a
-    fingerprint: about 45 for up to 5 bits, 300 for up to 8. An anchor of over ``split_above`` replicas is compared by
-    several tasks: each gets all replicas and a part of the homes.
+    Replicas of a fingerprint: about 45 for up to 5 bits, 300 for up to 8. An
+    anchor that is home to over ``split_above`` is compared by several tasks:
+    each gets all replicas and a part of those at home.
     """
     if not 0 <= most <= 8:
         raise ValueError("the anchors cover distances of 0 to 8")
     radius = 1 + max(1, most // 3)
-    spark = reps.sparkSession
+    spark = prints.sparkSession
+    prints = prints.select("fp")
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, key, home = anchors(np.asarray(batch.column("fp")).view(np.uint64), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key[home])], names=["key"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = 8192 if radius < 3 else 1024
         for batch in batches:
-            fp, node = np.asarray(batch.column("fp")), np.asarray(batch.column("node"))
-            size = 8192 if radius < 3 else 1024
-            for a in range(0, len(fp), size):
-                z = a + size
-                row, key, home = anchors(fp[a:z].view(np.uint64), radius)
+            fp = np.asarray(batch.column("fp"))
+            for a in range(0, len(fp), step):
+                row, key, home = anchors(fp[a : a + step].view(np.uint64), radius)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(fp[a:z][row]), pa.array(node[a:z][row]), pa.array(home)],
-                    names=["key", "fp", "node", "home"],
+                    [pa.array(key), pa.array(fp[a : a + step][row]), pa.array(home)], names=["key", "fp", "home"]
                 )
 
-    rows = reps.select("fp", "node").mapInArrow(replicate, "key long, fp long, node long, home boolean")
-    # At most total / split_above anchors are hot; they are a small table.
+    # At most 3 * fingerprints / split_above anchors are hot: a small table.
     hot = (
-        rows.groupBy("key").count().where(F.col("count") > split_above)
+        prints.mapInArrow(at_home, "key long").groupBy("key").count().where(F.col("count") > split_above)
         .select(F.col("key").alias("hot"), F.ceil(F.col("count") / split_above).cast("int").alias("parts"))
     )
-    rows = rows.join(hot, rows["key"] == hot["hot"], "left").select("key", "fp", "node", "home", F.coalesce("parts", F.lit(1)).alias("parts"))
-    dealt = rows.select(
-        "key", "fp", "node", "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts"
-    ).withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("parts")) == F.col("part")))
-    sorted_ = dealt.drop("parts").repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part")
+    rows = prints.mapInArrow(replicate, "key long, fp long, home boolean")
+    dealt = rows.join(hot, F.col("key") == F.col("hot"), "left").select(
+        "key", "fp", "home", F.coalesce("parts", F.lit(1)).alias("parts"),
+        F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
+    )
+    # One number names the anchor, the part and whether the row is at home there.
+    own = F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("parts")) == F.col("part"))
+    packed = dealt.select(((F.col("key") * _PARTS + F.col("part")) * 2 + own.cast("long")).alias("at"), "fp")
+    ordered = packed.repartition(partitions(spark), F.shiftright("at", 1)).sortWithinPartitions("at")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows_held = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def links(table: pa.Table) -> pa.RecordBatch:
-            key, part, fp, node, home = (table.column(c).to_numpy() for c in ("key", "part", "fp", "node", "home"))
-            a, b = _bucket_links(key * 8192 + part, fp.view(np.uint64), node, home, most)
+        def links() -> pa.RecordBatch:
+            at, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, b = _bucket_links(at >> 1, fp.view(np.uint64), fp, (at & 1).astype(bool), most)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            key = np.asarray(batch.column("key")) * 8192 + np.asarray(batch.column("part"))
-            if not len(key):
+            at, fp = np.asarray(batch.column("at")), np.asarray(batch.column("fp"))
+            if not len(at):
                 continue
+            if held and held[-1][0][-1] >> 1 != at[0] >> 1:
+                yield links()
+                held.clear()
             # The last anchor of a batch may go on in the next one.
-            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-            first = held and (held[-1].column("key")[-1].as_py() * 8192 + held[-1].column("part")[-1].as_py())
-            if held and first != key[0]:
-                yield links(pa.Table.from_batches(held))
-                held, rows_held = [], 0
+            cut = int(np.searchsorted(at, (at[-1] >> 1) << 1))
             if cut:
-                yield links(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held, rows_held = [], 0
-            held.append(batch.slice(cut))
-            rows_held += batch.num_rows - cut
+                held.append((at[:cut], fp[:cut]))
+                yield links()
+                held.clear()
+            held.append((at[cut:], fp[cut:]))
         if held:
-            yield links(pa.Table.from_batches(held))
+            yield links()
 
-    return sorted_.mapInArrow(compare, "a long, b long")
+    return ordered.mapInArrow(compare, "a long, b long")
 
 
 def simhash_components(
@@ -246,9 +252,10 @@ def simhash_components(
     prints = stored(fingerprints(docs, width, key, text), "simhash")
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "simhash-classes")
     components = connected_components(fingerprint_links(reps, most))
-    named = reps.join(components, "node", "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id")
+    grouped = reps.join(components, F.col("fp") == components["node"], "left").select(
+        F.col("fp").alias("_fp"), reps["node"].alias("least"), F.coalesce("component", "fp").alias("group")
     )
+    named = grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("_fp", "component_id")
     return prints.join(named, F.col("fp") == F.col("_fp"), "left").select(
         F.col("doc_id").alias(key),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
