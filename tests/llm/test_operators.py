@@ -70,7 +70,8 @@ def test_simhash_components_equal_brute_force(spark):
     assert {r[0]: tuple(r[1:]) for r in got if r[0] is not None} == want
 
 
-def test_simhash_finds_every_pair_within_four_bits(spark):
+@pytest.mark.parametrize("most", [4, 8])
+def test_simhash_finds_every_pair_within_the_distance(spark, most):
     """Random fingerprints with planted distances, one dense group, split anchors."""
     import numpy as np
 
@@ -81,14 +82,15 @@ def test_simhash_finds_every_pair_within_four_bits(spark):
     fps = [rng.getrandbits(64) for _ in range(150)]
     for x in list(fps):
         y = x
-        for b in rng.sample(range(64), rng.randrange(1, 7)):
+        for b in rng.sample(range(64), rng.randrange(1, 11)):
             y ^= 1 << b
         fps.append(y)
     centre = rng.getrandbits(64)
     fps += [centre ^ sum(1 << b for b in rng.sample(range(64), 3)) for _ in range(150)]
     fps = sorted(set(fps))
     signed = [int(np.uint64(x).view(np.int64)) for x in fps]
-    reps = spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp long, node long")
+    number = dict(zip(signed, range(len(fps)), strict=True))
+    prints = spark.createDataFrame([(x,) for x in signed], "fp long")
     parent = list(range(len(fps)))
 
     def root(x):
@@ -98,14 +100,18 @@ def test_simhash_finds_every_pair_within_four_bits(spark):
 
     for a in range(len(fps)):
         for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= 4:
+            if (fps[a] ^ fps[b]).bit_count() <= most:
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    want = {i: root(i) for i in range(len(fps)) if any(root(j) == root(i) for j in range(len(fps)) if j != i)}
+    groups = {frozenset(j for j in range(len(fps)) if root(j) == root(i)) for i in range(len(fps))}
+    want = {g for g in groups if len(g) > 1}
     for split in (20_000, 5):
-        links = fingerprint_links(reps, 4, split_above=split)
-        assert all((fps[a] ^ fps[b]).bit_count() <= 4 for a, b in links.collect())
-        assert {r["node"]: r["component"] for r in connected_components(links).collect()} == want
+        links = fingerprint_links(prints, most, split_above=split)
+        assert all((fps[number[a]] ^ fps[number[b]]).bit_count() <= most for a, b in links.collect())
+        got = {}
+        for r in connected_components(links).collect():
+            got.setdefault(r["component"], set()).add(number[r["node"]])
+        assert set(map(frozenset, got.values())) == want
 
 
 def test_simhash_dedup_keeps_all_columns_and_one_of_each(spark):
