@@ -44,7 +44,7 @@ ID_BITS = 47
 
 @dataclass(frozen=True)
 class Shape:
-    """Windows of ``window`` symbols, anchors of ``gram`` (a power of two)."""
+    """Windows of ``window`` symbols, anchors of ``gram`` symbols."""
 
     window: int
     gram: int
@@ -65,13 +65,20 @@ class Anchors:
     id: np.ndarray
 
 
+def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    h = left * _MIX + (right ^ (right >> np.uint64(31))) * _MORE
+    h ^= h >> np.uint64(29)
+    return h
+
+
 def _gram_hash(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every ``k`` symbols in a row, by doubling."""
     h, step = symbols, 1
-    while step < k:
-        left, right = h[:-step], h[step:]
-        h = left * _MIX + (right ^ (right >> np.uint64(31))) * _MORE
-        h ^= h >> np.uint64(29)
+    while step * 2 <= k:
+        h = _join(h[:-step], h[step:])
         step *= 2
+    if rest := k - step:
+        h = _join(h[:-rest], h[rest:])
     return h
 
 
@@ -136,13 +143,13 @@ def shared_anchors(
 ) -> Broadcast:
     """Bitmap of the anchors that at least two documents hold, broadcast.
 
-    It has ``2**filter_bits`` bits whatever the input: that is the bound of
-    what the driver gathers. Each slice sends an anchor once (six bytes, in
+    A Bloom filter of ``2**filter_bits`` bits, two for each id, whatever
+    the input: that is the bound of what the driver gathers. Each slice sends an anchor once (six bytes, in
     one row for each part of the id space), with a mark if the slice alone
     has it in two documents.
     """
     spark = docs.sparkSession
-    part_bits = max(4, (partitions(spark) - 1).bit_length())
+    part_bits = min(filter_bits - 4, max(4, (partitions(spark) - 1).bit_length()))
     low = ID_BITS + 1 - part_bits
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +188,9 @@ def shared_anchors(
             twice = np.flatnonzero(one[1:] == one[:-1])
             shared = np.concatenate([one[twice], one[marked & np.uint64(1) == 1]])
             size = filter_bits - part_bits
-            at = (shared >> np.uint64(ID_BITS - filter_bits)) & np.uint64((1 << size) - 1)
             out = np.zeros(1 << size, bool)
-            out[at.astype(np.int64)] = True
+            for at in _places(shared, part_bits, size):
+                out[at] = True
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([np.packbits(out).tobytes()], pa.binary())], names=["part", "bits"]
             )
@@ -211,12 +218,27 @@ def shared_anchors(
     bitmap = bytearray(1 << filter_bits - 3)
     for part, slice_ in found:
         bitmap[part * size : (part + 1) * size] = slice_
-    return spark.sparkContext.broadcast(bytes(bitmap))
-
-
-def in_filter(ids: np.ndarray, bitmap: np.ndarray, filter_bits: int) -> np.ndarray:
-    at = (ids >> np.uint64(64 - filter_bits)).astype(np.int64)
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return spark.sparkContext.broadcast((part_bits, bytes(bitmap)))
+
+
+def _places(one: np.ndarray, part_bits: int, size: int) -> list[np.ndarray]:
+    """The two bits of an id within the filter's part of its id space."""
+    inner = one & np.uint64((1 << ID_BITS - part_bits) - 1)
+    first = inner >> np.uint64(ID_BITS - part_bits - size)
+    second = (inner * _MIX) >> np.uint64(64 - size)
+    return [first.astype(np.int64), second.astype(np.int64)]
+
+
+def in_filter(ids: np.ndarray, shared: tuple[int, bytes], filter_bits: int) -> np.ndarray:
+    part_bits, bits = shared
+    bitmap = np.frombuffer(bits, np.uint8)
+    one = ids >> np.uint64(64 - ID_BITS)
+    base = (one >> np.uint64(ID_BITS - part_bits)).astype(np.int64) << (filter_bits - part_bits)
+    out = np.ones(len(ids), bool)
+    for inner in _places(one, part_bits, filter_bits - part_bits):
+        at = base + inner
+        out &= (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def prefix_class(lcp: np.ndarray, length: int) -> np.ndarray:

@@ -105,7 +105,7 @@ def _suffixes(docs: DataFrame, shape: Shape, bitmap, filter_bits: int) -> DataFr
     """Surroundings of the anchors in the filter, distinct within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        bits = bitmap.value
         for table in gathered(batches, "text", SLICE_BYTES):
             ids, marks = table.column("doc").to_numpy(), table.column("mark").to_numpy()
             numbers, offsets, words = read_words(table.column("text"))

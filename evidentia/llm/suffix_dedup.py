@@ -82,7 +82,7 @@ def _runs(rows: DataFrame, shape: Shape, bitmap, filter_bits: int, parts: int) -
     """Sorted, front-coded runs of the suffixes at the anchors in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        bits = bitmap.value
         for table in gathered(batches, "text", SLICE_BYTES):
             docs, marks = table.column("doc").to_numpy(), table.column("mark").to_numpy()
             data, offsets, _ = read_bytes(table.column("text"))
@@ -244,7 +244,7 @@ def _merged_spans(rows: list[dict], shape: Shape) -> pa.RecordBatch:
     return _span_batch(doc[hit], mark[hit], place[hit] - high[hit], place[hit] - low[hit] + shape.window)
 
 
-def repeated_byte_spans(rows: DataFrame, window: int, gram: int = 16, filter_bits: int = FILTER_BITS) -> DataFrame:
+def repeated_byte_spans(rows: DataFrame, window: int, gram: int = 24, filter_bits: int = FILTER_BITS) -> DataFrame:
     """``doc, mark, a, b``: byte spans that a window of a smaller ``doc`` covers.
 
     ``rows`` has ``doc`` (not null), ``mark`` and ``text``.
@@ -284,7 +284,7 @@ def cut_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def suffix_dedup(
-    docs: DataFrame, window: int = 50, gram: int = 16, key: str = "doc_id", text: str = "text",
+    docs: DataFrame, window: int = 50, gram: int = 24, key: str = "doc_id", text: str = "text",
     filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """Remove every byte that a repeated ``window`` of a smaller doc_id covers.
