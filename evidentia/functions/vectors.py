@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,10 +78,8 @@ def topk_many(
                 kept[j] = sorted([*kept[j], *[(-s, i) for s, i in zip(sims[near].tolist(), ids[near], strict=True)]])[:k]
         out = [(names[j], i, -s) for j, own in enumerate(kept) for s, i in own]
         columns = list(zip(*out, strict=True)) or [[], [], []]
-        yield pa.RecordBatch.from_pandas(
-            pd.DataFrame(dict(zip(("q", "id", "sim"), columns, strict=True))),
-            schema=pa.schema([("q", _arrow(q_type)), ("id", _arrow(id_type)), ("sim", pa.float64())]), preserve_index=False,
-        )
+        kinds = [_arrow(q_type), _arrow(id_type), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["q", "id", "sim"])
 
     found = rows.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).alias("vector")).mapInArrow(
         best, f"q {q_type}, id {id_type}, sim double"
