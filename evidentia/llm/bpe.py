@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evidentia.llm.common import gathered, list_array, ragged, take_ragged
+from evidentia.llm.common import gathered, list_array, ragged, take_ragged, tidy
 
 BATCH_BYTES = 6 << 20
 CACHE_ENTRIES = 250_000
@@ -415,7 +415,7 @@ def bpe_encode(
             names = [*keys, ids, *([decoded] if decoded else [])]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*keys, text).mapInArrow(encode, T.StructType(fields))
+    return docs.select(*keys, text).mapInArrow(tidy(encode), T.StructType(fields))
 
 
 def bpe_decode(
@@ -435,4 +435,4 @@ def bpe_decode(
                 [*[batch.column(n) for n in names], out], names=[*names, decoded]
             )
 
-    return encoded.select(*names).mapInArrow(decode, schema)
+    return encoded.select(*names).mapInArrow(tidy(decode), schema)

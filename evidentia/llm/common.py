@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -157,8 +159,22 @@ def connected_components(
     )
 
 
-def empty_like(schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+def tidy(mapper: Mapper) -> Mapper:
+    """The same mapper, which gives freed memory back when its task ends.
+
+    Python workers are used again by later tasks and stages; what their
+    allocators keep would count against the executor all the time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from mapper(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import gathered, ragged, take_ragged
+from evidentia.llm.common import gathered, ragged, take_ragged, tidy
 from evidentia.llm.repeats import _gram_hash
 
 WINDOW = 8
@@ -214,7 +214,7 @@ def contaminated(
     def pick(df: DataFrame, id_: str, body: str) -> DataFrame:
         return df.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.coalesce(body, F.lit("")).alias("text"))
 
-    items = pick(benchmark, item_key, item_text).mapInArrow(item_rows, _ROWS)
+    items = pick(benchmark, item_key, item_text).mapInArrow(tidy(item_rows), _ROWS)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << FILTER_BITS, bool)
@@ -225,7 +225,7 @@ def contaminated(
 
     # A filter of fixed size (half a megabyte) is what tasks are sent.
     bitmap = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for (part,) in items.select("hash").mapInArrow(bits, "bits binary").toLocalIterator():
+    for (part,) in items.select("hash").mapInArrow(tidy(bits), "bits binary").toLocalIterator():
         bitmap |= np.frombuffer(part, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
@@ -243,7 +243,7 @@ def contaminated(
         "hash", "template", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("total").alias("windows"), F.col("slots").alias("item_slots")
     ).distinct()
     pairs = (
-        pick(docs, key, text).mapInArrow(doc_rows, _ROWS).select("hash", "template", "id", "pos", "slots")
+        pick(docs, key, text).mapInArrow(tidy(doc_rows), _ROWS).select("hash", "template", "id", "pos", "slots")
         .join(theirs, ["hash", "template"])
         .groupBy("id", "item", "windows")
         .agg(F.collect_set(F.struct("pos", "item_pos", "slots", "item_slots")).alias("found"))
@@ -265,7 +265,7 @@ def contaminated(
             )
 
     return (
-        pairs.mapInArrow(judge, "doc long, item long, matched long, windows long, coverage double, slots long, consistency double, reparameterised boolean")
+        pairs.mapInArrow(tidy(judge), "doc long, item long, matched long, windows long, coverage double, slots long, consistency double, reparameterised boolean")
         .where((F.col("coverage") >= least_coverage) & (F.col("consistency") >= least_consistency))
         .withColumnRenamed("doc", key)
         .withColumnRenamed("item", item_key)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import partitions
+from evidentia.llm.common import partitions, tidy
 
 LEAST, MOST, WINDOW = 3, 64, 7
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -138,7 +138,7 @@ def document_fingerprints(
             )
 
     schema = T.StructType([*[docs.schema[k] for k in keys], T.StructField("fingerprint", T.StringType())])
-    return docs.select(*keys, text).mapInArrow(run, schema)
+    return docs.select(*keys, text).mapInArrow(tidy(run), schema)
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
@@ -221,7 +221,7 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
             yield compare(ready)
 
     return dealt.select(*columns).mapInArrow(
-        run,
+        tidy(run),
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, near_edited double, near_next double",
     ).withColumnRenamed("doc_id", key)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import tidy
+
 #: Bound of the labelled rows that a model is fitted on.
 SAMPLE_ROWS = 20_000
 BINS, PAIR_BINS = 24, 12
@@ -214,7 +216,7 @@ def fit_quality(
             )
 
     got = rows.select(F.col("_doc").cast("long").alias("_doc"), "_label", "_text").mapInArrow(
-        measure, "doc long, y int, x array<double>"
+        tidy(measure), "doc long, y int, x array<double>"
     ).collect()
     got.sort(key=lambda r: (r["doc"], r["x"]))  # the same model whatever the order of tasks
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES))
@@ -230,7 +232,7 @@ def score_quality(docs: DataFrame, model: Gam, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.scores(x))], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, score double")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"`{key}` {kind}, score double")
 
 
 def quality_filter(
@@ -246,4 +248,4 @@ def quality_filter(
             x = np.array([features(t) for t in row[text].to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             yield batch.filter(pa.array(model.scores(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -30,12 +30,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import gathered, partitions
+from evidentia.llm.common import gathered, partitions, tidy
 
 #: Text of one slice, within which anchors and surroundings are made distinct.
 SLICE_BYTES = 12 << 20
 #: Text whose positions are looked at together.
-PIECE = 3 << 20
+PIECE = 1 << 20
 _POS = 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -208,10 +208,10 @@ def shared_anchors(
 
     found = (
         docs.select(key, text)
-        .mapInArrow(ids, "part int, ids binary")
+        .mapInArrow(tidy(ids), "part int, ids binary")
         .repartition(partitions(spark), "part")
         .sortWithinPartitions("part")
-        .mapInArrow(slices_of, "part int, bits binary")
+        .mapInArrow(tidy(slices_of), "part int, bits binary")
         .toLocalIterator()
     )
     size = 1 << filter_bits - part_bits - 3

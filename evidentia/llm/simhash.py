@@ -31,6 +31,7 @@ from evidentia.llm.common import (
     ragged,
     stored,
     take_ragged,
+    tidy,
 )
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))
@@ -71,7 +72,7 @@ def fingerprints(docs: DataFrame, width: int = 4, key: str = "doc_id", text: str
                 [batch.column(key).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"]
             )
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(key, text).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 @lru_cache
@@ -196,10 +197,10 @@ def fingerprint_links(prints: DataFrame, most: int = 4, split_above: int = SPLIT
 
     # At most 3 * fingerprints / split_above anchors are hot: a small table.
     hot = (
-        prints.mapInArrow(at_home, "key long").groupBy("key").count().where(F.col("count") > split_above)
+        prints.mapInArrow(tidy(at_home), "key long").groupBy("key").count().where(F.col("count") > split_above)
         .select(F.col("key").alias("hot"), F.ceil(F.col("count") / split_above).cast("int").alias("parts"))
     )
-    rows = prints.mapInArrow(replicate, "key long, fp long, home boolean")
+    rows = prints.mapInArrow(tidy(replicate), "key long, fp long, home boolean")
     dealt = rows.join(hot, F.col("key") == F.col("hot"), "left").select(
         "key", "fp", "home", F.coalesce("parts", F.lit(1)).alias("parts"),
         F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"),
@@ -234,7 +235,7 @@ def fingerprint_links(prints: DataFrame, most: int = 4, split_above: int = SPLIT
         if held:
             yield links()
 
-    return ordered.mapInArrow(compare, "a long, b long")
+    return ordered.mapInArrow(tidy(compare), "a long, b long")
 
 
 def simhash_components(

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import gathered, list_array, partitions, ragged, stored, take_ragged
+from evidentia.llm.common import gathered, list_array, partitions, ragged, stored, take_ragged, tidy
 from evidentia.llm.repeats import (
     Shape,
     common_prefix,
@@ -133,7 +133,7 @@ def _suffixes(docs: DataFrame, shape: Shape, bitmap, filter_bits: int) -> DataFr
                 names=["prefix", "left", "words", "docs", "marks", "places"],
             )
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(tidy(run), ROWS)
 
 
 class SuffixTree:
@@ -238,7 +238,7 @@ def repeated_spans(
         return pa.RecordBatch.from_arrays([*batch.columns, none], names=["doc", "mark", "a", "b", "window"])
 
     found = stored(
-        suffixes.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix").mapInArrow(trees, f"{SPANS}, window binary"),
+        suffixes.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix").mapInArrow(tidy(trees), f"{SPANS}, window binary"),
         "substring-spans",
     )
     # The smallest doc_id of a window is a combinable aggregate, so no task
@@ -294,5 +294,5 @@ def substring_dedup(
             )
 
     return spans_by_document(rows, spans).select("doc", "text", "spans").mapInArrow(
-        apply, f"{key} long, n_words long, n_removed long, spans array<struct<a: long, b: long>>, kept string"
+        tidy(apply), f"{key} long, n_words long, n_removed long, spans array<struct<a: long, b: long>>, kept string"
     )

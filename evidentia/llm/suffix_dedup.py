@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from evidentia.llm.common import gathered, partitions, ragged, take_ragged
+from evidentia.llm.common import gathered, partitions, ragged, take_ragged, tidy
 from evidentia.llm.repeats import (
     SLICE_BYTES,
     Shape,
@@ -105,7 +105,7 @@ def _runs(rows: DataFrame, shape: Shape, bitmap, filter_bits: int, parts: int) -
                     docs[doc[w]], marks[doc[w]], at[w] - offsets[doc[w]],
                 )
 
-    return rows.mapInArrow(run, RUN)
+    return rows.mapInArrow(tidy(run), RUN)
 
 
 def _front_coded(part, right, length, back, left, doc, mark, place) -> pa.RecordBatch:
@@ -271,7 +271,7 @@ def repeated_byte_spans(rows: DataFrame, window: int, gram: int = 24, filter_bit
         _runs(rows, shape, bitmap, filter_bits, parts)
         .repartition(partitions(spark), "part")
         .sortWithinPartitions("part")
-        .mapInArrow(merge, SPANS)
+        .mapInArrow(tidy(merge), SPANS)
     )
 
 
@@ -317,7 +317,7 @@ def suffix_dedup(
             )
 
     return spans_by_document(rows, spans).select("doc", "text", "spans").mapInArrow(
-        apply, f"{key} long, n_bytes long, n_removed long, spans array<struct<a: long, b: long>>, kept binary"
+        tidy(apply), f"{key} long, n_bytes long, n_removed long, spans array<struct<a: long, b: long>>, kept binary"
     )
 
 
@@ -353,4 +353,4 @@ def suffix_dedup_rows(
                 columns[n_chars] = pa.array([None if t is None else len(t) for t in out], columns[n_chars].type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
-    return grouped.select("row", "spans").mapInArrow(apply, docs.schema)
+    return grouped.select("row", "spans").mapInArrow(tidy(apply), docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm.bpe import Codec, codec
-from evidentia.llm.common import gathered, ragged
+from evidentia.llm.common import gathered, ragged, tidy
 
 LEAF = 16
 SLICE_BYTES = 4 << 20
@@ -164,4 +164,4 @@ def token_counts(
     wanted = [F.col(key).alias("key"), F.col(text).alias("text")]
     if edits:
         wanted.append(F.col(edits).alias("edits"))
-    return docs.select(*wanted).mapInArrow(run, T.StructType(fields))
+    return docs.select(*wanted).mapInArrow(tidy(run), T.StructType(fields))

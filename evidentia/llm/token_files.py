@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.llm.bpe import BATCH_BYTES, codec
-from evidentia.llm.common import gathered, list_array, partitions, stored
+from evidentia.llm.common import gathered, list_array, partitions, stored, tidy
 
 STRIPE_BYTES = 64 << 20
 ROW_INDEX_STRIDE = 10_000
@@ -54,7 +54,7 @@ def encode_sorted(
     schema = T.StructType(
         [docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
     )
-    return ordered.mapInArrow(encode, schema)
+    return ordered.mapInArrow(tidy(encode), schema)
 
 
 def write_tokens(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
@@ -108,7 +108,7 @@ def token_positions(spark: SparkSession, path: str, key: str = "doc_id") -> Data
             )
 
     rows = stored(
-        read.mapInArrow(digest, f"{key} long, file string, n_tokens long, ids_crc32 long"),
+        read.mapInArrow(tidy(digest), f"{key} long, file string, n_tokens long, ids_crc32 long"),
         "token-positions",
     )
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"))
