@@ -155,9 +155,8 @@ class Automaton:
         miss = np.flatnonzero(~start & (self._arc_key[slot] != keys))
         if len(miss):
             ok[miss] = self._arcs(x[miss], t[miss])
+            # Of two keys of one slot, the last one owns the entry in both arrays.
             self._arc_key[slot[miss]], self._arc_ok[slot[miss]] = keys[miss], ok[miss]
-            # Two keys of one slot in this call: the last one owns both arrays' entry.
-            self._arc_ok[slot[miss]] = ok[miss]
         return ok
 
     def _arcs(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
