@@ -42,18 +42,23 @@ _PARTS = 8192
 _PAIRS = 1 << 20
 
 
-def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """Fingerprint of the word shingles of a text; 0 if it has no word."""
+def shingle_hashes(text: str | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of ``width`` words, or of all words if there are fewer."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     whole = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     starts = ragged(size + 1)
     k = min(width, len(words))
     of = xxhash.xxh64_intdigest
     begin, end = starts[: len(words) - k + 1].tolist(), (starts[k:] - 1).tolist()
-    h = np.array([of(whole[a:b], seed) for a, b in zip(begin, end, strict=True)], "<u8")
+    return np.array([of(whole[a:b], seed) for a, b in zip(begin, end, strict=True)], "<u8")
+
+
+def simhash(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """Fingerprint of the word shingles of a text; 0 if it has no word."""
+    h = shingle_hashes(text, width, seed)
     ones = np.zeros(64, np.int64)
     for a in range(0, len(h), 65536):
         bits = np.unpackbits(h[a : a + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
