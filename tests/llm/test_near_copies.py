@@ -78,3 +78,11 @@ def test_chains_and_large_groups(spark, monkeypatch, split):
     rows += [(100 + k, edited(base, rng, 3)) for k in range(40)]
     rows += [(200, None), (201, ""), (202, "One two"), (203, "one  TWO"), (204, "one two three")]
     assert kept(spark, rows) == kept_by_jaccard(rows)
+
+
+def test_texts_within_eight_bits_but_unlike_stay(spark):
+    """Documents 155 and 192 differ in four bits, at a similarity of 0.76."""
+    text = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").where("doc_id in (155, 192)").collect()}
+    a, b = shingles(text[155]), shingles(text[192])
+    assert (simhash(text[155], 5) ^ simhash(text[192], 5)).bit_count() <= 8 and len(a & b) < 0.8 * len(a | b)
+    assert kept(spark, list(text.items())) == [155, 192]
