@@ -1,12 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words are lower-cased; numbers, units behind a number, and names (capitalised
-words inside a sentence) become typed placeholders. Windows of such templates
+Words are lower-cased; numbers, units behind a number, and names (runs of
+capitalised words inside a sentence) become typed placeholders. Windows of such templates
 are hash-joined between benchmark items and documents, so a question is found
 again when only its numbers, units or names have changed. The values in the
 slots are then checked: along one alignment of a document and an item, equal
 item values must stand against equal document values. What passes is a copy,
-or the same question with other parameters.
+or the same question with other parameters. Beside the templates, windows of
+the case-folded tokens themselves are joined: they find copies in other case,
+and items that are mostly placeholders.
 """
 
 from __future__ import annotations
@@ -37,9 +39,19 @@ UNITS = frozenset(
     "l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days "
     "week weeks month months year years percent usd eur gbp dollar dollars euro euros cent cents degree degrees "
     "celsius fahrenheit kmh mph hz khz mhz ghz w kw kwh v volt volts a amp amps j joule joules n newton newtons "
-    "b kb mb gb tb byte bytes people persons items times".split()
+    "b kb mb gb tb byte bytes people persons items times "
+    "kilometer kilometers kilometre kilometres meter meters metre metres centimeter centimeters centimetre centimetres "
+    "millimeter millimeters millimetre millimetres micrometer micrometers gram grams gramme grammes kilogram kilograms "
+    "milligram milligrams ton tons tonne tonnes stone stones milliliter milliliters millilitre millilitres cl dl "
+    "quart quarts pint pints cup cups tablespoon tablespoons teaspoon teaspoons tbsp tsp ms msec millisecond milliseconds "
+    "secs mins hrs decade decades century centuries pound sterling cny jpy yen yuan rupee rupees peso pesos franc francs "
+    "kelvin radian radians rad hertz kilohertz megahertz gigahertz watt watts kilowatt kilowatts megawatt megawatts mw mwh "
+    "newtons kj kilojoule kilojoules cal kcal calorie calories pa kpa mpa pascal pascals bar bars psi atm ohm ohms mv kv ma mah "
+    "knot knots kph acre acres hectare hectares ha bit bits kbps mbps gbps kilobyte kilobytes megabyte megabytes gigabyte "
+    "gigabytes terabyte terabytes mol mole moles lumen lumens lux dozen dozens".split()
 )
 _WORD, _NUMBER, _CAPITAL, _UNIT = range(4)
+_LITERAL = np.uint64(0x94D049BB133111EB)
 _SLOT_HASH = np.array([0, 0xA5B35705F00DCAFE, 0x6C62272E07BB0142, 0x27D4EB2F165667C5], np.uint64)
 
 
@@ -64,7 +76,12 @@ def _parts(stretch: str) -> tuple[list[tuple[int, str]], bool, bool]:
 
 
 class Templates:
-    """Template tokens of a batch of texts, one text after the other."""
+    """Template and literal tokens of a batch of texts, one text after the other.
+
+    ``token``, ``literal`` and ``offsets`` are of the tokens as they stand;
+    ``slot``, ``hash`` and ``bounds`` of those with each run of names as one,
+    which begins at token ``span``.
+    """
 
     def __init__(self, texts: pa.Array | pa.ChunkedArray):
         text = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
@@ -78,7 +95,9 @@ class Templates:
         size = np.array([len(tokens) for tokens, _, _ in found], np.int64)
         self.words = [w for _, w in flat]
         kinds = np.array([k for k, _ in flat], np.int64)
+        self.folded = [w.casefold() for w in self.words]
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
+        caseless = np.array([h if f == w else xxhash.xxh64_intdigest(f) for h, f, w in zip(hashes.tolist(), self.folded, self.words, strict=True)], np.uint64)
         starts = ragged(size)
         n = size[which] if len(which) else which
         self.token = take_ragged(np.arange(len(flat)), starts[which], n)
@@ -104,69 +123,81 @@ class Templates:
         slot[kind == _NUMBER] = _NUMBER
         slot[(kind == _CAPITAL) & ~first] = _CAPITAL
         slot[(kind == _UNIT) & after_number] = _UNIT
-        self.slot = slot
-        self.hash = np.where(slot > 0, _SLOT_HASH[slot], hashes[self.token] if len(flat) else np.uint64(0))
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, text and hash of the windows with enough words.
-
-        A text of fewer tokens than ``width`` has one window: all of it.
+        again = np.zeros(len(slot), bool)
+        again[1:] = (slot[1:] == _CAPITAL) & (slot[:-1] == _CAPITAL)
+        kept = np.flatnonzero(~again)
+        self.span = np.append(kept, len(slot))
+        self.slot = slot[kept]
+        self.bounds = ragged(~again)[self.offsets]
+        self.hash = np.where(self.slot > 0, _SLOT_HASH[self.slot], hashes[self.token[kept]] if len(flat) else np.uint64(0))
+        self.literal = caseless[self.token] if len(flat) else np.empty(0, np.uint64)
+
+    def windows(self, width: int, literal: bool, short: set[int] | None = None) -> tuple[np.ndarray, ...]:
+        """Start, text, hash and size of the windows; templates need enough words.
+
+        With ``short``, windows of these sizes are added to those of ``width``
+        tokens; without, a text of fewer tokens has one window: all of it.
         """
-        n = np.diff(self.offsets)
-        starts, owner, hashes = [], [], []
-        sizes = {int(x) for x in np.unique(n[(n > 0) & (n < width)])} | {width}
-        for size in sizes:
-            own = np.flatnonzero(n == size if size < width else n >= width)
+        tokens, offsets = (self.literal, self.offsets) if literal else (self.hash, self.bounds)
+        n = np.diff(offsets)
+        words = None if literal else np.concatenate([[0], np.cumsum(self.slot == 0)])
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
+        for size in {width, *({int(x) for x in np.unique(n[(n > 0) & (n < width)])} if short is None else short)}:
+            own = np.flatnonzero(n == size if short is None and size < width else n >= size)
             if not len(own):
                 continue
             per = n[own] - size + 1
-            s = take_ragged(np.arange(len(self.hash)), self.offsets[own], per)
-            h = self._rolled(size)[s]
-            words = np.concatenate([[0], np.cumsum(self.slot == 0)])
-            keep = words[s + size] - words[s] >= min(LEAST_WORDS, size)
-            starts.append(s[keep])
-            owner.append(np.repeat(own, per)[keep])
-            hashes.append(h[keep])
-        if not starts:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-        return np.concatenate(starts), np.concatenate(owner), np.concatenate(hashes)
-
-    def _rolled(self, size: int) -> np.ndarray:
-        if size & (size - 1) == 0:
-            return _gram_hash(self.hash, size)
-        h = np.zeros(max(0, len(self.hash) - size + 1), np.uint64)
-        for k in range(size):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + self.hash[k : k + len(h)]
-            h ^= h >> np.uint64(29)
-        return h
-
-    def template(self, start: int, size: int) -> str:
+            s = take_ragged(np.arange(len(tokens)), offsets[own], per)
+            h, owner = _rolled(tokens, size)[s], np.repeat(own, per)
+            if literal:
+                h = h ^ _LITERAL
+            else:
+                keep = words[s + size] - words[s] >= min(LEAST_WORDS, size)
+                s, owner, h = s[keep], owner[keep], h[keep]
+            found.append((s, owner, h, np.full(len(s), size)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def text(self, start: int, size: int, literal: bool) -> str:
+        """What a window is, apart from its values."""
+        if literal:
+            return "= " + " ".join(self.folded[t] for t in self.token[start : start + size].tolist())
         marks = ("", "<number>", "<name>", "<unit>")
-        return " ".join(
-            marks[k] or self.words[t] for k, t in zip(self.slot[start : start + size].tolist(), self.token[start : start + size].tolist(), strict=True)
-        )
+        at = self.token[self.span[start : start + size]].tolist()
+        return " ".join(marks[k] or self.words[t] for k, t in zip(self.slot[start : start + size].tolist(), at, strict=True))
 
     def slots(self, start: int, size: int) -> list[str]:
-        return [self.words[self.token[start + k]] for k in np.flatnonzero(self.slot[start : start + size])]
+        at = start + np.flatnonzero(self.slot[start : start + size])
+        return [" ".join(self.words[t] for t in self.token[self.span[k] : self.span[k + 1]].tolist()) for k in at]
 
 
-_ROWS = "hash long, id long, pos int, total int, template string, slots array<string>"
+def _rolled(tokens: np.ndarray, size: int) -> np.ndarray:
+    if size & (size - 1) == 0:
+        return _gram_hash(tokens, size)
+    h = np.zeros(max(0, len(tokens) - size + 1), np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + len(h)]
+        h ^= h >> np.uint64(29)
+    return h
 
 
-def _rows(t: Templates, ids: list, starts, owner, hashes, width: int) -> pa.RecordBatch:
-    n = np.diff(t.offsets)
-    total = np.bincount(owner, minlength=len(n)) if len(owner) else n
-    size = np.minimum(n[owner], width)
+_ROWS = "hash long, id long, pos int, total int, size int, literal boolean, template string, slots array<string>"
+
+
+def _rows(t: Templates, ids: list, literal: bool, starts, owner, hashes, size) -> pa.RecordBatch:
+    offsets = t.offsets if literal else t.bounds
+    total = np.bincount(owner, minlength=len(offsets) - 1)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(hashes.view(np.int64)),
             pa.array([ids[o] for o in owner], pa.int64()),
-            pa.array((starts - t.offsets[owner]).astype(np.int32)),
+            pa.array((starts - offsets[owner]).astype(np.int32)),
             pa.array(total[owner].astype(np.int32)),
-            pa.array([t.template(s, k) for s, k in zip(starts, size, strict=True)], pa.string()),
-            pa.array([t.slots(s, k) for s, k in zip(starts, size, strict=True)], pa.list_(pa.string())),
+            pa.array(size.astype(np.int32)),
+            pa.array(np.full(len(starts), literal)),
+            pa.array([t.text(s, k, literal) for s, k in zip(starts, size, strict=True)], pa.string()),
+            pa.array([[] if literal else t.slots(s, k) for s, k in zip(starts, size, strict=True)], pa.list_(pa.string())),
         ],
-        names=["hash", "id", "pos", "total", "template", "slots"],
+        names=["hash", "id", "pos", "total", "size", "literal", "template", "slots"],
     )
 
 
@@ -200,16 +231,18 @@ def contaminated(
 
     Returns ``doc_id, item_id, matched`` (distinct item windows found),
     ``windows`` (of the item), ``coverage, slots, consistency`` and
-    ``reparameterised``. Whole texts are looked at. An item of fewer tokens
-    than ``width`` is found where a text of just those tokens stands alone in a
-    document; one with no word gives no window. Nulls are empty texts; rows
-    with a null id are left out. Repeated rows count once.
+    ``reparameterised``: of the templates, or of the literal windows if only
+    those pass. Whole texts are looked at. An item of fewer tokens than
+    ``width`` is one window, found anywhere in a document; one with no token
+    gives none. Nulls are empty texts; rows with a null id are left out.
+    Repeated rows count once.
     """
 
     def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, "text", SLICE_BYTES):
             t = Templates(table.column("text"))
-            yield _rows(t, table.column("id").to_pylist(), *t.windows(width), width)
+            for literal in (False, True):
+                yield _rows(t, table.column("id").to_pylist(), literal, *t.windows(width, literal))
 
     def pick(df: DataFrame, id_: str, body: str) -> DataFrame:
         return df.where(F.col(id_).isNotNull()).select(F.col(id_).cast("long").alias("id"), F.coalesce(body, F.lit("")).alias("text"))
@@ -218,45 +251,61 @@ def contaminated(
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << FILTER_BITS, bool)
+        sizes = set()
         for batch in batches:
             seen[(np.asarray(batch.column("hash")).view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+            sizes |= {int(x) for x in np.unique(np.asarray(batch.column("size")) * 2 + np.asarray(batch.column("literal")))}
         if seen.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], names=["bits"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([np.packbits(seen).tobytes()], pa.binary()), pa.array([sorted(sizes)], pa.list_(pa.int32()))], names=["bits", "sizes"]
+            )
 
-    # A filter of fixed size (half a megabyte) is what tasks are sent.
+    # A filter of fixed size (half a megabyte) is what tasks are sent, and the sizes below width.
     bitmap = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for (part,) in items.select("hash").mapInArrow(tidy(bits), "bits binary").toLocalIterator():
+    short: tuple[set[int], set[int]] = (set(), set())
+    for part, sizes in items.select("hash", "size", "literal").mapInArrow(tidy(bits), "bits binary, sizes array<int>").toLocalIterator():
         bitmap |= np.frombuffer(part, np.uint8)
+        for x in sizes:
+            if x // 2 < width:
+                short[x % 2].add(x // 2)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(shared.value, np.uint8)
         for table in gathered(batches, "text", SLICE_BYTES):
             t = Templates(table.column("text"))
-            starts, owner, hashes = t.windows(width)
-            at = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            hit = np.flatnonzero(known[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-            if len(hit):
-                yield _rows(t, table.column("id").to_pylist(), starts[hit], owner[hit], hashes[hit], width)
+            for literal in (False, True):
+                found = t.windows(width, literal, short[literal])
+                at = (found[2] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                hit = np.flatnonzero(known[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                if len(hit):
+                    yield _rows(t, table.column("id").to_pylist(), literal, *(x[hit] for x in found))
 
     theirs = items.select(
-        "hash", "template", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("total").alias("windows"), F.col("slots").alias("item_slots")
+        "hash", "template", "literal", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("total").alias("windows"), F.col("slots").alias("item_slots")
     ).distinct()
     pairs = (
         pick(docs, key, text).mapInArrow(tidy(doc_rows), _ROWS).select("hash", "template", "id", "pos", "slots")
         .join(theirs, ["hash", "template"])
-        .groupBy("id", "item", "windows")
-        .agg(F.collect_set(F.struct("pos", "item_pos", "slots", "item_slots")).alias("found"))
+        .groupBy("id", "item")
+        .agg(F.collect_set(F.struct("literal", "windows", "pos", "item_pos", "slots", "item_slots")).alias("found"))
     )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                matches = [(m["pos"], m["item_pos"], m["slots"], m["item_slots"]) for m in r["found"]]
-                slots, share, changed = consistency(matches)
-                n = len({m[1] for m in matches})
-                out.append((r["id"], r["item"], n, r["windows"], n / r["windows"], slots, share, changed))
+                matches = defaultdict(list)
+                for m in r["found"]:
+                    matches[m["literal"], m["windows"]].append((m["pos"], m["item_pos"], m["slots"], m["item_slots"]))
+                passed = {}
+                for (literal, windows), found in matches.items():
+                    slots, share, changed = consistency(found)
+                    n = len({m[1] for m in found})
+                    if n / windows >= least_coverage and share >= least_consistency:
+                        passed[literal, windows] = (r["id"], r["item"], n, windows, n / windows, slots, share, changed)
+                templates = [x for (literal, _), x in passed.items() if not literal]
+                out += templates or passed.values()
             columns = list(zip(*out, strict=True)) or [[]] * 8
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
@@ -266,7 +315,6 @@ def contaminated(
 
     return (
         pairs.mapInArrow(tidy(judge), "doc long, item long, matched long, windows long, coverage double, slots long, consistency double, reparameterised boolean")
-        .where((F.col("coverage") >= least_coverage) & (F.col("consistency") >= least_consistency))
         .withColumnRenamed("doc", key)
         .withColumnRenamed("item", item_key)
     )
