@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import gathered, ragged, take_ragged, tidy
-from evidentia.llm.repeats import _gram_hash
+from evidentia.llm.repeats import gram_hash
 
 WINDOW = 8
 #: Words that a window needs beside its placeholders.
@@ -171,13 +171,7 @@ class Templates:
 
 
 def _rolled(tokens: np.ndarray, size: int) -> np.ndarray:
-    if size & (size - 1) == 0:
-        return _gram_hash(tokens, size)
-    h = np.zeros(max(0, len(tokens) - size + 1), np.uint64)
-    for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + len(h)]
-        h ^= h >> np.uint64(29)
-    return h
+    return gram_hash(tokens, size) if len(tokens) >= size else np.empty(0, np.uint64)
 
 
 _ROWS = "hash long, id long, pos int, total int, size int, literal boolean, template string, slots array<string>"

@@ -34,8 +34,8 @@ from evidentia.llm.common import gathered, partitions, tidy
 
 #: Text of one slice, within which anchors and surroundings are made distinct.
 SLICE_BYTES = 12 << 20
-#: Text whose positions are looked at together.
-PIECE = 1 << 20
+#: Symbols whose positions are looked at together; their hashes fit in a core's cache.
+PIECE = 1 << 15
 _POS = 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MORE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,26 +65,42 @@ class Anchors:
     id: np.ndarray
 
 
-def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    h = left * _MIX + (right ^ (right >> np.uint64(31))) * _MORE
-    h ^= h >> np.uint64(29)
-    return h
+_ODD = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            out = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
+            out[0] = 1
+            _powers[k] = np.cumprod(out)
+    return [p[:n] for p in _powers]
+
+
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Anchors are least hashes, so small numbers; their ids use all 64 bits."""
+    h = (hashes ^ (hashes >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
 
 
-def _gram_hash(symbols: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every ``k`` symbols in a row, by doubling."""
-    h, step = symbols, 1
-    while step * 2 <= k:
-        h = _join(h[:-step], h[step:])
-        step *= 2
-    if rest := k - step:
-        h = _join(h[:-rest], h[rest:])
+def gram_hash(symbols: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every ``k`` symbols in a row: a polynomial in them, mixed."""
+    n = len(symbols)
+    up, down = _power(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(symbols * up[:n], out=sums[1:])
+    h = sums[k:] - sums[:-k]
+    h *= down[: len(h)]
+    h ^= h >> np.uint64(32)
+    h *= _MORE
     return h
 
 
 def _anchors(symbols: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sliding least (hash, position) over the grams of each window."""
-    h = _gram_hash(symbols, shape.gram)
+    h = gram_hash(symbols, shape.gram)
     key = (h >> np.uint64(_POS)) << np.uint64(_POS)
     key |= np.arange(len(h), dtype=np.uint64)
     span = 1
@@ -128,7 +144,7 @@ def find_anchors(symbols: np.ndarray, offsets: np.ndarray, shape: Shape, hashed:
                 s[new] + begin,
                 s[last] + begin,
                 np.searchsorted(offsets, at + begin, "right") - 1,
-                h[at],
+                _spread(h[at]),
             )
         doc = stop
 
@@ -163,7 +179,7 @@ def shared_anchors(
             if not found:
                 continue
             one, own = np.concatenate(found), np.concatenate(owner)
-            order = np.lexsort((own, one))
+            order = np.argsort(one)
             one, own = one[order], own[order]
             cut = runs_of(one)
             two = np.minimum.reduceat(own, cut) != np.maximum.reduceat(own, cut)
