@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 
 from evidentia.llm.common import gathered, partitions, ragged, take_ragged, tidy
@@ -69,11 +70,11 @@ def _padded(data: np.ndarray, shape: Shape) -> np.ndarray:
 
 def _sides(wide: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, shape: Shape):
     """Right and left surroundings of anchors as byte rows, padded with zeros."""
-    base = at + shape.grams
     length, left = last + shape.window - at, at - first
-    right = wide[base[:, None] + np.arange(shape.window)]
+    around = sliding_window_view(wide, shape.grams + shape.window)[at]
+    right = around[:, shape.grams :]
     right[np.arange(shape.window) >= length[:, None]] = 0
-    back = wide[base[:, None] - 1 - np.arange(shape.grams - 1)]
+    back = np.ascontiguousarray(around[:, shape.grams - 1 : 0 : -1])
     back[np.arange(shape.grams - 1) >= left[:, None]] = 0
     return right, length, back, left
 
@@ -108,8 +109,23 @@ def _runs(rows: DataFrame, shape: Shape, bitmap, filter_bits: int, parts: int) -
     return rows.mapInArrow(tidy(run), RUN)
 
 
+def _sorted(right: np.ndarray, length: np.ndarray, back: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Order of the suffixes; only those with equal beginnings look further."""
+    words = packed(right)
+    order = np.argsort(words[0], kind="stable")
+    first = words[0][order]
+    tied = np.zeros(len(order), bool)
+    tied[1:] = first[1:] == first[:-1]
+    tied[:-1] |= tied[1:]
+    rows = order[tied]
+    if len(rows):
+        keys = left[rows], *packed(back[rows])[::-1], length[rows], *[w[rows] for w in words[::-1]]
+        order[tied] = rows[np.lexsort(keys)]
+    return order
+
+
 def _front_coded(part, right, length, back, left, doc, mark, place) -> pa.RecordBatch:
-    order = np.lexsort((left, *packed(back)[::-1], length, *packed(right)[::-1]))
+    order = _sorted(right, length, back, left)
     right, length, back, left = right[order], length[order], back[order], left[order]
     same = np.zeros(len(order), bool)
     same[1:] = (
@@ -128,10 +144,11 @@ def _front_coded(part, right, length, back, left, doc, mark, place) -> pa.Record
         count.astype("<i4"), doc[order].astype("<i8"), mark[order].astype("<i4"), place[order].astype("<i4"),
     ]
     names = ["lcp", "rest", "length", "left", "lefts", "count", "doc", "mark", "place"]
+    compress = zstandard.ZstdCompressor(3).compress
     return pa.RecordBatch.from_arrays(
         [
             pa.array([part], pa.int32()), pa.array([len(rows)], pa.int32()),
-            *[pa.array([zstandard.compress(v.tobytes(), 3)], pa.binary()) for v in values],
+            *[pa.array([compress(v.tobytes())], pa.binary()) for v in values],
         ],
         names=["part", "n", *names],
     )
@@ -257,9 +274,10 @@ def repeated_byte_spans(rows: DataFrame, window: int, gram: int = 24, filter_bit
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for row in batch.to_pylist():
-                row = {k: zstandard.decompress(v) if isinstance(v, bytes) else v for k, v in row.items()}
+                row = {k: decompress(v) if isinstance(v, bytes) else v for k, v in row.items()}
                 if held and row["part"] != held[0]["part"]:
                     yield _merged_spans(held, shape)
                     held = []
