@@ -39,8 +39,11 @@ from pyspark.sql import types as T
 
 from evidentia.llm.common import gathered, list_array, ragged, take_ragged, tidy
 
-BATCH_BYTES = 6 << 20
-CACHE_ENTRIES = 250_000
+BATCH_BYTES = 4 << 20
+#: Stretches of text, and words, that a codec remembers.
+STRETCHES, WORDS = 200_000, 300_000
+#: Words that advance together.
+CHUNK_WORDS = 1 << 14
 NONE, NEVER = 1 << 31, 1 << 30
 
 
@@ -142,6 +145,7 @@ class Automaton:
             np.fromiter(nodes.keys(), np.int64, len(nodes)),
             np.fromiter(nodes.values(), np.int64, len(nodes)),
         )
+        self.first = self.trie.get(np.arange(512), -1)
         self.token_at = np.array(token_at, np.int64)
 
     def allowed(self, x: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -188,10 +192,11 @@ class Automaton:
         ends = np.repeat(offsets[1:], n)
         place = np.arange(len(symbols)) - np.repeat(offsets[:-1], n)
 
-        at, node, depth = np.arange(len(symbols)), np.zeros(len(symbols), np.int64), 0
+        at, node, depth = np.arange(len(symbols)), self.first[symbols], 0
         starts, tokens = [], []
         while len(at):
-            node = self.trie.get(node * 512 + symbols[at + depth], -1)
+            if depth:
+                node = self.trie.get(node * 512 + symbols[at + depth], -1)
             keep = node >= 0
             at, node = at[keep], node[keep]
             token = self.token_at[node]
@@ -246,6 +251,28 @@ class _Index(dict):
         return n
 
 
+class _Flat:
+    """A growing array."""
+
+    def __init__(self, kind: type, first: list[int] | None = None):
+        self._held, self._size = np.empty(1 << 12, kind), 0
+        self.extend(first or [])
+
+    def __len__(self) -> int:
+        return self._size
+
+    @property
+    def array(self) -> np.ndarray:
+        return self._held[: self._size]
+
+    def extend(self, more: np.ndarray | list[int]) -> None:
+        end = self._size + len(more)
+        if end > len(self._held):
+            self._held = np.resize(self._held, end * 5 // 4)
+        self._held[self._size : end] = more
+        self._size = end
+
+
 def _array(texts: pa.Array | pa.ChunkedArray | list[str]) -> pa.Array:
     if isinstance(texts, list):
         return pa.array(texts, pa.string())
@@ -288,14 +315,20 @@ class Codec:
         self.labels = [""] * size
         for token, i in [*model["vocab"].items(), *self.special.items()]:
             self.labels[i] = token
+        self._forget_words()
         self._reset()
 
     def _reset(self) -> None:
+        """Forget all stretches, and all words once there are too many."""
         self.stretches = _Index()
-        self.done = 0
-        self.ids = np.empty(0, np.int32)
-        self.starts = np.empty(0, np.int64)
-        self.counts = np.empty(0, np.int64)
+        self.ids, self.bounds = _Flat(np.int32), _Flat(np.int64, [0])
+        if len(self.words) > WORDS:
+            self._forget_words()
+
+    def _forget_words(self) -> None:
+        self.words = _Index()
+        self.line = self.words["\n"]
+        self.word_ids, self.word_bounds = _Flat(np.int32), _Flat(np.int64, [0])
 
     def _marked(self, stretch: str) -> list[str | int]:
         """Pieces of a stretch that may hold special tokens."""
@@ -312,61 +345,72 @@ class Codec:
         if self.specials is not None:
             marked = {k: self._marked(s) for k, s in enumerate(new) if "<|" in s}
         # One pass over all stretches; the line feeds stay as pieces that part them.
-        joined = "\n".join("" if k in marked else s for k, s in enumerate(new)) if marked else "\n".join(new)
-        found = self.parted(_plain(joined))
-        words = dict.fromkeys(found)
-        for pieces in marked.values():
-            words.update(dict.fromkeys(x for x in pieces if isinstance(x, str)))
-        words.pop("\n", None)
-        number = dict(zip(words, range(len(words)), strict=True))
-        ids, offsets = self.automaton.encode_words(list(map(str.encode, words)))
-        number["\n"] = -1
-        order = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
-        breaks = np.flatnonzero(order < 0)
-        order = order[order >= 0]
-        per = np.diff(np.concatenate([[-1], breaks, [len(found)]])) - 1
+        found = self.parted(_plain("\n".join("" if k in marked else s for k, s in enumerate(new)) if marked else "\n".join(new)))
+        number = self.words.__getitem__
+        order = np.fromiter(map(number, found), np.int64, len(found))
+        breaks = order == self.line
+        per = np.diff(np.concatenate([[-1], np.flatnonzero(breaks), [len(found)]])) - 1
+        order = order[~breaks]
         for k, pieces in sorted(marked.items(), reverse=True):
-            own = []
-            for x in pieces:
-                if isinstance(x, int):
-                    own.append(len(offsets) - 1)
-                    ids, offsets = np.append(ids, x), np.append(offsets, len(ids) + 1)
-                else:
-                    own.append(number[x])
-            order = np.insert(order, int(per[:k].sum()), own)
-            per[k] = len(own)
-        sizes = offsets[order + 1] - offsets[order]
-        flat = take_ragged(ids, offsets[order], sizes).astype(np.int32)
-        bounds = ragged(sizes)[ragged(per)]
-        self.starts = np.concatenate([self.starts, bounds[:-1] + len(self.ids)])
-        self.counts = np.concatenate([self.counts, np.diff(bounds)])
-        self.ids = np.concatenate([self.ids, flat])
-
-    def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Number in the table of every stretch, and offsets by text."""
-        if len(self.stretches) > CACHE_ENTRIES:
+            # A special token is the word that is its number.
+            order = np.insert(order, int(per[:k].sum()), [number(x) for x in pieces])
+            per[k] = len(pieces)
+        fresh = list(islice(self.words, len(self.word_bounds) - 1, None))
+        for a in range(0, len(fresh), CHUNK_WORDS):
+            part = fresh[a : a + CHUNK_WORDS]
+            plain = [k for k, x in enumerate(part) if isinstance(x, str) and x != "\n"]
+            special = [k for k, x in enumerate(part) if isinstance(x, int)]
+            ids, offsets = self.automaton.encode_words([part[k].encode() for k in plain])
+            sizes = np.zeros(len(part), np.int64)
+            sizes[plain], sizes[special] = np.diff(offsets), 1
+            bounds = ragged(sizes)
+            flat = np.empty(int(bounds[-1]), np.int64)
+            own = np.ones(len(flat), bool)
+            own[bounds[special]] = False
+            flat[own], flat[~own] = ids, [part[k] for k in special]
+            self.word_bounds.extend(bounds[1:] + len(self.word_ids))
+            self.word_ids.extend(flat)
+        bounds = self.word_bounds.array
+        starts = bounds[order]
+        sizes = bounds[order + 1] - starts
+        self.bounds.extend(ragged(sizes)[ragged(per)][1:] + len(self.ids))
+        self.ids.extend(take_ragged(self.word_ids.array, starts, sizes))
+
+    def numbered(self, stretches: pa.Array) -> np.ndarray:
+        """Number in the table of each stretch; none may hold white space."""
+        if len(self.stretches) > STRETCHES:
             self._reset()
-        for space in "\n\t\r":
-            texts = pc.replace_substring(texts, space, " ")
-        cut = pc.split_pattern(pc.fill_null(texts, "").cast(pa.large_string()), " ")
-        coded = cut.flatten().dictionary_encode()
-        known = self.stretches
-        numbers = np.fromiter(
-            map(known.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary)
-        )
-        if len(known) > len(self.counts):
-            self._encode_new(list(islice(known, len(self.counts), None)))
-        return numbers[np.asarray(coded.indices)], np.asarray(cut.offsets).astype(np.int64)
+        coded = stretches.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.stretches.__getitem__, distinct), np.int64, len(distinct))
+        if len(self.stretches) >= len(self.bounds):
+            self._encode_new(list(islice(self.stretches, len(self.bounds) - 1, None)))
+        return numbers[np.asarray(coded.indices)]
+
+    def _sizes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and number of the ids of stretches."""
+        starts = self.bounds.array[which]
+        return starts, self.bounds.array[which + 1] - starts
+
+    def _cut(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.ascii_split_whitespace(pc.fill_null(_array(texts), "").cast(pa.large_string()))
+        offsets = np.asarray(cut.offsets).astype(np.int64)
+        return self.numbered(cut.flatten()), offsets - offsets[0]
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts: flat ids, and offsets by text."""
-        which, offsets = self._stretches(_array(texts))
-        sizes = self.counts[which]
-        return take_ragged(self.ids, self.starts[which], sizes), ragged(sizes)[offsets - offsets[0]]
+        which, offsets = self._cut(texts)
+        starts, sizes = self._sizes(which)
+        return take_ragged(self.ids.array, starts, sizes), ragged(sizes)[offsets]
 
     def count(self, texts: pa.Array | list[str]) -> np.ndarray:
-        which, offsets = self._stretches(_array(texts))
-        return np.diff(ragged(self.counts[which])[offsets - offsets[0]])
+        """Number of ids of each text."""
+        which, offsets = self._cut(texts)
+        return np.diff(ragged(self._sizes(which)[1])[offsets])
+
+    def counts(self, stretches: pa.Array) -> np.ndarray:
+        """Number of ids of each stretch."""
+        return self._sizes(self.numbered(stretches))[1]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Arc labels of the ids; this kind of file has no decoder, so a space parts them."""
