@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evidentia.llm.common import gathered, list_array, ragged, take_ragged, tidy
+from evidentia.llm.common import Growing, Numbers, gathered, list_array, ragged, take_ragged, tidy
 
 BATCH_BYTES = 4 << 20
 #: Stretches of text, and words, that a codec remembers.
@@ -243,36 +243,6 @@ class Automaton:
         return ids, out
 
 
-class _Index(dict):
-    """Numbers new keys in order of appearance."""
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
-
-
-class _Flat:
-    """A growing array."""
-
-    def __init__(self, kind: type, first: list[int] | None = None):
-        self._held, self._size = np.empty(1 << 12, kind), 0
-        self.extend(first or [])
-
-    def __len__(self) -> int:
-        return self._size
-
-    @property
-    def array(self) -> np.ndarray:
-        return self._held[: self._size]
-
-    def extend(self, more: np.ndarray | list[int]) -> None:
-        end = self._size + len(more)
-        if end > len(self._held):
-            self._held = np.resize(self._held, end * 5 // 4)
-        self._held[self._size : end] = more
-        self._size = end
-
-
 def _array(texts: pa.Array | pa.ChunkedArray | list[str]) -> pa.Array:
     if isinstance(texts, list):
         return pa.array(texts, pa.string())
@@ -320,15 +290,15 @@ class Codec:
 
     def _reset(self) -> None:
         """Forget all stretches, and all words once there are too many."""
-        self.stretches = _Index()
-        self.ids, self.bounds = _Flat(np.int32), _Flat(np.int64, [0])
+        self.stretches = Numbers()
+        self.ids, self.bounds = Growing(np.int32), Growing(np.int64, [0])
         if len(self.words) > WORDS:
             self._forget_words()
 
     def _forget_words(self) -> None:
-        self.words = _Index()
+        self.words = Numbers()
         self.line = self.words["\n"]
-        self.word_ids, self.word_bounds = _Flat(np.int32), _Flat(np.int64, [0])
+        self.word_ids, self.word_bounds = Growing(np.int32), Growing(np.int64, [0])
 
     def _marked(self, stretch: str) -> list[str | int]:
         """Pieces of a stretch that may hold special tokens."""

@@ -69,6 +69,36 @@ def take_ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return values[step]
 
 
+class Numbers(dict):
+    """Numbers new keys in order of appearance."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+class Growing:
+    """A growing array."""
+
+    def __init__(self, kind: type, first: list[int] | None = None):
+        self._held, self._size = np.empty(1 << 12, kind), 0
+        self.extend(first or [])
+
+    def __len__(self) -> int:
+        return self._size
+
+    @property
+    def array(self) -> np.ndarray:
+        return self._held[: self._size]
+
+    def extend(self, more: np.ndarray | list[int]) -> None:
+        end = self._size + len(more)
+        if end > len(self._held):
+            self._held = np.resize(self._held, end * 5 // 4)
+        self._held[self._size : end] = more
+        self._size = end
+
+
 def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 

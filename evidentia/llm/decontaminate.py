@@ -16,6 +16,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import gathered, ragged, take_ragged, tidy
+from evidentia.llm.common import Growing, Numbers, gathered, ragged, take_ragged, tidy
 from evidentia.llm.repeats import gram_hash
 
 WINDOW = 8
@@ -32,8 +34,10 @@ WINDOW = 8
 LEAST_WORDS = 4
 FILTER_BITS = 22
 SLICE_BYTES = 4 << 20
-_TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+")
-_STOP = re.compile(r"[.!?:;|]")
+#: Stretches of text, and words, that a lexicon remembers.
+STRETCHES, WORDS = 200_000, 300_000
+_PIECE = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?:;|\n]")
+_STOPS = frozenset(".!?:;|")
 UNITS = frozenset(
     "km m cm mm mi mile miles ft foot feet inch inches yd yard yards kg g mg t lb lbs pound pounds oz ounce ounces "
     "l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days "
@@ -48,31 +52,111 @@ UNITS = frozenset(
     "kelvin radian radians rad hertz kilohertz megahertz gigahertz watt watts kilowatt kilowatts megawatt megawatts mw mwh "
     "newtons kj kilojoule kilojoules cal kcal calorie calories pa kpa mpa pascal pascals bar bars psi atm ohm ohms mv kv ma mah "
     "knot knots kph acre acres hectare hectares ha bit bits kbps mbps gbps kilobyte kilobytes megabyte megabytes gigabyte "
-    "gigabytes terabyte terabytes mol mole moles lumen lumens lux dozen dozens".split()
+    "gigabytes terabyte terabytes mol mole moles lumen lumens lux dozen dozens "
+    "sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate monaten jahr jahre jahren prozent "
+    "grad gramm kilo kilos tonnen meilen fuß zoll pfund unzen kilometern metern "
+    "heure heures jour jours semaine semaines mois an ans année années seconde secondes pourcent degré degrés "
+    "kilomètre kilomètres mètre mètres centimètre centimètres millimètre millimètres tonne livre livres pouce pouces pied pieds "
+    "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años grado grados "
+    "kilómetro kilómetros metro metros centímetro centímetros milímetro milímetros gramo gramos kilogramo kilogramos "
+    "tonelada toneladas litro litros milla millas libra libras pulgada pulgadas pie pies euros dólar dólares".split()
 )
-_WORD, _NUMBER, _CAPITAL, _UNIT = range(4)
+#: Number words of the documents' languages; articles are none.
+NUMBER_WORDS = frozenset(
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn "
+    "neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante "
+    "soixante cent mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince veinte treinta cuarenta cincuenta "
+    "sesenta setenta ochenta noventa cien ciento mil".split()
+)
+_WORD, _NUMBER, _CAPITAL, _UNIT, _STOP, _LINE = range(6)
 _LITERAL = np.uint64(0x94D049BB133111EB)
 _SLOT_HASH = np.array([0, 0xA5B35705F00DCAFE, 0x6C62272E07BB0142, 0x27D4EB2F165667C5], np.uint64)
 
 
-def _parts(stretch: str) -> tuple[list[tuple[int, str]], bool, bool]:
-    """Tokens (kind, text) of a stretch; whether it begins and ends a sentence."""
-    tokens, end = [], 0
-    begins = False
-    for m in _TOKEN.finditer(stretch):
-        word = m.group()
-        gap = stretch[end : m.start()]
-        if _STOP.search(gap):
-            begins = begins or not tokens
-        end = m.end()
-        if word[0].isdigit():
-            kind = _NUMBER
-        elif word[0].isupper() and len(word) > 1 and word[1:].islower():
-            kind = _CAPITAL
-        else:
-            kind = _UNIT if word.lower() in UNITS else _WORD
-        tokens.append((kind, word.lower()))
-    return tokens, begins, _STOP.search(stretch[end:]) is not None
+class Lexicon:
+    """Tokens of the distinct stretches between white space, kept in bounded tables."""
+
+    def __init__(self):
+        self.stretches = Numbers()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.lower = Numbers(), []
+        self.kind, self.hash, self.caseless = Growing(np.int8), Growing(np.uint64), Growing(np.uint64)
+        self._drop()
+
+    def _drop(self) -> None:
+        self.stretches.clear()
+        self.tokens, self.bounds = Growing(np.int32), Growing(np.int64, [0])
+        #: Whether a stop stands before the first token, and behind the last.
+        self.begins, self.ends = Growing(bool), Growing(bool)
+
+    def _learn_words(self) -> None:
+        kinds, hashes, caseless = [], [], []
+        for word in islice(self.words, len(self.kind), None):
+            low = word.lower()
+            self.lower.append(word if low == word else low)
+            if word in _STOPS or word == "\n":
+                kind = _LINE if word == "\n" else _STOP
+            elif word[0].isdigit() or low in NUMBER_WORDS:
+                kind = _NUMBER
+            elif word[0].isupper() and len(word) > 1 and word[1:].islower():
+                kind = _CAPITAL
+            else:
+                kind = _UNIT if low in UNITS else _WORD
+            kinds.append(kind)
+            hashes.append(xxhash.xxh64_intdigest(low))
+            folded = low.casefold()
+            caseless.append(hashes[-1] if folded == low else xxhash.xxh64_intdigest(folded))
+        self.kind.extend(kinds)
+        self.hash.extend(np.array(hashes, np.uint64))
+        self.caseless.extend(np.array(caseless, np.uint64))
+
+    def _learn(self, new: list[str]) -> None:
+        found = _PIECE.findall("\n".join(new))
+        which = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        self._learn_words()
+        kind = self.kind.array[which]
+        line, real = kind == _LINE, kind < _STOP
+        owner = np.cumsum(line) - line
+        per = np.bincount(owner[real], minlength=len(new))
+        place, stops = np.flatnonzero(real), np.flatnonzero(kind == _STOP)
+        edge = ragged(per)
+        # Places of the first and the last token of each stretch.
+        some = np.flatnonzero(per)
+        first, last = np.full(len(new), len(found)), np.full(len(new), -1)
+        first[some], last[some] = place[edge[some]], place[edge[some + 1] - 1]
+        begins, ends = np.zeros(len(new), bool), np.zeros(len(new), bool)
+        of = owner[stops]
+        begins[of[(stops < first[of]) & (per[of] > 0)]] = True
+        ends[of[stops > last[of]]] = True
+        self.bounds.extend(edge[1:] + len(self.tokens))
+        self.tokens.extend(which[real])
+        self.begins.extend(begins)
+        self.ends.extend(ends)
+
+    def numbered(self, stretches: pa.Array) -> np.ndarray:
+        """Number in the table of each stretch; none may hold white space."""
+        if len(self.words) > WORDS:
+            self._forget()
+        elif len(self.stretches) > STRETCHES:
+            self._drop()
+        coded = stretches.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.stretches.__getitem__, distinct), np.int64, len(distinct))
+        if len(self.stretches) >= len(self.bounds):
+            self._learn(list(islice(self.stretches, len(self.bounds) - 1, None)))
+        return numbers[np.asarray(coded.indices)]
+
+
+@lru_cache(maxsize=1)
+def lexicon() -> Lexicon:
+    """The lexicon of this process."""
+    return Lexicon()
 
 
 class Templates:
@@ -80,7 +164,7 @@ class Templates:
 
     ``token``, ``literal`` and ``offsets`` are of the tokens as they stand;
     ``slot``, ``hash`` and ``bounds`` of those with each run of names as one,
-    which begins at token ``span``.
+    which begins at token ``span``. Valid until the next batch is made.
     """
 
     def __init__(self, texts: pa.Array | pa.ChunkedArray):
@@ -88,30 +172,20 @@ class Templates:
         text = pc.replace_substring(pc.fill_null(text, ""), "\n", " . ")
         cut = pc.ascii_split_whitespace(text.cast(pa.large_string()))
         bounds = np.asarray(cut.offsets).astype(np.int64)
-        coded = cut.flatten().dictionary_encode()
-        which = np.asarray(coded.indices).astype(np.int64)
-        found = [_parts(s) for s in coded.dictionary.to_pylist()]
-        flat = [t for tokens, _, _ in found for t in tokens]
-        size = np.array([len(tokens) for tokens, _, _ in found], np.int64)
-        self.words = [w for _, w in flat]
-        kinds = np.array([k for k, _ in flat], np.int64)
-        self.folded = [w.casefold() for w in self.words]
-        hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
-        caseless = np.array([h if f == w else xxhash.xxh64_intdigest(f) for h, f, w in zip(hashes.tolist(), self.folded, self.words, strict=True)], np.uint64)
-        starts = ragged(size)
-        n = size[which] if len(which) else which
-        self.token = take_ragged(np.arange(len(flat)), starts[which], n)
+        self.known = lexicon()
+        which = self.known.numbered(cut.flatten())
+        starts = self.known.bounds.array[which]
+        n = self.known.bounds.array[which + 1] - starts
+        self.token = take_ragged(self.known.tokens.array, starts, n)
         self.offsets = ragged(n)[bounds - bounds[0]]
-        kind = kinds[self.token] if len(flat) else np.empty(0, np.int64)
+        kind = self.known.kind.array[self.token]
         # A sentence begins with the text, behind a stop, or at one inside.
-        begins = np.array([b for _, b, _ in found], bool)
-        ends = np.array([e for _, _, e in found], bool)
         if len(which):
-            stop_before = np.concatenate([[True], ends[which][:-1]])
+            stop_before = np.concatenate([[True], self.known.ends.array[which][:-1]])
             first = np.zeros(len(self.token), bool)
             real = np.flatnonzero(n > 0)
             # A stretch without tokens passes the stop before it on.
-            stops = np.concatenate([[0], np.cumsum(stop_before | begins[which])])
+            stops = np.concatenate([[0], np.cumsum(stop_before | self.known.begins.array[which])])
             upto = stops[real + 1]
             before = np.concatenate([[0], stops[real[:-1] + 1]]) if len(real) else upto
             first[ragged(n)[:-1][real]] = upto > before
@@ -119,7 +193,7 @@ class Templates:
         else:
             first = np.zeros(0, bool)
         after_number = np.concatenate([[False], kind[:-1] == _NUMBER]) & ~first if len(kind) else first
-        slot = np.zeros(len(kind), np.int64)
+        slot = np.zeros(len(kind), np.int8)
         slot[kind == _NUMBER] = _NUMBER
         slot[(kind == _CAPITAL) & ~first] = _CAPITAL
         slot[(kind == _UNIT) & after_number] = _UNIT
@@ -129,49 +203,55 @@ class Templates:
         self.span = np.append(kept, len(slot))
         self.slot = slot[kept]
         self.bounds = ragged(~again)[self.offsets]
-        self.hash = np.where(self.slot > 0, _SLOT_HASH[self.slot], hashes[self.token[kept]] if len(flat) else np.uint64(0))
-        self.literal = caseless[self.token] if len(flat) else np.empty(0, np.uint64)
+        self.hash = np.where(self.slot > 0, _SLOT_HASH[self.slot], self.known.hash.array[self.token[kept]])
+        self.literal = self.known.caseless.array[self.token]
 
-    def windows(self, width: int, literal: bool, short: set[int] | None = None) -> tuple[np.ndarray, ...]:
+    def windows(self, width: int, literal: bool, short: set[int] | None = None, bitmap: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """Start, text, hash and size of the windows; templates need enough words.
 
         With ``short``, windows of these sizes are added to those of ``width``
         tokens; without, a text of fewer tokens has one window: all of it.
+        With ``bitmap``, only windows in this filter are returned.
         """
         tokens, offsets = (self.literal, self.offsets) if literal else (self.hash, self.bounds)
         n = np.diff(offsets)
         words = None if literal else np.concatenate([[0], np.cumsum(self.slot == 0)])
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
         for size in {width, *({int(x) for x in np.unique(n[(n > 0) & (n < width)])} if short is None else short)}:
-            own = np.flatnonzero(n == size if short is None and size < width else n >= size)
-            if not len(own):
+            if len(tokens) < size:
                 continue
-            per = n[own] - size + 1
-            s = take_ragged(np.arange(len(tokens)), offsets[own], per)
-            h, owner = _rolled(tokens, size)[s], np.repeat(own, per)
+            h = gram_hash(tokens, size)
             if literal:
-                h = h ^ _LITERAL
-            else:
-                keep = words[s + size] - words[s] >= min(LEAST_WORDS, size)
-                s, owner, h = s[keep], owner[keep], h[keep]
-            found.append((s, owner, h, np.full(len(s), size)))
+                h ^= _LITERAL
+            s = np.arange(len(h)) if bitmap is None else np.flatnonzero(_in_bitmap(bitmap, h))
+            owner = np.searchsorted(offsets, s, "right") - 1
+            keep = s + size <= offsets[owner + 1]
+            if short is None and size < width:
+                keep &= n[owner] == size
+            if not literal:
+                keep &= words[s + size] - words[s] >= min(LEAST_WORDS, size)
+            found.append((s[keep], owner[keep], h[s[keep]], np.full(int(keep.sum()), size)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def _words(self, tokens: np.ndarray) -> list[str]:
+        return [self.known.lower[t] for t in tokens.tolist()]
+
     def text(self, start: int, size: int, literal: bool) -> str:
         """What a window is, apart from its values."""
         if literal:
-            return "= " + " ".join(self.folded[t] for t in self.token[start : start + size].tolist())
+            return "= " + " ".join(w.casefold() for w in self._words(self.token[start : start + size]))
         marks = ("", "<number>", "<name>", "<unit>")
-        at = self.token[self.span[start : start + size]].tolist()
-        return " ".join(marks[k] or self.words[t] for k, t in zip(self.slot[start : start + size].tolist(), at, strict=True))
+        words = self._words(self.token[self.span[start : start + size]])
+        return " ".join(marks[k] or w for k, w in zip(self.slot[start : start + size].tolist(), words, strict=True))
 
     def slots(self, start: int, size: int) -> list[str]:
         at = start + np.flatnonzero(self.slot[start : start + size])
-        return [" ".join(self.words[t] for t in self.token[self.span[k] : self.span[k + 1]].tolist()) for k in at]
+        return [" ".join(self._words(self.token[self.span[k] : self.span[k + 1]])) for k in at]
 
 
-def _rolled(tokens: np.ndarray, size: int) -> np.ndarray:
-    return gram_hash(tokens, size) if len(tokens) >= size else np.empty(0, np.uint64)
+def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int32)
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 _ROWS = "hash long, id long, pos int, total int, size int, literal boolean, template string, slots array<string>"
@@ -269,11 +349,9 @@ def contaminated(
         for table in gathered(batches, "text", SLICE_BYTES):
             t = Templates(table.column("text"))
             for literal in (False, True):
-                found = t.windows(width, literal, short[literal])
-                at = (found[2] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                hit = np.flatnonzero(known[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-                if len(hit):
-                    yield _rows(t, table.column("id").to_pylist(), literal, *(x[hit] for x in found))
+                found = t.windows(width, literal, short[literal], known)
+                if len(found[0]):
+                    yield _rows(t, table.column("id").to_pylist(), literal, *found)
 
     theirs = items.select(
         "hash", "template", "literal", F.col("id").alias("item"), F.col("pos").alias("item_pos"), F.col("total").alias("windows"), F.col("slots").alias("item_slots")
