@@ -1,8 +1,8 @@
 """Token ids in ORC files.
 
-Files hold ``doc_id`` and ``ids`` in ascending ``doc_id`` order, range
-partitioned, one file a partition, so their names are in order as well. ORC
-writes integers with run-length encoding (RLEv2), a row index every
+Files hold ``doc_id``, ``ids`` and ``row`` (the row's number in its
+partition) in ascending ``doc_id`` order, range partitioned, so the numbers in
+their names are in order as well. ORC writes integers with run-length encoding (RLEv2), a row index every
 ``row_index_stride`` rows and a Bloom filter on ``doc_id`` in each stripe.
 Readers split a file at its stripes, and skip stripes and row groups by their
 statistics and Bloom filters.
@@ -29,38 +29,44 @@ ROW_INDEX_STRIDE = 10_000
 def encode_sorted(
     docs: DataFrame, vocabulary: str, end_id: int, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``key`` and token ``ids`` with ``end_id`` last, range partitioned and sorted.
+    """``key``, token ``ids`` with ``end_id`` last and ``row``, range partitioned and sorted.
 
     The texts are moved, not the ids: they are smaller. Rows with a null key
-    come first; rows that share a key are in order of their text.
+    come first; rows that share a key are in order of their text, and ranges
+    part them by its beginning, so that a key of many texts has several tasks.
     """
     ordered = (
         docs.select(key, text)
-        .repartitionByRange(partitions(docs.sparkSession), key)
+        .repartitionByRange(partitions(docs.sparkSession), F.col(key), F.substring(text, 1, 64))
         .sortWithinPartitions(key, text)
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
+        own, row = codec(vocabulary), 0
         for table in gathered(batches, text, BATCH_BYTES):
             flat, bounds = own.encode(table.column(text))
             flat = np.insert(flat, bounds[1:], end_id)
             bounds = bounds + np.arange(len(bounds))
             yield pa.RecordBatch.from_arrays(
-                [table.column(key).combine_chunks(), list_array(flat.astype(np.int32), bounds)],
-                names=[key, "ids"],
+                [
+                    table.column(key).combine_chunks(),
+                    list_array(flat.astype(np.int32), bounds),
+                    pa.array(np.arange(row, row + table.num_rows)),
+                ],
+                names=[key, "ids", "row"],
             )
+            row += table.num_rows
 
     schema = T.StructType(
-        [docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
+        [docs.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("row", T.LongType(), False)]
     )
     return ordered.mapInArrow(tidy(encode), schema)
 
 
 def write_tokens(tokens: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write ``key`` and ``ids`` as ORC, keeping the partitions and their order."""
+    """Write ``key``, ``ids`` and ``row`` as ORC, keeping the partitions and their order."""
     (
-        tokens.select(key, "ids")
+        tokens.select(key, "ids", "row")
         .write.option("compression", "zstd")
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.create.index", "true")
@@ -80,7 +86,9 @@ def read_tokens(
     and row groups whose statistics or Bloom filters exclude all of them.
     """
     out = spark.read.schema(
-        T.StructType([T.StructField(key, T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+        T.StructType(
+            [T.StructField(key, T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("row", T.LongType())]
+        )
     ).orc(path)
     return out if keys is None else out.where(F.col(key).isin(list(keys)))
 
@@ -92,9 +100,9 @@ def token_positions(spark: SparkSession, path: str, key: str = "doc_id") -> Data
     running sum within a file to the sums of the files before it: one row a
     file, so what is summed in one task grows with the files alone.
     """
-    read = read_tokens(spark, path, key=key).select(
-        key, "ids", F.col("_metadata.file_name").alias("file")
-    )
+    # Files are in order of the number in their name, which may outgrow its five digits.
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int")
+    read = read_tokens(spark, path, key=key).select(key, "ids", "row", number.alias("part"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,25 +111,22 @@ def token_positions(spark: SparkSession, path: str, key: str = "doc_id") -> Data
             flat = memoryview(np.asarray(ids.values).astype("<u4")).cast("B")
             crc = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key), batch.column("file"), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
-                names=[key, "file", "n_tokens", "ids_crc32"],
+                [*(batch.column(c) for c in (key, "part", "row")), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                names=[key, "part", "row", "n_tokens", "ids_crc32"],
             )
 
     rows = stored(
-        read.mapInArrow(tidy(digest), f"{key} long, file string, n_tokens long, ids_crc32 long"),
+        read.mapInArrow(tidy(digest), f"{key} long, part int, row long, n_tokens long, ids_crc32 long"),
         "token-positions",
     )
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"))
-    before = files.select(
-        "file",
-        (F.sum("size").over(Window.orderBy("file")) - F.col("size")).alias("base"),
+    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    before = parts.select(
+        F.col("part"), (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("base")
     )
-    within = Window.partitionBy("file").orderBy(
-        F.col(key).asc_nulls_first(), "n_tokens", "ids_crc32"
-    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.withColumn("through", F.sum("n_tokens").over(within))
-        .join(before, "file")
+        .join(before, "part")
         .select(
             key,
             (F.col("base") + F.col("through") - F.col("n_tokens")).alias("start"),
