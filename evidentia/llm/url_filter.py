@@ -53,9 +53,15 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def build_trie(rules: Sequence[tuple[str, str, str]]) -> HostNode:
-    """Trie of (verdict, host, path) rules; an empty host fits every host."""
+    """Trie of (verdict, host, path) rules; an empty host fits every host.
+
+    A null host or path is empty; a rule without a verdict is none.
+    """
     root = HostNode()
     for verdict, host, path in rules:
+        host, path = host or "", path or ""
+        if verdict is None:
+            continue
         if verdict not in ("allow", "block"):
             raise ValueError(f"no such verdict: {verdict}")
         node = root
@@ -109,7 +115,8 @@ def url_filter(
     columns. Up to ``max_trie_bytes`` of rules are broadcast as a trie; a
     larger DataFrame is joined instead, with the same result. Where no rule
     fits, ``rule`` is null and the verdict is ``default``. A null URL, or one
-    without ``://``, has an empty host and path. Narrow with a trie: repeated
+    without ``://``, has an empty host and path. A rule's null host or path is
+    empty, and a rule without a verdict is none. Narrow with a trie: repeated
     rows give repeated results, other columns are dropped.
     """
     if isinstance(rules, DataFrame):
@@ -142,29 +149,31 @@ def url_filter(
 
 def _by_join(pages: DataFrame, rules: DataFrame, url: str, keys: tuple[str, ...], default: str) -> DataFrame:
     """Each URL's host suffixes and path prefixes, joined with the rules."""
-    ranked = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(
-        F.max("verdict").alias("r_verdict")
+    ranked = (
+        rules.where("verdict is not null")
+        .groupBy(F.coalesce("host", F.lit("")).alias("r_host"), F.coalesce("path", F.lit("")).alias("r_path"))
+        .agg(F.max("verdict").alias("r_verdict"))
     )
     # Only path lengths that occur are tried; the set of lengths is small.
     lengths = [r[0] for r in ranked.select(F.length("r_path")).distinct().collect()]
     base = (
         pages.select(*keys, url)
-        .withColumn("_id", F.monotonically_increasing_id())
         .withColumn("_rest", F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^?#]*)", 1))
         .withColumn("host", F.regexp_extract("_rest", r"(?s)^[^/]*", 0))
         .withColumn("path", F.expr("substring(_rest, length(host) + 1)"))
         .withColumn("host", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     )
-    labels = F.split("host", r"\.")
+    # Equal URLs are judged once; what they are joined back on is their text.
     tried = (
-        base.withColumn("_l", labels)
+        base.select(F.col("host").alias("_host"), F.col("path").alias("_path")).distinct()
+        .withColumn("_l", F.split("_host", r"\."))
         .withColumn("_n", F.explode(F.sequence(F.lit(0), F.size("_l"))))
         .withColumn("r_host", F.expr("array_join(slice(_l, size(_l) - _n + 1, _n), '.')"))
         .withColumn("_k", F.explode(F.array(*[F.lit(n) for n in lengths])))
-        .where("_k <= length(path)")
-        .withColumn("r_path", F.expr("substring(path, 1, _k)"))
+        .where("_k <= length(_path)")
+        .withColumn("r_path", F.expr("substring(_path, 1, _k)"))
         .join(ranked, ["r_host", "r_path"])
-        .groupBy("_id")
+        .groupBy("_host", "_path")
         .agg(
             F.max_by(
                 F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("v")),
@@ -172,6 +181,7 @@ def _by_join(pages: DataFrame, rules: DataFrame, url: str, keys: tuple[str, ...]
             ).alias("_best")
         )
     )
-    return base.join(tried, "_id", "left").select(
+    same = (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))
+    return base.join(tried, same, "left").select(
         *keys, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.v", F.lit(default)).alias("verdict")
     )
