@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import partitions, tidy
+from evidentia.llm.common import partitions, stored, tidy
 
 LEAST, MOST, WINDOW = 3, 64, 7
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -141,36 +142,28 @@ def document_fingerprints(
     return docs.select(*keys, text).mapInArrow(tidy(run), schema)
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
-    """Deal rows into ranges of descending key, each with the row that follows it.
+_RESULT = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
+    "edited_fingerprint string, near_edited double, near_next double"
+)
 
-    Every range gets, flagged ``look``, a copy of the first row of the range
-    after it (the last one: of the first), so that a range is paired by itself
-    after one exchange of the texts. The driver holds one key for each range.
-    """
-    n = 4 * partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(key, F.lit(-(1 << 63))).alias("k"), F.col(key).alias("id"), F.col(text).alias("text"))
-    cuts = sorted(set(rows.where("id is not null").stat.approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n)))
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("k").cast("double"))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", at)
-    tops = sorted(tuple(r) for r in rows.groupBy("part").agg(F.max("k")).collect())
-    before = [tops[i - 1][0] for i in range(len(tops))]
-    if tops:
-        to = F.create_map(*[F.lit(x) for (_, t), p in zip(tops, before, strict=True) for x in (t, p)])
-        extra = F.try_element_at(to, F.col("k"))
-    else:
-        extra = F.lit(None).cast("int")
-    dealt = rows.withColumn(
-        "_to",
-        F.explode(
-            F.filter(
-                F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("look")), F.struct(extra.alias("p"), F.lit(True).alias("look"))),
-                lambda x: x["p"].isNotNull(),
-            )
-        ),
-    ).select(F.col("_to.p").alias("part"), F.col("_to.look").alias("look"), "k", "id", "text")
-    order = ["part", "look", F.col("k").desc(), F.col("text").asc_nulls_first()]
-    return dealt.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions(*order), ["part", "look", "id", "text"]
+
+def _compared(rows: list[tuple]) -> list[pa.Array]:
+    """Columns of ``_RESULT``, of (id, text, next text)."""
+    prints = [fingerprint(t) for _, t, _ in rows]
+    nexts = [fingerprint(x) for _, _, x in rows]
+    cut = [(t[: len(t) - len(t) // 3] + x[: len(t) // 3]) if t else "" for _, t, x in rows]
+    edited = [fingerprint(t) for t in cut]
+    like = likeness([*zip(prints, edited, strict=True), *zip(prints, nexts, strict=True)])
+    return [
+        pa.array([r[0] for r in rows], pa.int64()),
+        pa.array([len(r[1]) for r in rows], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in cut], pa.string()),
+        pa.array(prints, pa.string()),
+        pa.array(edited, pa.string()),
+        pa.array(like[: len(rows)], pa.float64()),
+        pa.array(like[len(rows) :], pa.float64()),
+    ]
 
 
 def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,47 +174,76 @@ def fingerprint_edits(docs: DataFrame, key: str = "doc_id", text: str = "text")
     first follows the last. Null texts are empty. Null keys come last; rows
     that share a key are in order of their text. A table of one row is its own
     next; an empty table gives no rows.
+
+    Rows are dealt into ranges, of the key and the beginning of the text, and
+    paired within them. The first and the last row of each range come out as
+    they are; every last one then meets the first of the next range by a join.
     """
-    dealt, columns = with_next(docs, key, text)
-
-    def compare(rows: list[tuple]) -> pa.RecordBatch:
-        """rows: (id, text) with the next row's text behind each."""
-        prints = [fingerprint(t) for _, t, _ in rows]
-        nexts = [fingerprint(x) for _, _, x in rows]
-        cut = [(t[: len(t) - len(t) // 3] + x[: len(t) // 3]) if t else "" for _, t, x in rows]
-        edited = [fingerprint(t) for t in cut]
-        like = likeness([*zip(prints, edited, strict=True), *zip(prints, nexts, strict=True)])
+    spark = docs.sparkSession
+    key_order = F.col("id").desc_nulls_last()
+    rows = (
+        docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+        .repartitionByRange(partitions(spark), key_order, F.substring("text", 1, 64).asc())
+        .sortWithinPartitions(key_order, F.col("text").asc())
+    )
+
+    def edge(kind: str, row: tuple) -> pa.RecordBatch:
+        none = [pa.nulls(1, f.type) for f in fields[1:]]
+        part = TaskContext.get().partitionId()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([row[0]], pa.int64()), *none, pa.array([kind], pa.string()), pa.array([part], pa.int32()), pa.array([row[1]], pa.string())],
+            names=[*names, "edge", "part", "text"],
+        )
+
+    def pairs(ready: list[tuple]) -> pa.RecordBatch:
+        n = len(ready)
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([len(r[1]) for r in rows], pa.int64()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in cut]),
-                pa.array(prints),
-                pa.array(edited),
-                pa.array(like[: len(rows)]),
-                pa.array(like[len(rows) :]),
-            ],
-            names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            [*_compared(ready), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())],
+            names=[*names, "edge", "part", "text"],
         )
 
+    fields = [pa.field("doc_id", pa.int64()), pa.field("n_chars", pa.int64()), *[pa.field(n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")], *[pa.field(n, pa.float64()) for n in ("near_edited", "near_next")]]
+    names = [f.name for f in fields]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the row that waits for the next one
         ready: list[tuple] = []
         for batch in batches:
-            for part, look, id_, t in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
-                t = t or ""
-                if held is not None and held[0] == part:
-                    ready.append((held[1], held[2], t))
-                # Of several flagged copies that share the key, the first is next.
-                held = None if look else (part, id_, t)
+            for row in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if held is None:
+                    yield edge("first", row)
+                else:
+                    ready.append((*held, row[1]))
+                held = row
                 if len(ready) >= 512:
-                    yield compare(ready)
+                    yield pairs(ready)
                     ready = []
         if ready:
-            yield compare(ready)
-
-    return dealt.select(*columns).mapInArrow(
-        tidy(run),
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-        "edited_fingerprint string, near_edited double, near_next double",
-    ).withColumnRenamed("doc_id", key)
+            yield pairs(ready)
+        if held is not None:
+            yield edge("last", held)
+
+    found = stored(rows.mapInArrow(tidy(run), f"{_RESULT}, edge string, part int, text string"), "fingerprints")
+    # Two rows a range, and only range numbers are ordered in one task.
+    first = found.where("edge = 'first'").select(F.col("part").alias("_part"), F.col("text").alias("next"))
+    every = Window.orderBy("_part")
+    after = first.select("_part").select(
+        F.col("_part").alias("part"),
+        F.coalesce(F.lead("_part").over(every), F.min("_part").over(every)).alias("_next"),
+    )
+    last = (
+        found.where("edge = 'last'").select("doc_id", "text", "part").join(after, "part")
+        .join(first, F.col("_next") == F.col("_part")).select("doc_id", "text", "next")
+    )
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            if rows:
+                yield pa.RecordBatch.from_arrays(_compared(rows), names=names)
+
+    return (
+        found.where("edge is null").select(*names)
+        .unionByName(last.mapInArrow(tidy(close), _RESULT))
+        .withColumnRenamed("doc_id", key)
+    )
