@@ -11,7 +11,10 @@ have equal anchors at equal offsets, so
    documents hold counts once for each slice of input;
 2. only occurrences of anchors in the filter go on to the exact stage, with
    their surroundings and the run of windows that they stand for. The filter
-   has no false negatives; a false positive only sends one anchor more;
+   has no false negatives; a false positive only sends one anchor more. Of
+   equal surroundings in one slice of input only those of the smallest doc_id
+   go on, as those of all others are repeats already: a hot passage is sent
+   once a slice, not once a document;
 3. the exact stage orders the surroundings. A window at offset ``o`` from its
    anchor is the class of its left ``o`` symbols together with the class of
    its right ``window - o`` symbols, both intervals of common prefixes in
@@ -322,6 +325,17 @@ def resolve(
     return low, high
 
 
+def union_spans(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of the spans of each row, sorted."""
+    order = np.lexsort((a, row))
+    row, a, b = row[order], a[order], b[order]
+    wide = row << np.int64(40)
+    reach = np.maximum.accumulate(b + wide) if len(row) else b
+    cut = np.flatnonzero(np.concatenate([[True], (a + wide)[1:] > reach[:-1]])) if len(row) else row
+    last = np.append(cut[1:], len(row))[: len(cut)] - 1
+    return row[cut], a[cut], reach[last] - wide[cut]
+
+
 def merge_spans(spans: list[tuple[int, int]], end: int) -> list[tuple[int, int]]:
     """Union of half-open spans, clipped at ``end``."""
     out: list[list[int]] = []

@@ -34,6 +34,7 @@ from evidentia.llm.repeats import (
     resolve,
     shared_anchors,
     spans_by_document,
+    union_spans,
 )
 
 FILTER_BITS = 27
@@ -67,7 +68,8 @@ def _same(symbols: np.ndarray) -> np.ndarray:
     return symbols
 
 
-ROWS = "prefix long, left int, words binary, docs array<long>, marks array<int>, places array<int>"
+#: Without ``words``, a row holds spans (places, stops) known to be repeats.
+ROWS = "prefix long, left int, words binary, docs array<long>, marks array<int>, places array<int>, stops array<int>"
 
 
 def _distinct(numbers: np.ndarray, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray, left: np.ndarray):
@@ -119,7 +121,23 @@ def _suffixes(docs: DataFrame, shape: Shape, bitmap, filter_bits: int) -> DataFr
             prefix, at, start, stop, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
             group, row = _distinct(numbers, hashes, start, stop, at - start)
             order = np.argsort(group, kind="stable")
-            bounds = ragged(np.bincount(group, minlength=len(row)))
+            size = np.bincount(group, minlength=len(row))
+            least = np.repeat(np.minimum.reduceat(ids[doc][order], ragged(size)[:-1]), size)
+            repeated = ids[doc][order] > least
+            gone = order[repeated]
+            if len(gone):
+                begin = offsets[doc[gone]]
+                own, a, b = union_spans(doc[gone], start[gone] - begin, stop[gone] - begin)
+                one = np.array([0, len(own)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(prefix[-1:].view(np.int64)), pa.array([0], pa.int32()), pa.array([None], pa.binary()), list_array(ids[own], one),
+                        list_array(marks[own].astype(np.int32), one), *[list_array(x.astype(np.int32), one) for x in (a, b)],
+                    ],
+                    names=["prefix", "left", "words", "docs", "marks", "places", "stops"],
+                )
+            order = order[~repeated]
+            bounds = ragged(np.bincount(group[order], minlength=len(row)))
             text = [
                 b" ".join(map(words.__getitem__, numbers[a:b].tolist()))
                 for a, b in zip(start[row].tolist(), stop[row].tolist(), strict=True)
@@ -128,9 +146,9 @@ def _suffixes(docs: DataFrame, shape: Shape, bitmap, filter_bits: int) -> DataFr
                 [
                     pa.array(prefix[row].view(np.int64)), pa.array((at - start)[row].astype(np.int32)), pa.array(text, pa.binary()),
                     list_array(ids[doc][order], bounds), list_array(marks[doc][order].astype(np.int32), bounds),
-                    list_array((at - offsets[doc])[order].astype(np.int32), bounds),
+                    list_array((at - offsets[doc])[order].astype(np.int32), bounds), pa.nulls(len(row), pa.list_(pa.int32())),
                 ],
-                names=["prefix", "left", "words", "docs", "marks", "places"],
+                names=["prefix", "left", "words", "docs", "marks", "places", "stops"],
             )
 
     return docs.mapInArrow(tidy(run), ROWS)
@@ -184,7 +202,7 @@ SPANS = "doc long, mark int, a long, b long"
 def _windows(rows: list[tuple], shape: Shape) -> pa.RecordBatch:
     """All windows of suffixes whose prefix has too many: one row for each."""
     out: list[tuple] = []
-    for _, left, text, docs, marks, places in rows:
+    for _, left, text, docs, marks, places, _ in rows:
         w = text.split(b" ")
         for s in range(len(w) - shape.window + 1):
             window = b" ".join(w[s : s + shape.window])
@@ -211,8 +229,11 @@ def repeated_spans(
         held: list[tuple] = []
         hot, now, size = None, None, 0
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("prefix", "left", "words", "docs", "marks", "places")]
+            columns = [batch.column(c).to_pylist() for c in ("prefix", "left", "words", "docs", "marks", "places", "stops")]
             for row in zip(*columns, strict=True):
+                if row[2] is None:
+                    yield _whole(_span_batch(*(np.array(row[k], np.int64) for k in (3, 4, 5, 6))))
+                    continue
                 if row[0] != now:
                     now, size = row[0], 0
                     # A group ends between two prefixes, once it is large enough.
@@ -241,11 +262,12 @@ def repeated_spans(
         suffixes.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix").mapInArrow(tidy(trees), f"{SPANS}, window binary"),
         "substring-spans",
     )
-    # The smallest doc_id of a window is a combinable aggregate, so no task
-    # holds a hot group; the join back splits skewed windows.
-    hot = found.where("window is not null")
-    least = hot.groupBy("window").agg(F.min("doc").alias("least"))
-    repeated = hot.join(least, "window").where("least < doc")
+    # The smallest doc_id of a window is a combinable aggregate; the join back
+    # goes by window and salt, so that no task holds a hot window.
+    hot = found.where("window is not null").withColumn("salt", F.pmod(F.xxhash64("doc", "a"), F.lit(partitions(spark))))
+    salted = hot.groupBy("window", "salt").agg(F.min("doc").alias("least"))
+    least = salted.groupBy("window").agg(F.min("least").alias("least"))
+    repeated = hot.join(salted.drop("least").join(least, "window"), ["window", "salt"]).where("least < doc")
     return found.where("window is null").drop("window").unionByName(repeated.select("doc", "mark", "a", "b"))
 
 

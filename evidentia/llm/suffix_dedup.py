@@ -35,6 +35,7 @@ from evidentia.llm.repeats import (
     runs_of,
     shared_anchors,
     spans_by_document,
+    union_spans,
 )
 from evidentia.llm.substring_dedup import SPANS, _span_batch, with_mark
 
@@ -97,14 +98,20 @@ def _runs(rows: DataFrame, shape: Shape, bitmap, filter_bits: int, parts: int) -
             # The part is of the first bytes alone; its order means nothing.
             part = ((ids >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
             wide = _padded(data, shape)
+            place = at - offsets[doc]
+            done = np.zeros(len(at), bool)
             dealt = np.argsort(part, kind="stable")
             edges = np.append(runs_of(part[dealt]), len(dealt))
             for a, b in zip(edges, edges[1:], strict=False):
                 w = dealt[a:b]
-                yield _front_coded(
-                    int(part[w[0]]), *_sides(wide, at[w], first[w], last[w], shape),
-                    docs[doc[w]], marks[doc[w]], at[w] - offsets[doc[w]],
+                batch, repeated = _front_coded(
+                    int(part[w[0]]), *_sides(wide, at[w], first[w], last[w], shape), docs[doc[w]], marks[doc[w]], place[w]
                 )
+                done[w[repeated]] = True
+                yield batch
+            if done.any():
+                row, a, b = union_spans(doc[done], (first - offsets[doc])[done], (last + shape.window - offsets[doc])[done])
+                yield _run_row(int(part[dealt[-1]]), 0, {"doc": docs[row].astype("<i8"), "mark": marks[row].astype("<i4"), "place": a.astype("<i8"), "rest": b.astype("<i8")})
 
     return rows.mapInArrow(tidy(run), RUN)
 
@@ -124,7 +131,19 @@ def _sorted(right: np.ndarray, length: np.ndarray, back: np.ndarray, left: np.nd
     return order
 
 
-def _front_coded(part, right, length, back, left, doc, mark, place) -> pa.RecordBatch:
+def _run_row(part: int, n: int, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """A run of ``n`` suffixes; with 0, spans (doc, mark, place, rest) known to be repeats."""
+    compress = zstandard.ZstdCompressor(3).compress
+    names = ["lcp", "rest", "length", "left", "lefts", "count", "doc", "mark", "place"]
+    packed_ = [compress(values[c].tobytes()) if c in values else b"" for c in names]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int32()), pa.array([n], pa.int32()), *[pa.array([v], pa.binary()) for v in packed_]],
+        names=["part", "n", *names],
+    )
+
+
+def _front_coded(part, right, length, back, left, doc, mark, place) -> tuple[pa.RecordBatch, np.ndarray]:
+    """A run, and which occurrences have equal surroundings in a smaller doc."""
     order = _sorted(right, length, back, left)
     right, length, back, left = right[order], length[order], back[order], left[order]
     same = np.zeros(len(order), bool)
@@ -133,25 +152,23 @@ def _front_coded(part, right, length, back, left, doc, mark, place) -> pa.Record
         & (length[1:] == length[:-1]) & (left[1:] == left[:-1])
     )
     rows = np.flatnonzero(~same)
-    count = np.diff(np.append(rows, len(order)))
+    least = np.repeat(np.minimum.reduceat(doc[order], rows), np.diff(np.append(rows, len(order))))
+    repeated = doc[order] > least
+    sent = order[~repeated]
+    count = np.add.reduceat((~repeated).astype("<i4"), rows)
     right, length, back, left = right[rows], length[rows], back[rows], left[rows]
     lcp = common_prefix(right, length)
     column = np.arange(right.shape[1])
-    rest = right[(column >= lcp[:, None]) & (column < length[:, None])]
-    lefts = back[np.arange(back.shape[1]) < left[:, None]]
-    values = [
-        lcp.astype(np.uint8), rest, length.astype(np.uint8), left.astype(np.uint8), lefts,
-        count.astype("<i4"), doc[order].astype("<i8"), mark[order].astype("<i4"), place[order].astype("<i4"),
-    ]
-    names = ["lcp", "rest", "length", "left", "lefts", "count", "doc", "mark", "place"]
-    compress = zstandard.ZstdCompressor(3).compress
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([part], pa.int32()), pa.array([len(rows)], pa.int32()),
-            *[pa.array([compress(v.tobytes())], pa.binary()) for v in values],
-        ],
-        names=["part", "n", *names],
-    )
+    values = {
+        "lcp": lcp.astype(np.uint8),
+        "rest": right[(column >= lcp[:, None]) & (column < length[:, None])],
+        "length": length.astype(np.uint8),
+        "left": left.astype(np.uint8),
+        "lefts": back[np.arange(back.shape[1]) < left[:, None]],
+        "count": count.astype("<i4"),
+        "doc": doc[sent].astype("<i8"), "mark": mark[sent].astype("<i4"), "place": place[sent].astype("<i4"),
+    }
+    return _run_row(part, len(rows), values), order[repeated]
 
 
 def _common(a: bytes, b: bytes, known: int) -> int:
@@ -277,7 +294,10 @@ def repeated_byte_spans(rows: DataFrame, window: int, gram: int = 24, filter_bit
         decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for row in batch.to_pylist():
-                row = {k: decompress(v) if isinstance(v, bytes) else v for k, v in row.items()}
+                row = {k: decompress(v) if v and isinstance(v, bytes) else v for k, v in row.items()}
+                if not row["n"]:
+                    yield _span_batch(*(np.frombuffer(row[c], "<i4" if c == "mark" else "<i8") for c in ("doc", "mark", "place", "rest")))
+                    continue
                 if held and row["part"] != held[0]["part"]:
                     yield _merged_spans(held, shape)
                     held = []
