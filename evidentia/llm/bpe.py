@@ -39,11 +39,11 @@ from pyspark.sql import types as T
 
 from evidentia.llm.common import Growing, Numbers, gathered, list_array, ragged, take_ragged, tidy
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 #: Stretches of text, and words, that a codec remembers.
-STRETCHES, WORDS = 200_000, 300_000
-#: Words that advance together.
-CHUNK_WORDS = 1 << 14
+CACHE_ENTRIES, WORDS = 200_000, 300_000
+#: New stretches, or words, that are looked at together.
+CHUNK = 1 << 14
 NONE, NEVER = 1 << 31, 1 << 30
 
 
@@ -326,8 +326,8 @@ class Codec:
             order = np.insert(order, int(per[:k].sum()), [number(x) for x in pieces])
             per[k] = len(pieces)
         fresh = list(islice(self.words, len(self.word_bounds) - 1, None))
-        for a in range(0, len(fresh), CHUNK_WORDS):
-            part = fresh[a : a + CHUNK_WORDS]
+        for a in range(0, len(fresh), CHUNK):
+            part = fresh[a : a + CHUNK]
             plain = [k for k, x in enumerate(part) if isinstance(x, str) and x != "\n"]
             special = [k for k, x in enumerate(part) if isinstance(x, int)]
             ids, offsets = self.automaton.encode_words([part[k].encode() for k in plain])
@@ -348,13 +348,15 @@ class Codec:
 
     def numbered(self, stretches: pa.Array) -> np.ndarray:
         """Number in the table of each stretch; none may hold white space."""
-        if len(self.stretches) > STRETCHES:
+        if len(self.stretches) > CACHE_ENTRIES:
             self._reset()
         coded = stretches.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         numbers = np.fromiter(map(self.stretches.__getitem__, distinct), np.int64, len(distinct))
         if len(self.stretches) >= len(self.bounds):
-            self._encode_new(list(islice(self.stretches, len(self.bounds) - 1, None)))
+            new = list(islice(self.stretches, len(self.bounds) - 1, None))
+            for a in range(0, len(new), CHUNK):
+                self._encode_new(new[a : a + CHUNK])
         return numbers[np.asarray(coded.indices)]
 
     def _sizes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Text that reaches a Python worker in one Arrow batch.
+ARROW_BYTES = 4 << 20
+
+
+def bounded(query: Callable) -> Callable:
+    """The same query, whose Arrow batches are bounded by bytes.
+
+    Spark's own bound is 10,000 rows, or 64 MB, of whole texts, which both the
+    JVM and the worker hold. A bound that the session sets itself stays.
+    """
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(ARROW_BYTES))
+        return query(spark, *args)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -119,10 +141,20 @@ def slices(
             yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which the allocators would keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def gathered(
     batches: Iterator[pa.RecordBatch], text: str, most_bytes: int
 ) -> Iterator[pa.Table]:
-    """Join batches into tables of about ``most_bytes`` of text each."""
+    """Join batches into tables of about ``most_bytes`` of text each.
+
+    Memory freed since the last table is given back before the next.
+    """
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in slices(batches, text, most_bytes):
@@ -130,6 +162,7 @@ def gathered(
         if held and size + n > most_bytes:
             yield pa.Table.from_batches(held)
             held, size = [], 0
+            give_back()
         held.append(batch)
         size += n
     if held:
@@ -203,8 +236,6 @@ def tidy(mapper: Mapper) -> Mapper:
         try:
             yield from mapper(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return run

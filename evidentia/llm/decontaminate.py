@@ -33,9 +33,11 @@ WINDOW = 8
 #: Words that a window needs beside its placeholders.
 LEAST_WORDS = 4
 FILTER_BITS = 22
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Stretches of text, and words, that a lexicon remembers.
 STRETCHES, WORDS = 200_000, 300_000
+#: New stretches that are looked at together.
+CHUNK = 1 << 14
 _PIECE = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?:;|\n]")
 _STOPS = frozenset(".!?:;|")
 UNITS = frozenset(
@@ -149,7 +151,9 @@ class Lexicon:
         distinct = coded.dictionary.to_pylist()
         numbers = np.fromiter(map(self.stretches.__getitem__, distinct), np.int64, len(distinct))
         if len(self.stretches) >= len(self.bounds):
-            self._learn(list(islice(self.stretches, len(self.bounds) - 1, None)))
+            new = list(islice(self.stretches, len(self.bounds) - 1, None))
+            for a in range(0, len(new), CHUNK):
+                self._learn(new[a : a + CHUNK])
         return numbers[np.asarray(coded.indices)]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.bpe import bpe_encode
-from evidentia.llm.common import shared_dir
+from evidentia.llm.common import bounded, shared_dir
 from evidentia.llm.decontaminate import contaminated
 from evidentia.llm.fingerprint import fingerprint_edits
 from evidentia.llm.quality import fit_quality, held_out, score_quality
@@ -165,18 +165,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "op1_simhash": op1_simhash,
-        "op2_url_filter": op2_url_filter,
-        "op3_decontaminate": op3_decontaminate,
-        "op4_token_counts": op4_token_counts,
-        "op5_bpe": op5_bpe,
-        "op6_substring_dedup": op6_substring_dedup,
-        "op7_suffix_dedup": op7_suffix_dedup,
-        "op8_quality": op8_quality,
-        "op9_fingerprint": op9_fingerprint,
-        "op10_token_files": op10_token_files,
-    }
+    every = (
+        op1_simhash, op2_url_filter, op3_decontaminate, op4_token_counts, op5_bpe, op6_substring_dedup, op7_suffix_dedup,
+        op8_quality, op9_fingerprint, op10_token_files,
+    )
+    return {query.__name__: bounded(query) for query in every}
 
 
 def oracle_sql() -> dict[str, str]:
