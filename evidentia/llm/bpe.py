@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from evidentia.llm.common import Growing, Numbers, gathered, list_array, ragged, take_ragged, tidy
+from evidentia.llm.common import Growing, Numbers, Stretches, gathered, list_array, ragged, take_ragged, tidy
 
 BATCH_BYTES = 3 << 20
 #: Stretches of text, and words, that a codec remembers.
@@ -286,19 +286,23 @@ class Codec:
         for token, i in [*model["vocab"].items(), *self.special.items()]:
             self.labels[i] = token
         self._forget_words()
-        self._reset()
+        self.ids, self.bounds = Growing(np.int32), Growing(np.int64, [0])
+        self.stretches = Stretches(self._encode_new, self._keep)
 
-    def _reset(self) -> None:
-        """Forget all stretches, and all words once there are too many."""
-        self.stretches = Numbers()
+    def _keep(self, stay: np.ndarray) -> None:
+        """Forget stretches, and all words once there are too many."""
+        starts, sizes = self._sizes(stay)
+        ids = take_ragged(self.ids.array, starts, sizes)
         self.ids, self.bounds = Growing(np.int32), Growing(np.int64, [0])
+        self.ids.extend(ids)
+        self.bounds.extend(ragged(sizes)[1:])
         if len(self.words) > WORDS:
             self._forget_words()
 
     def _forget_words(self) -> None:
-        self.words = Numbers()
-        self.line = self.words["\n"]
-        self.word_ids, self.word_bounds = Growing(np.int32), Growing(np.int64, [0])
+        self.words = Numbers(["\n"])
+        self.line = 0
+        self.word_ids, self.word_bounds = Growing(np.int32), Growing(np.int64, [0, 0])
 
     def _marked(self, stretch: str) -> list[str | int]:
         """Pieces of a stretch that may hold special tokens."""
@@ -316,28 +320,23 @@ class Codec:
             marked = {k: self._marked(s) for k, s in enumerate(new) if "<|" in s}
         # One pass over all stretches; the line feeds stay as pieces that part them.
         found = self.parted(_plain("\n".join("" if k in marked else s for k, s in enumerate(new)) if marked else "\n".join(new)))
-        number = self.words.__getitem__
-        order = np.fromiter(map(number, found), np.int64, len(found))
+        order = self.words.of(found)
         breaks = order == self.line
         per = np.diff(np.concatenate([[-1], np.flatnonzero(breaks), [len(found)]])) - 1
         order = order[~breaks]
         for k, pieces in sorted(marked.items(), reverse=True):
             # A special token is the word that is its number.
-            order = np.insert(order, int(per[:k].sum()), [number(x) for x in pieces])
+            order = np.insert(order, int(per[:k].sum()), self.words.of(pieces))
             per[k] = len(pieces)
         fresh = list(islice(self.words, len(self.word_bounds) - 1, None))
         for a in range(0, len(fresh), CHUNK):
             part = fresh[a : a + CHUNK]
-            plain = [k for k, x in enumerate(part) if isinstance(x, str) and x != "\n"]
-            special = [k for k, x in enumerate(part) if isinstance(x, int)]
-            ids, offsets = self.automaton.encode_words([part[k].encode() for k in plain])
-            sizes = np.zeros(len(part), np.int64)
-            sizes[plain], sizes[special] = np.diff(offsets), 1
-            bounds = ragged(sizes)
-            flat = np.empty(int(bounds[-1]), np.int64)
-            own = np.ones(len(flat), bool)
-            own[bounds[special]] = False
-            flat[own], flat[~own] = ids, [part[k] for k in special]
+            special = [k for k, x in enumerate(part) if isinstance(x, int)] if marked else []
+            plain = [x.encode() for x in part if isinstance(x, str)] if special else list(map(str.encode, part))
+            flat, bounds = self.automaton.encode_words(plain)
+            for k in special:
+                flat = np.insert(flat, bounds[k], part[k])
+                bounds = np.concatenate([bounds[: k + 1], bounds[k:] + 1])
             self.word_bounds.extend(bounds[1:] + len(self.word_ids))
             self.word_ids.extend(flat)
         bounds = self.word_bounds.array
@@ -348,16 +347,7 @@ class Codec:
 
     def numbered(self, stretches: pa.Array) -> np.ndarray:
         """Number in the table of each stretch; none may hold white space."""
-        if len(self.stretches) > CACHE_ENTRIES:
-            self._reset()
-        coded = stretches.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.stretches.__getitem__, distinct), np.int64, len(distinct))
-        if len(self.stretches) >= len(self.bounds):
-            new = list(islice(self.stretches, len(self.bounds) - 1, None))
-            for a in range(0, len(new), CHUNK):
-                self._encode_new(new[a : a + CHUNK])
-        return numbers[np.asarray(coded.indices)]
+        return self.stretches.numbered(stretches, CACHE_ENTRIES, CHUNK)
 
     def _sizes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and number of the ids of stretches."""

@@ -6,7 +6,9 @@ import contextlib
 import ctypes
 import functools
 import uuid
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,12 +93,58 @@ def take_ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return values[step]
 
 
-class Numbers(dict):
+class Numbers(defaultdict):
     """Numbers new keys in order of appearance."""
 
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        return n
+    def __init__(self, keys: Iterable = ()):
+        super().__init__(None, zip(keys, count()))
+        self.default_factory = count(len(self)).__next__
+
+    def of(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+
+class Stretches:
+    """Numbers stretches of text in a table of bounded size.
+
+    ``learn`` is called with each new stretch, in order of its number. Once
+    there are more than ``most``, those that only one call has had since the
+    last time are forgotten, or all if there are still too many; ``keep`` is
+    told which numbers stay, in their new order.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], None], keep: Callable[[np.ndarray], None]):
+        self.learn, self.keep = learn, keep
+        self.number, self.calls = Numbers(), np.zeros(1 << 12, np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def forget(self, stay: np.ndarray | None = None) -> None:
+        stay = np.empty(0, np.int64) if stay is None else stay
+        names = list(self.number)
+        self.number = Numbers([names[k] for k in stay.tolist()])
+        self.calls[:] = 0
+        self.keep(stay)
+
+    def numbered(self, stretches: pa.Array, most: int, step: int) -> np.ndarray:
+        """Number of each stretch; new ones are learnt ``step`` at a time."""
+        if len(self) > most:
+            hot = np.flatnonzero(self.calls[: len(self)] > 1)
+            self.forget(hot if len(hot) <= most // 2 else None)
+        coded = stretches.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = len(self)
+        numbers = self.number.of(distinct)
+        if len(self) > len(self.calls):
+            self.calls = np.resize(self.calls, len(self) * 3 // 2)
+        self.calls[known : len(self)] = 0
+        self.calls[numbers] += self.calls[numbers] < 255
+        if len(self) > known:
+            new = list(islice(self.number, known, None))
+            for a in range(0, len(new), step):
+                self.learn(new[a : a + step])
+        return numbers[np.asarray(coded.indices)]
 
 
 class Growing:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import Growing, Numbers, gathered, ragged, take_ragged, tidy
+from evidentia.llm.common import Growing, Numbers, Stretches, gathered, ragged, take_ragged, tidy
 from evidentia.llm.repeats import gram_hash
 
 WINDOW = 8
@@ -83,19 +83,26 @@ class Lexicon:
     """Tokens of the distinct stretches between white space, kept in bounded tables."""
 
     def __init__(self):
-        self.stretches = Numbers()
         self._forget()
+        self.tokens, self.bounds = Growing(np.int32), Growing(np.int64, [0])
+        #: Whether a stop stands before the first token, and behind the last.
+        self.begins, self.ends = Growing(bool), Growing(bool)
+        self.stretches = Stretches(self._learn, self._keep)
 
     def _forget(self) -> None:
         self.words, self.lower = Numbers(), []
         self.kind, self.hash, self.caseless = Growing(np.int8), Growing(np.uint64), Growing(np.uint64)
-        self._drop()
 
-    def _drop(self) -> None:
-        self.stretches.clear()
+    def _keep(self, stay: np.ndarray) -> None:
+        sizes = self.bounds.array[stay + 1] - self.bounds.array[stay]
+        tokens = take_ragged(self.tokens.array, self.bounds.array[stay], sizes)
+        begins, ends = self.begins.array[stay], self.ends.array[stay]
         self.tokens, self.bounds = Growing(np.int32), Growing(np.int64, [0])
-        #: Whether a stop stands before the first token, and behind the last.
         self.begins, self.ends = Growing(bool), Growing(bool)
+        self.tokens.extend(tokens)
+        self.bounds.extend(ragged(sizes)[1:])
+        self.begins.extend(begins)
+        self.ends.extend(ends)
 
     def _learn_words(self) -> None:
         kinds, hashes, caseless = [], [], []
@@ -120,7 +127,7 @@ class Lexicon:
 
     def _learn(self, new: list[str]) -> None:
         found = _PIECE.findall("\n".join(new))
-        which = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        which = self.words.of(found)
         self._learn_words()
         kind = self.kind.array[which]
         line, real = kind == _LINE, kind < _STOP
@@ -144,17 +151,10 @@ class Lexicon:
     def numbered(self, stretches: pa.Array) -> np.ndarray:
         """Number in the table of each stretch; none may hold white space."""
         if len(self.words) > WORDS:
+            # Stretches name words by their numbers, so they go as well.
+            self.stretches.forget()
             self._forget()
-        elif len(self.stretches) > STRETCHES:
-            self._drop()
-        coded = stretches.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        numbers = np.fromiter(map(self.stretches.__getitem__, distinct), np.int64, len(distinct))
-        if len(self.stretches) >= len(self.bounds):
-            new = list(islice(self.stretches, len(self.bounds) - 1, None))
-            for a in range(0, len(new), CHUNK):
-                self._learn(new[a : a + CHUNK])
-        return numbers[np.asarray(coded.indices)]
+        return self.stretches.numbered(stretches, STRETCHES, CHUNK)
 
 
 @lru_cache(maxsize=1)
