@@ -96,12 +96,12 @@ def funnel(
 
 def fetch_papers(papers: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of the ids, with their year and without vectors."""
-    rows = papers.drop("abstract_embedding").join(F.broadcast(ids), "arxiv_id")
+    rows = papers.drop("abstract_embedding").join(ids, "arxiv_id")
     return rows.withColumn("year", year_from_id("arxiv_id"))
 
 
 def fetch_chunks(chunks: DataFrame, ids: DataFrame) -> DataFrame:
-    return chunks.drop("chunk_embedding").join(F.broadcast(ids.select("chunk_uuid").distinct()), "chunk_uuid")
+    return chunks.drop("chunk_embedding").join(ids.select("chunk_uuid").distinct(), "chunk_uuid")
 
 
 def fetch_paper_chunks(chunks: DataFrame, per_paper: int = PAPER_CHUNK_LIMIT) -> DataFrame:
@@ -117,8 +117,13 @@ def fetch_paper_chunks(chunks: DataFrame, per_paper: int = PAPER_CHUNK_LIMIT) ->
 
 
 def lookup(rows: DataFrame, asked: DataFrame, key: str, pattern: str, most: int = LOOKUP_IDS) -> DataFrame:
-    """Asked-for ids (``pos``, key) in order, each found, missing or invalid."""
-    ids = asked.where(F.col("pos") < most).withColumn(key, F.lower(F.trim(key)))
+    """Asked-for ids (``pos``, key) in order, each found, missing or invalid.
+
+    More than ``most`` ids are refused with an error, none is left out.
+    """
+    if asked.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} ids in one look-up")
+    ids = asked.withColumn(key, F.lower(F.trim(key)))
     have = rows.select(key).distinct().withColumn("_have", F.lit(True))
     return ids.join(have, key, "left").select(
         "pos", key,

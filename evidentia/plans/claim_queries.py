@@ -13,9 +13,9 @@ from evidentia.sources.corpus import chunks
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One answer for each document, over its first chunk: right, cut, invented
+    """One answer for each document, over the first of its chunks: right, cut, invented
     and abbreviated ids by turns."""
-    c = chunks(spark, sf_dir, vectors=False).where("section_order = 0")
+    c = chunks(spark, sf_dir, vectors=False, first=True)
     fake = F.concat(F.substring("chunk_uuid", 1, 8), F.lit("-0000-5000-8000-000000000000"))
     cited = F.when(F.col("doc_id") % 4 == 1, fake).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("["), F.substring("chunk_uuid", 1, 8), F.lit("]"))).when(
         F.col("doc_id") % 4 == 3, F.concat(F.lit("99999999"), F.substring("chunk_uuid", 9, 28))
@@ -24,7 +24,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("doc_id", "chunk_uuid", "arxiv_id", "chunk_text", text.alias("answer"))
 
 
-_ANSWERS = f"""{Q.LINES}, first AS (SELECT * FROM chunks WHERE section_order = 0), answers AS (
+_ANSWERS = f"""{Q.LINES}, first AS (SELECT * FROM chunks QUALIFY section_order = min(section_order) OVER (PARTITION BY doc_id)), answers AS (
   SELECT doc_id, chunk_uuid, arxiv_id, chunk_text, CASE doc_id % 4 WHEN 0 THEN chunk_uuid WHEN 1 THEN substr(chunk_uuid, 1, 8) || '-0000-5000-8000-000000000000'
     WHEN 3 THEN '99999999' || substr(chunk_uuid, 9, 28) END AS token FROM first)"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.config import Funnel
 from evidentia.functions import text as X
-from evidentia.functions.vectors import lsh_topk, matryoshka, topk_many
+from evidentia.functions.vectors import cell_topk_many, matryoshka, recall_many, topk_many
 from evidentia.operators import chunking, ingest, retrieval
 from evidentia.plans import sql as Q
 from evidentia.sources.corpus import chunks, papers, query_vectors, table
@@ -237,12 +237,12 @@ R_FUNNEL = _BEST + """ SELECT CAST(pos AS INT) AS pos, chunk_uuid, b.arxiv_id, r
 
 
 def r_fetch_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = papers(spark, sf_dir).where("doc_id < 60 and doc_id % 4 = 0").select("arxiv_id")
+    ids = papers(spark, sf_dir).where("doc_id % 20 = 0").select("arxiv_id")
     return retrieval.fetch_papers(papers(spark, sf_dir), ids).select("arxiv_id", "title", "source", "year", F.length("abstract").alias("chars"))
 
 
 R_FETCH = f"""WITH {Q.PAPERS} SELECT arxiv_id, title, source, CAST(2000 + CAST(substr(arxiv_id, 1, 2) AS INT) AS INT) AS year,
-  CAST(length(abstract) AS INT) AS chars FROM papers WHERE doc_id < 60 AND doc_id % 4 = 0"""
+  CAST(length(abstract) AS INT) AS chars FROM papers WHERE doc_id % 20 = 0"""
 
 
 def r_fetch_paper_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,10 +276,9 @@ FROM asked a LEFT JOIN (SELECT DISTINCT chunk_uuid FROM chunks) c ON a.chunk_uui
 
 
 def r_ann_recall_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = papers(spark, sf_dir).withColumnRenamed("abstract_embedding", "embedding")
-    v = vector(spark, sf_dir)
-    exact = retrieval.shallow_match(p.withColumnRenamed("embedding", "abstract_embedding"), v, 50)
-    return retrieval.recall_of(lsh_topk(p, v, 50, "arxiv_id"), exact, "arxiv_id")
+    """Rows of the exact ten that the cell index finds, for each query."""
+    rows, queries = table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir)
+    return recall_many(cell_topk_many(rows, queries, 10, id_="vec_id"), topk_many(rows, queries, 10, id_="vec_id"), "vec_id")
 
 
 def r_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +339,7 @@ def r_many_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 R_MANY = """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim
-  FROM embeddings e, embeddings q WHERE q.vec_id < 25
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0
 ) SELECT query_id, CAST(rank AS INT) AS rank, vec_id, round(sim, 6) AS sim FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 

@@ -15,41 +15,50 @@ def rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two configs: the nearest ten vectors, and the first ten by a hash."""
     vectors = table(spark, sf_dir, "embeddings")
     dense = topk_many(vectors, query_vectors(spark, sf_dir), 10, id_="vec_id").select(F.lit("dense").alias("config"), "query_id", "rank", F.col("vec_id").alias("doc_id"))
-    plain = query_vectors(spark, sf_dir).where("query_id % 5 <> 0").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")).select(
-        F.lit("plain").alias("config"), "query_id", "rank", ((F.col("query_id") * 13 + F.col("rank") * 7) % 500).alias("doc_id")
+    size = F.lit(max(1, vectors.count()))
+    plain = query_vectors(spark, sf_dir).where("query_id % 100 <> 0").select("query_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("rank")).select(
+        F.lit("plain").alias("config"), "query_id", "rank", ((F.col("query_id") * 13 + F.col("rank") * 7) % size).alias("doc_id")
     )
     return dense.unionByName(plain)
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal labels are relevant; twice so with a good document of that id."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    q = query_vectors(spark, sf_dir).select("query_id", F.col("query_label").alias("label"))
+    """Judged are the 30 nearest and the plain list of each query: equal labels
+    are relevant, and twice so with a good document of that id."""
+    vectors = table(spark, sf_dir, "embeddings")
+    near = topk_many(vectors, query_vectors(spark, sf_dir), 30, id_="vec_id").select("query_id", F.col("vec_id").alias("doc_id"))
+    plain = rankings(spark, sf_dir).where("config = 'plain'").select("query_id", "doc_id")
+    judged = near.unionByName(plain).distinct().where("doc_id <> query_id")
+    v = vectors.select(F.col("vec_id").alias("doc_id"), "label")
+    q = query_vectors(spark, sf_dir).select("query_id", "query_label")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("_g", F.lit(1))
-    return v.join(F.broadcast(q), "label").where("doc_id <> query_id").join(good, "doc_id", "left").select(
-        "query_id", "doc_id", (1 + F.coalesce("_g", F.lit(0))).alias("rel")
+    return judged.join(v, "doc_id").join(q, "query_id").join(good, "doc_id", "left").select(
+        "query_id", "doc_id", F.when(F.col("label") == F.col("query_label"), 1 + F.coalesce("_g", F.lit(0))).otherwise(0).alias("rel")
     )
 
 
 RANKED = """sims AS (
   SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim
-  FROM embeddings e, embeddings q WHERE q.vec_id < 25
+  FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0
+), near AS (
+  SELECT query_id, rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, doc_id) AS rank FROM sims) WHERE rank <= 30
 ), rankings AS (
-  SELECT 'dense' AS config, query_id, rank, doc_id FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, doc_id) AS rank FROM sims) WHERE rank <= 10
-  UNION ALL SELECT 'plain', query_id, rank, (query_id * 13 + rank * 7) % 500 FROM (SELECT vec_id AS query_id, unnest(generate_series(1, 10)) AS rank
-    FROM embeddings WHERE vec_id < 25 AND vec_id % 5 <> 0)
+  SELECT 'dense' AS config, query_id, rank, doc_id FROM near WHERE rank <= 10
+  UNION ALL SELECT 'plain', query_id, rank, (query_id * 13 + rank * 7) % (SELECT count(*) FROM embeddings)
+    FROM (SELECT vec_id AS query_id, unnest(generate_series(1, 10)) AS rank FROM embeddings WHERE vec_id % 20 = 0 AND vec_id % 100 <> 0)
+), judged AS (
+  SELECT query_id, doc_id FROM near UNION SELECT query_id, doc_id FROM rankings WHERE config = 'plain'
 ), qrels AS (
-  SELECT q.vec_id AS query_id, e.vec_id AS doc_id, 1 + CASE WHEN e.vec_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END AS rel
-  FROM embeddings e JOIN embeddings q ON e.label = q.label WHERE q.vec_id < 25 AND e.vec_id <> q.vec_id
+  SELECT query_id, j.doc_id, CASE WHEN e.label = q.label THEN 1 + CASE WHEN j.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END ELSE 0 END AS rel
+  FROM judged j JOIN embeddings e ON j.doc_id = e.vec_id JOIN embeddings q ON j.query_id = q.vec_id WHERE j.doc_id <> query_id
 ), ideal AS (
-  SELECT query_id, count(*) AS relevant, sum(CASE WHEN p <= 10 THEN (pow(2, rel) - 1) / log2(p + 1) END) AS idcg FROM (
+  SELECT query_id, count(*) FILTER (rel > 0) AS relevant, sum(CASE WHEN rel > 0 AND p <= 10 THEN (pow(2, rel) - 1) / log2(p + 1) END) AS idcg FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS p FROM qrels) GROUP BY query_id
 ), hits AS (
   SELECT config, r.query_id, sum((pow(2, rel) - 1) / log2(rank + 1)) AS dcg, count(*) AS top, min(rank) AS first
-  FROM rankings r JOIN qrels j ON r.query_id = j.query_id AND r.doc_id = j.doc_id GROUP BY config, r.query_id
+  FROM rankings r JOIN qrels j ON r.query_id = j.query_id AND r.doc_id = j.doc_id WHERE rel > 0 GROUP BY config, r.query_id
 ), scored AS (
-  SELECT c.config, i.query_id, coalesce(dcg / idcg, 0) AS ndcg, coalesce(top / relevant, 0) AS recall, coalesce(top / relevant, 0) AS recall_k,
+  SELECT c.config, i.query_id, coalesce(dcg / idcg, 0) AS ndcg, coalesce(top / nullif(relevant, 0), 0) AS recall, coalesce(top / nullif(relevant, 0), 0) AS recall_k,
     coalesce(1.0::DOUBLE / first, 0) AS rr, coalesce(top, 0) / 10.0::DOUBLE AS precision
   FROM (SELECT DISTINCT config FROM rankings) c CROSS JOIN ideal i LEFT JOIN hits h ON h.config = c.config AND h.query_id = i.query_id
 )"""
@@ -171,7 +180,7 @@ E_POOLED = "SELECT round(sqrt(avg(s * s)), 4) AS pooled_sd FROM (SELECT coalesce
 
 
 def e_triple_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 3000").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("r"), F.col("l_linenumber") % 8).alias("relation"), (F.col("l_partkey") % 5 != 0).alias("relation_ok"),
         (F.col("l_suppkey") % 7 != 0).alias("head_ok"), (F.col("l_quantity") > 6).alias("tail_ok"),
     )
@@ -180,7 +189,7 @@ def e_triple_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 E_TRIPLES = f"""SELECT relation, n, k AS triple_ok, round(k / n, 6) AS precision, round(greatest(0, {_W.format(s='-')}), 6) AS low, round(least(1, {_W.format(s='+')}), 6) AS high
 FROM (SELECT relation, count(*) AS n, count(*) FILTER (ok) AS k FROM (SELECT 'r' || (l_linenumber % 8) AS relation,
-  l_partkey % 5 <> 0 AND l_suppkey % 7 <> 0 AND l_quantity > 6 AS ok FROM lineitem WHERE l_orderkey < 3000) GROUP BY ROLLUP (relation))"""
+  l_partkey % 5 <> 0 AND l_suppkey % 7 <> 0 AND l_quantity > 6 AS ok FROM lineitem) GROUP BY ROLLUP (relation))"""
 
 
 def e_entity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +232,7 @@ E_CLAUSE = "SELECT p_partkey, true AS same, p_name = 'red ring' AS red_ring FROM
 
 
 def e_oolong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_linenumber").cast("string").alias("answer"), F.lit("3").alias("gold"),
         F.when(F.col("l_partkey") % 2 == 0, "numeric").otherwise("label").alias("kind"), "l_partkey",
     )
@@ -231,7 +240,7 @@ def e_oolong(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 E_OOLONG = """SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_partkey % 2 = 0 THEN pow(0.75, abs(l_linenumber - 3)) WHEN l_linenumber = 3 THEN 1 ELSE 0 END::DOUBLE, 6) AS score
-FROM lineitem WHERE l_orderkey < 500"""
+FROM lineitem"""
 
 
 def e_job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

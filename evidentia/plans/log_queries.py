@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as X
 from evidentia.operators import eventlog as L
 from evidentia.sources.corpus import table
+from evidentia.sources.shared import shared_dir
 
 #: Event types as call types of the log.
 CALLS = {"click": "tool", "view": "chat", "purchase": "jev", "error": "exec", "signup": "emit"}
@@ -111,10 +112,10 @@ L_CACHE = f"""WITH {LOG} SELECT run_id, 't' || (event_id % 4) AS tool, md5(CAST(
 
 
 def l_refs_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.refs(log(spark, sf_dir).where("seq <= 20")).groupBy("run_id").agg(F.count("*").alias("refs"))
+    return L.refs(log(spark, sf_dir)).groupBy("run_id").agg(F.count("*").alias("refs"))
 
 
-L_REFS = f"""WITH {LOG}, f AS (SELECT * FROM log WHERE seq <= 20), refs AS (
+L_REFS = f"""WITH {LOG}, f AS (SELECT * FROM log), refs AS (
   SELECT run_id, 'c' || event_id AS ref FROM f UNION SELECT run_id, 'p' || event_id FROM f UNION SELECT run_id, 'x' || (event_id % 50) FROM f
   UNION SELECT run_id, 's' || event_id FROM f WHERE event_id % 3 = 0 UNION SELECT run_id, 'r' || event_id FROM f
 ) SELECT run_id, count(*) AS refs FROM refs GROUP BY run_id"""
@@ -163,8 +164,7 @@ def l_stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evidentia.streaming.eventlog import stream_totals
 
     batch = table(spark, sf_dir, "events")
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/evidentia-checkpoints"
-    at = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(
         F.col("user_id").alias("run_id"), (F.col("value") / 10000).alias("cost_usd"), F.get_json_object("props", "$.k").cast("int").alias("tokens_in"),
         F.lit(0).alias("tokens_out"), F.when(F.col("event_type") == "click", "tool").otherwise("chat").alias("call_type"),

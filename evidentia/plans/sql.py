@@ -33,7 +33,7 @@ LINES = f"""split_lines AS (
     len(list_filter(regexp_split_to_array(chunk_text, '\\s+'), lambda w: w <> '')) AS token_count
   FROM hashed
 ), vector_chunks AS (
-  SELECT c.*, e.embedding AS chunk_embedding FROM chunks c JOIN embeddings e ON (c.doc_id * 31 + c.section_order) % 500 = e.vec_id
+  SELECT c.*, e.embedding AS chunk_embedding FROM chunks c JOIN embeddings e ON (c.doc_id * 31 + c.section_order) % (SELECT count(*) FROM embeddings) = e.vec_id
 )"""
 
 

@@ -23,7 +23,7 @@ STATEMENTS = {
     "s_window_rank": """SELECT * FROM (SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r
         FROM orders) WHERE r <= 3""",
     "s_window_frame": """SELECT l_orderkey, l_linenumber, round(sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity
-        ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS moving FROM lineitem WHERE l_orderkey < 2000""",
+        ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), 2) AS moving FROM lineitem""",
     "s_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "s_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
     "s_intersect": "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O'",

@@ -42,27 +42,32 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
-    """One row for each line of a document that is not blank."""
+def chunks(spark: SparkSession, sf_dir: str, vectors: bool = True, first: bool = False) -> DataFrame:
+    """One row for each line of a document that is not blank, or for the first of them."""
     kinds = F.array(*[F.lit(x) for x in lex.SECTION_TYPES])
+    placed = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("chunk_text")))
+    written = F.filter(placed, lambda x: F.trim(x["chunk_text"]) != "")
     lines = (
         table(spark, sf_dir, "documents")
-        .select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "chunk_text"))
-        .where(F.trim("chunk_text") != "")
+        .select("doc_id", F.explode(F.slice(written, 1, 1) if first else written).alias("_x"))
+        .select("doc_id", "_x.*")
         .withColumn("arxiv_id", paper_id())
         .withColumn("section_type", F.element_at(kinds, ((F.col("doc_id") + F.col("line")) % 7 + 1).cast("int")))
         .withColumn("section_order", F.col("line").cast("int"))
         .withColumn("token_count", F.size(X.words("chunk_text")))
-        .withColumn("vec_id", (F.col("doc_id") * 31 + F.col("line")) % 500)
         .withColumn("chunk_uuid", X.chunk_uuid("arxiv_id", "section_type", "section_order"))
     )
     if vectors:
-        lines = lines.join(table(spark, sf_dir, "embeddings"), "vec_id").withColumnRenamed("embedding", "chunk_embedding")
+        stored = table(spark, sf_dir, "embeddings")
+        size = F.lit(max(1, stored.count()))
+        lines = lines.withColumn("vec_id", (F.col("doc_id") * 31 + F.col("line")) % size)
+        lines = lines.join(stored, "vec_id").withColumnRenamed("embedding", "chunk_embedding")
     kept = ["chunk_uuid", "arxiv_id", "section_type", "section_order", "chunk_text", "token_count", "doc_id"]
     return lines.select(*kept, *(["chunk_embedding"] if vectors else []))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 25) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set of all searches: every vector whose id is divisible by 20."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label")
     )

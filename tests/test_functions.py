@@ -2,12 +2,13 @@
 
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.config import UUID_NAMESPACE, Funnel, hnsw_ef_for
 from evidentia.functions import text as X
-from evidentia.functions.vectors import cosine, matryoshka, topk_many
+from evidentia.functions.vectors import cell_topk_many, cosine, matryoshka, topk_many
 from evidentia.operators import chunking, claims, ingest
 from evidentia.operators.sqlgate import query_sql, sql_is_allowed, validate_sql
 
@@ -140,3 +141,38 @@ def test_gate_caps_rows(spark):
 
 def test_years():
     assert ingest.parse_years("15-18") == ["15", "16", "17", "18"] and ingest.parse_years("20") == ["20"]
+
+
+def test_topk_in_blocks_equals_one_block(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(60, 5)).round(1)
+    points[40:] = points[7]  # a third of the rows are ties
+    rows = spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in enumerate(points)], "doc_id long, embedding array<double>")
+    queries = rows.where("doc_id % 5 = 0").selectExpr("doc_id as query_id", "embedding as query")
+    one = sorted(map(tuple, topk_many(rows, queries, 4).select("query_id", "rank", "doc_id").collect()))
+    assert one == sorted(map(tuple, topk_many(rows, queries, 4, max_queries=3).select("query_id", "rank", "doc_id").collect()))
+    unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
+    want = []
+    for q in range(0, 60, 5):
+        sims = (unit @ unit[q]).round(12)
+        want += [(q, r, int(i)) for r, i in enumerate(sorted(range(60), key=lambda i: (-sims[i], i))[:4], 1)]
+    got = {(q, r): i for q, r, i in one}
+    assert all(round(float(unit[got[q, r]] @ unit[q]), 9) == round(float(unit[i] @ unit[q]), 9) for q, r, i in want)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_recall_of_the_cell_index(spark, sf):
+    """Over the whole stated query set, against the exact search: 0.9 and more."""
+    from evidentia.plans.corpus_queries import r_ann_recall_lsh
+
+    rows = r_ann_recall_lsh(spark, f"/root/testdata/sf{sf}").collect()
+    assert len(rows) == -(-spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet").count() // 20)
+    assert sum(r["found"] for r in rows) >= 0.9 * sum(r["exact"] for r in rows)
+
+
+def test_cell_index_with_one_hot_cell_and_nulls(spark):
+    rows = spark.createDataFrame([(k, [1.0, 0.0] if k % 3 else None if k % 2 else [0.0, 1.0]) for k in range(40)], "doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.1]), (2, None)], "query_id long, query array<double>")
+    got = cell_topk_many(rows, queries, 3).orderBy("rank").collect()
+    assert [(r["query_id"], r["doc_id"]) for r in got] == [(1, 1), (1, 2), (1, 4)]
+    assert cell_topk_many(rows.limit(0), queries, 3).count() == 0 == cell_topk_many(rows, queries.limit(0), 3).count()
