@@ -103,6 +103,13 @@ POSITIVE_CUES = ("outperform", "surpass", "exceed", "better", "higher", "above",
 NEGATIVE_CUES = ("underperform", "worse", "lower", "below", "less accurate", "inferior")
 GAP_PHRASES = ("unsupported", "could not support", "cannot support", "could not verify", "not supported by")
 
+# Marks of bullets, of lines that are no prose, ends of sentences, what is no word of a claim.
+BULLET = r"[-*•]\s+"
+NO_PROSE = r"(?:[-*•#|>]|\d+\.)\s"
+SENTENCE_END = r"[.!?][\"'”’)\]]*$"
+SENTENCE_GAP = r"(?<=[.!?])\s+"
+NO_CLAIM = r"[\s\-–—•*:;,.()\[\]/|<>\"'`]+"
+
 # The gazetteer builder's patterns and stop words.
 NAME = r"[A-Z][A-Za-z0-9\-\+\.]*(?:\s+[A-Z][A-Za-z0-9\-\+\.]*){0,4}"
 EVAL_CONTEXT = (

@@ -17,6 +17,7 @@ from evidentia.functions import text as X
 
 TEI = "{http://www.tei-c.org/ns/1.0}"
 COUNT_CHARS = 4000
+_WINDOW = re.compile(rf"(?s).{{1,{COUNT_CHARS}}}")
 TokenCounter = Callable[[str], int]
 
 
@@ -73,13 +74,13 @@ class Packer:
         self.count, self.threshold = count, threshold
 
     def size(self, text: str) -> int:
-        """Tokens, never counting more than a bounded stretch at once."""
-        if len(text) <= COUNT_CHARS:
-            return self.count(text)
-        for splitter, _ in self.LEVELS[:2]:
-            if len(parts := [p for p in splitter.split(text) if p]) > 1:
-                return sum(map(self.size, parts))
-        return sum(self.count(text[i : i + COUNT_CHARS]) for i in range(0, len(text), COUNT_CHARS))
+        """Tokens, from pieces that are short enough to count at once."""
+        pieces = [text]
+        for cut in (*(pattern.split for pattern, _ in self.LEVELS[:2]), _WINDOW.findall):
+            if max(map(len, pieces), default=0) <= COUNT_CHARS:
+                break
+            pieces = [q for p in pieces for q in (cut(p) if len(p) > COUNT_CHARS else (p,)) if q]
+        return sum(map(self.count, pieces))
 
     def pack(self, units: list[str], sep: str = "\n\n") -> list[str]:
         joint = self.size(sep) if sep else 0

@@ -46,7 +46,6 @@ def test_cited_ids_in_order_without_versions(spark):
     u = "3b4365f9-1111-5222-8333-444444444444"
     text = f"As in 2103.00020v2 and [{u}], then 2103.00020 and {u} again; not 12345.67890 or 2103.000."
     assert one(spark, X.cited_ids(F.lit(text))) == ["2103.00020", u]
-    assert claims.ids_in(text) == ["2103.00020", u]
 
 
 def test_numbers_quotes_and_estimate(spark):

@@ -158,18 +158,27 @@ def test_direction_verification(spark):
     assert late[2] == late[3] == "unverified"
 
 
-def test_claim_units():
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+def test_claim_units(spark):
+    def units(text, **more):
+        return value(spark, claims.claim_units(F.lit(text).cast("string"), **more))
+
     u = "3b4365f9-1111-5222-8333-444444444444"
     text = f"Intro line without ids.\n- The first finding holds [{u}]\n  and goes on.\n- {u}\n- Second finding is here 2101.00001v3.\n"
-    got = claims.claim_units(text)
+    got = units(text)
     assert [x.ids for x in got] == [[u], ["2101.00001"]] and got[0].text.endswith("and goes on.")
-    assert [x.ids for x in claims.claim_units("No ids at all here.")] == [[]]
-    assert claims.claim_units("") == [] == claims.claim_units(None)
+    assert [x.ids for x in units("No ids at all here.")] == [[]]
+    assert units("") == [] == units(None)
     long = "This line states twelve words or more and it cites nothing at all."
-    assert [x.text for x in claims.claim_units(f"{long}\n# Heading words {long}\nLabel:\n", include_uncited=True)] == [long]
-    assert claims.strip_gaps("a\n\n**Could not support.** x\n- y") == "a"
-    assert claims.strip_gaps("it is unsupported here.") == "it is unsupported here."
-    parts = claims.split_long([claims.Unit("One two three four five six seven eight 2101.00001. Short one. " + "w " * 60, ["2101.00001", "zz"])])
+    assert [x.text for x in units(f"{long}\n# Heading words {long}\nLabel:\n", include_uncited=True)] == [long]
+    assert value(spark, claims.without_gaps(F.lit("a\n\n**Could not support.** x\n- y"))) == "a"
+    assert value(spark, claims.without_gaps(F.lit("it is unsupported here."))) == "it is unsupported here."
+    ids = F.array(F.lit("2101.00001"), F.lit("zz"))
+    text = F.lit("One two three four five six seven eight 2101.00001. Short one. " + "w " * 60)
+    parts = value(spark, claims.split_long(F.array(F.struct(text.alias("text"), ids.alias("ids")))))
     assert parts[0].ids == ["2101.00001"] and parts[0].text.endswith("Short one.")
 
 
@@ -211,3 +220,41 @@ def test_stream_state_equals_batch(spark, tmp_path):
     last = {r["run_id"]: r for r in spark.sql("select * from stream_state order by last_seq").collect()}
     assert (last["r1"]["completion_ref"], last["r1"]["executions"], last["r1"]["last_output"], last["r1"]["last_seq"]) == ("c2", 1, "s3", 4)
     assert last["r2"]["completion_ref"] is None
+
+
+def test_direction_reasons(spark):
+    rows = [
+        (0, "Alpha outperforms Beta.", "Alpha", "Beta", "outperforms", 1.0, False),
+        (1, "Beta outperforms alpha.", "Alpha", "Beta", "outperforms", 0.01, False),
+        (2, "Alpha does not outperform Beta.", "Alpha", "Beta", "outperforms", 1.0, True),
+        (3, "Alpha and Beta are here.", "Alpha", "Beta", "outperforms", 1.0, True),
+        (4, "Beta outperforms Alpha.", "Alpha", "Beta", "no such relation", 0.0, True),
+        (5, "It is better than most, and Alpha surpasses Beta.", "Alpha", "Beta", "outperforms", 1.0, True),
+        (6, "Alpha surpasses Beta. " + "x" * 50 + " never", "Alpha", "Beta", "outperforms", 0.0, True),
+        (7, None, "Alpha", "Beta", "outperforms", 1.0, False),
+        (8, "Gamma outperforms Beta.", "Alpha", "Beta", "outperforms", 0.02, True),
+    ]
+    df = spark.createDataFrame(rows, "i int, s string, h string, t string, r string, m double, b boolean")
+    got = {r["i"]: r["x"] for r in df.select("i", graph.direction_reasons("s", "h", "t", "r", "m", F.col("b")).alias("x")).collect()}
+    assert got[0] == got[4] == got[5] == got[6] == []
+    assert got[1] == ["cue_disagree", "small_margin"] and got[2] == ["negation"]
+    assert got[3] == ["non_decisive_types"] and got[8] == ["small_margin", "non_decisive_types"]
+    assert not got[7]
+
+
+def test_sentence_of_a_triple(spark):
+    text = "First of all. Only beta here. Alpha meets BETA now. Alpha and beta again."
+    cases = [("Alpha", "Beta", "Alpha meets BETA now."), ("Gamma", "beta", "Only beta here."), ("Gamma", "Delta", "First of all.")]
+    for head, tail, want in cases:
+        assert value(spark, graph.sentence_for(F.lit(text), F.lit(head), F.lit(tail))) == want
+    assert value(spark, graph.sentence_for(F.lit(None).cast("string"), F.lit("a"), F.lit("b"))) == ""
+    assert value(spark, graph.spans_of(F.lit("a bb a"), "a|bb")) == [(0, 1), (2, 4), (5, 6)]
+
+
+def test_gap_headings(spark):
+    keep = ["All is well.\nNothing unsupported here", "# a lower case heading is unsupported", "x\n**" + "Long " * 30 + "unsupported**"]
+    for text in keep[1:]:
+        assert value(spark, claims.without_gaps(F.lit(text))) == text
+    for head in ("## Unsupported claims", "**Could not verify**", "__Not supported by the chunks__", "What I cannot support:"):
+        assert value(spark, claims.without_gaps(F.lit(f"Body.\nMore. \n\n{head}\n- z"))) == "Body.\nMore."
+    assert value(spark, claims.without_gaps(F.lit("Unsupported\nx"))) == ""
