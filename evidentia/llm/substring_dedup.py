@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import gathered, list_array, partitions, ragged, stored, take_ragged, tidy
+from evidentia.llm.common import counted_batches, gathered, list_array, partitions, ragged, stored, take_ragged, tidy
 from evidentia.llm.repeats import (
     Shape,
     common_prefix,
@@ -258,10 +258,9 @@ def repeated_spans(
         none = pa.nulls(batch.num_rows, pa.binary())
         return pa.RecordBatch.from_arrays([*batch.columns, none], names=["doc", "mark", "a", "b", "window"])
 
-    found = stored(
-        suffixes.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix").mapInArrow(tidy(trees), f"{SPANS}, window binary"),
-        "substring-spans",
-    )
+    grouped = suffixes.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix")
+    with counted_batches(spark):
+        found = stored(grouped.mapInArrow(tidy(trees), f"{SPANS}, window binary"), "substring-spans")
     # The smallest doc_id of a window is a combinable aggregate; the join back
     # goes by window and salt, so that no task holds a hot window.
     hot = found.where("window is not null").withColumn("salt", F.pmod(F.xxhash64("doc", "a"), F.lit(partitions(spark))))
