@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from evidentia.plans import claim_queries, corpus_queries, evaluation_queries, graph_queries, log_queries, surface_queries
+from evidentia.plans import answer_queries, claim_queries, corpus_queries, evaluation_queries, graph_queries, log_queries, surface_queries
 
 ALL = {
-    **corpus_queries.QUERIES, **claim_queries.QUERIES, **evaluation_queries.QUERIES, **graph_queries.QUERIES, **log_queries.QUERIES, **surface_queries.QUERIES,
+    **corpus_queries.QUERIES, **claim_queries.QUERIES, **answer_queries.QUERIES, **evaluation_queries.QUERIES, **graph_queries.QUERIES, **log_queries.QUERIES, **surface_queries.QUERIES,
 }
