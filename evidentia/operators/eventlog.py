@@ -19,12 +19,13 @@ def _sum(c: str) -> Column:
 
 
 def counts() -> list[Column]:
-    """Every event costs; a failed one is no call."""
-    good = F.col("error").isNull()
+    """Every event costs; a failed model call (it is tried again) is no call, a
+    failed tool was called all the same."""
+    spent = ("cost_usd", "tokens_in", "tokens_out", "cached_tokens", "reasoning_tokens")
     return [
-        _sum("cost_usd").alias("cost_usd"), _sum("tokens_in").alias("tokens_in"), _sum("tokens_out").alias("tokens_out"),
-        F.count_if(F.col("call_type").isin(*MODEL_CALLS) & good).alias("calls"),
-        F.count_if((F.col("call_type") == "tool") & good).alias("tool_calls"),
+        *[_sum(c).alias(c) for c in spent],
+        F.count_if(F.col("call_type").isin(*MODEL_CALLS) & F.col("error").isNull()).alias("calls"),
+        F.count_if(F.col("call_type") == "tool").alias("tool_calls"),
     ]
 
 
@@ -34,7 +35,8 @@ def totals(events: DataFrame, *by: str) -> DataFrame:
 
 def by_action(events: DataFrame) -> DataFrame:
     """Per action, and over all (null), in one aggregation."""
-    return events.rollup("action").agg(F.count("*").alias("events"), _sum("cost_usd").alias("cost_usd"), (_sum("tokens_in") + _sum("tokens_out")).alias("tokens"))
+    named = events.withColumn("action", F.coalesce(F.when(F.col("action") != "", F.col("action")), F.lit("unknown")))
+    return named.rollup("action").agg(F.count("*").alias("events"), *[_sum(c).alias(c) for c in ("cost_usd", "tokens_in", "tokens_out")])
 
 
 def turns(events: DataFrame) -> DataFrame:
@@ -61,6 +63,13 @@ def turns(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "step_idx").agg(
         F.sum(when("chat", "cost_usd")).alias("cost_usd"), F.sum(when("jev", "cost_usd")).alias("judge_cost_usd"),
         F.sum(when("chat", F.col("tokens_in") + F.col("tokens_out"))).alias("tokens"), F.sum(when("chat", "latency_ms")).alias("latency_ms"),
+        *[F.sum(when("chat", c)).alias(c) for c in ("tokens_in", "tokens_out", "cached_tokens", "reasoning_tokens")],
+        F.sum(when("jev", "tokens_in")).alias("jev_tokens_in"),
+        F.count_if(chat & (F.col("actor") == "sub")).alias("sub_tasks"),
+        F.collect_set(F.when(chat & (F.col("actor") == "sub"), F.get_json_object("extra", "$.call_id"))).alias("sub_calls"),
+        F.max_by(F.get_json_object("extra", "$.budget"), F.when(F.get_json_object("extra", "$.budget").isNotNull(), F.col("seq"))).alias("budget"),
+        F.array_compact(F.collect_list("error")).alias("errors"),
+        F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array(*REFS))))).alias("refs"),
         F.min_by(F.when(chat & F.col("model").isNotNull(), F.col("model")), F.when(chat & F.col("model").isNotNull(), F.col("seq"))).alias("model"),
         F.coalesce(
             F.max_by(F.when(root, F.col("completion_ref")), F.when(root, F.col("seq"))),
@@ -125,21 +134,41 @@ def blob_status(blobs: DataFrame) -> DataFrame:
 
 
 def rebuild(events: DataFrame) -> DataFrame:
-    """State of each run at its end: the last root chat, what was executed after
-    it, the last emits and the last budget."""
-    good = events.where("error is null or call_type = 'exec'")
-    root = F.when((F.col("call_type") == "chat") & (F.col("actor") == "root"), F.col("seq"))
-    w = Window.partitionBy("run_id")
-    marked = good.withColumn("chat_seq", F.max(root).over(w))
-    after = F.when((F.col("call_type") == "exec") & (F.col("seq") > F.col("chat_seq")), F.struct("seq", "stdout_ref", "error"))
-    return marked.groupBy("run_id").agg(
-        (F.max("seq") + 1).alias("last_seq"), F.max_by("prompt_ref", root).alias("prompt_ref"), F.max_by("completion_ref", root).alias("completion_ref"),
-        F.transform(
-            F.sort_array(F.collect_list(after)),
-            lambda e: F.coalesce(e["stdout_ref"], F.concat(F.lit("[block failed: "), e["error"], F.lit("]")), F.lit("[block interrupted; effects unknown]")),
-        ).alias("outputs"),
-        F.max_by("extra", F.when(F.col("call_type") == "budget", F.col("seq"))).alias("budget"),
+    """State of each run at its end, as one that goes on would see it.
+
+    The last good root chat's request replaces all messages before
+    (``prompt_ref``); what follows is ``messages``: its completion, then one user
+    message for each execution. ``last_seq`` is the step after the last, of all
+    events; ``budget`` the last that an event's ``extra`` holds; ``emits`` (by
+    variable) and ``tool_results`` (by tool and argument hash) have the last
+    good reference. Without a chat, the executions alone are the messages.
+    """
+    good = F.col("error").isNull()
+    root = F.when((F.col("call_type") == "chat") & (F.col("actor") == "root") & good, F.col("seq"))
+    marked = events.withColumn("chat_seq", F.max(root).over(Window.partitionBy("run_id")))
+    after = F.when((F.col("call_type") == "exec") & (F.col("seq") > F.coalesce("chat_seq", F.lit(-1))), F.struct("seq", "stdout_ref", "error"))
+    budget = F.get_json_object("extra", "$.budget")
+    said = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    outputs = F.transform(
+        F.sort_array(F.collect_list(after)),
+        lambda e: said("user", F.coalesce(e["stdout_ref"], F.concat(F.lit("[block failed: "), e["error"], F.lit("]")), F.lit("[block interrupted; effects unknown]"))),
     )
+    state = marked.groupBy("run_id").agg(
+        F.coalesce(F.max("step_idx") + 1, F.lit(0)).alias("last_seq"), F.max_by("prompt_ref", root).alias("prompt_ref"),
+        F.max_by("completion_ref", root).alias("completion_ref"), outputs.alias("outputs"),
+        F.max_by(budget, F.when(budget.isNotNull(), F.col("seq"))).alias("budget"),
+    )
+    own = F.filter(F.array(said("assistant", F.col("completion_ref"))), lambda m: m["content"].isNotNull())
+    state = state.withColumn("messages", F.concat(own, "outputs")).drop("outputs")
+
+    def last_of(kind: str, key: Column, name: str) -> DataFrame:
+        rows = events.where((F.col("call_type") == kind) & good & F.col("result_ref").isNotNull()).withColumn("_k", key).where("_k is not null")
+        last = rows.groupBy("run_id", "_k").agg(F.max_by("result_ref", "seq").alias("_v"))
+        return last.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v")))).alias(name))
+
+    emits = last_of("emit", F.get_json_object("extra", "$.var"), "emits")
+    tools = last_of("tool", F.concat("tool", F.lit(":"), "args_hash"), "tool_results")
+    return state.join(emits, "run_id", "left").join(tools, "run_id", "left")
 
 
 def compaction(messages: DataFrame, trigger: int, target: int, key: str = "conv_id", order: str = "turn", tokens: str = "tokens") -> DataFrame:

@@ -33,7 +33,10 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("s"), F.col("event_id"))).alias("stdout_ref"), none.alias("stderr_ref"),
         F.concat(F.lit("r"), F.col("event_id")).alias("result_ref"), none.alias("args_ref"), none.alias("reasoning_ref"),
         F.concat(F.lit("t"), F.col("event_id") % 4).alias("tool"), F.md5((F.col("tokens") % 5).cast("string")).alias("args_hash"),
-        F.lit(10).alias("latency_ms"), F.when(F.col("event_id") % 5 == 0, "pass").alias("verdict"), none.alias("extra"),
+        F.lit(10).alias("latency_ms"), F.when(F.col("event_id") % 5 == 0, "pass").alias("verdict"),
+        (F.col("tokens") / 2).cast("int").alias("cached_tokens"), (F.col("event_id") % 3).cast("int").alias("reasoning_tokens"),
+        F.when(F.col("event_id") % 6 == 0, F.concat(F.lit('{"var": "v'), F.col("event_id") % 4, F.lit('", "call_id": "k'), F.col("event_id") % 9, F.lit('"}')))
+        .when(F.col("event_id") % 13 == 0, F.concat(F.lit('{"budget": '), F.col("event_id"), F.lit("}"))).alias("extra"),
     )
 
 
@@ -41,7 +44,10 @@ _CASE = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CALLS
 LOG = f"""log AS (
   SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, ts, event_type AS action,
     {_CASE} AS call_type, value / 10000 AS cost_usd, CAST(props->>'$.k' AS INT) AS tokens,
-    CASE WHEN event_id % 11 = 0 THEN 'failed' END AS error, CASE WHEN event_id % 2 = 0 THEN 'root' ELSE 'sub' END AS actor FROM events
+    CASE WHEN event_id % 11 = 0 THEN 'failed' END AS error, CASE WHEN event_id % 2 = 0 THEN 'root' ELSE 'sub' END AS actor,
+    CAST(props->>'$.k' AS INT) // 2 AS cached_tokens, event_id % 3 AS reasoning_tokens, CASE WHEN event_id % 6 = 0 THEN 'v' || (event_id % 4) END AS var,
+    CASE WHEN event_id % 6 = 0 THEN 'k' || (event_id % 9) END AS call_id, CASE WHEN event_id % 6 <> 0 AND event_id % 13 = 0 THEN CAST(event_id AS VARCHAR) END AS budget
+  FROM events
 )"""
 
 
@@ -50,15 +56,15 @@ def l_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 L_TOTALS = f"""WITH {LOG} SELECT run_id, count(*) AS events, round(sum(coalesce(cost_usd, 0)), 4) AS cost_usd, CAST(sum(tokens) AS BIGINT) AS tokens_in,
-  CAST(0 AS BIGINT) AS tokens_out, count(*) FILTER (call_type IN ('chat', 'jev') AND error IS NULL) AS calls,
-  count(*) FILTER (call_type = 'tool' AND error IS NULL) AS tool_calls FROM log GROUP BY run_id"""
+  CAST(0 AS BIGINT) AS tokens_out, CAST(sum(cached_tokens) AS BIGINT) AS cached_tokens, CAST(sum(reasoning_tokens) AS BIGINT) AS reasoning_tokens,
+  count(*) FILTER (call_type IN ('chat', 'jev') AND error IS NULL) AS calls, count(*) FILTER (call_type = 'tool') AS tool_calls FROM log GROUP BY run_id"""
 
 
 def l_by_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.by_action(log(spark, sf_dir)).withColumn("cost_usd", F.round("cost_usd", 3))
 
 
-L_ACTION = f"""WITH {LOG} SELECT action, count(*) AS events, round(sum(coalesce(cost_usd, 0)), 3) AS cost_usd, CAST(sum(tokens) AS BIGINT) AS tokens
+L_ACTION = f"""WITH {LOG} SELECT action, count(*) AS events, round(sum(coalesce(cost_usd, 0)), 3) AS cost_usd, CAST(sum(tokens) AS BIGINT) AS tokens_in, CAST(0 AS BIGINT) AS tokens_out
 FROM log GROUP BY GROUPING SETS ((action), ())"""
 
 
@@ -149,14 +155,31 @@ def l_budget_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.rebuild(log(spark, sf_dir)).select("run_id", "last_seq", "prompt_ref", "completion_ref", F.size("outputs").alias("outputs"))
+    state = L.rebuild(log(spark, sf_dir))
+    listed = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    return state.select(
+        "run_id", "last_seq", "prompt_ref", "completion_ref", "budget", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("messages"),
+        listed("emits").alias("emits"), listed("tool_results").alias("tool_results"),
+    )
 
 
-L_REBUILD = f"""WITH {LOG}, good AS (SELECT * FROM log WHERE error IS NULL OR call_type = 'exec'), c AS (
-  SELECT *, max(CASE WHEN call_type = 'chat' AND actor = 'root' THEN seq END) OVER (PARTITION BY run_id) AS chat FROM good)
-SELECT run_id, CAST(max(seq) + 1 AS INT) AS last_seq, arg_max('p' || event_id, seq) FILTER (call_type = 'chat' AND actor = 'root') AS prompt_ref,
-  arg_max('c' || event_id, seq) FILTER (call_type = 'chat' AND actor = 'root') AS completion_ref,
-  CAST(count(*) FILTER (call_type = 'exec' AND seq > chat) AS INT) AS outputs FROM c GROUP BY run_id"""
+L_REBUILD = f"""WITH {LOG}, c AS (
+  SELECT *, max(CASE WHEN call_type = 'chat' AND actor = 'root' AND error IS NULL THEN seq END) OVER (PARTITION BY run_id) AS chat FROM log
+), outs AS (
+  SELECT run_id, string_agg('user:' || CASE WHEN event_id % 3 = 0 THEN 's' || event_id WHEN error IS NOT NULL THEN '[block failed: ' || error || ']' ELSE '[block interrupted; effects unknown]' END,
+    '|' ORDER BY seq) AS o FROM c WHERE call_type = 'exec' AND seq > coalesce(chat, -1) GROUP BY run_id
+), emitted AS (
+  SELECT run_id, string_agg(var || '=' || v, ' ' ORDER BY var) AS e FROM (SELECT run_id, var, arg_max('r' || event_id, seq) AS v FROM log
+    WHERE call_type = 'emit' AND error IS NULL AND var IS NOT NULL GROUP BY run_id, var) GROUP BY run_id
+), called AS (
+  SELECT run_id, string_agg(k || '=' || v, ' ' ORDER BY k) AS t FROM (SELECT run_id, 't' || (event_id % 4) || ':' || md5(CAST(tokens % 5 AS VARCHAR)) AS k, arg_max('r' || event_id, seq) AS v
+    FROM log WHERE call_type = 'tool' AND error IS NULL GROUP BY 1, 2) GROUP BY run_id
+), base AS (
+  SELECT run_id, CAST(max(seq // 5) + 1 AS INT) AS last_seq, arg_max('p' || event_id, CASE WHEN seq = chat THEN seq END) AS prompt_ref,
+    arg_max('c' || event_id, CASE WHEN seq = chat THEN seq END) AS completion_ref, arg_max(budget, CASE WHEN budget IS NOT NULL THEN seq END) AS budget FROM c GROUP BY run_id
+)
+SELECT b.run_id, last_seq, prompt_ref, completion_ref, budget, concat_ws('|', 'assistant:' || completion_ref, o) AS messages, e AS emits, t AS tool_results
+FROM base b LEFT JOIN outs ON b.run_id = outs.run_id LEFT JOIN emitted ON b.run_id = emitted.run_id LEFT JOIN called ON b.run_id = called.run_id"""
 
 
 def l_stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +190,8 @@ def l_stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select(
         F.col("user_id").alias("run_id"), (F.col("value") / 10000).alias("cost_usd"), F.get_json_object("props", "$.k").cast("int").alias("tokens_in"),
-        F.lit(0).alias("tokens_out"), F.when(F.col("event_type") == "click", "tool").otherwise("chat").alias("call_type"),
+        F.lit(0).alias("tokens_out"), F.lit(1).alias("cached_tokens"), F.lit(None).cast("int").alias("reasoning_tokens"),
+        F.when(F.col("event_type") == "click", "tool").otherwise("chat").alias("call_type"),
         F.when(F.col("event_id") % 11 == 0, "failed").alias("error"),
     )
 
@@ -183,8 +207,8 @@ def l_stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 L_STREAM = """SELECT user_id AS run_id, count(*) AS events, round(sum(value / 10000), 4) AS cost_usd, CAST(sum(CAST(props->>'$.k' AS INT)) AS BIGINT) AS tokens_in,
-  CAST(0 AS BIGINT) AS tokens_out, count(*) FILTER (event_type <> 'click' AND event_id % 11 <> 0) AS calls,
-  count(*) FILTER (event_type = 'click' AND event_id % 11 <> 0) AS tool_calls FROM events GROUP BY user_id"""
+  CAST(0 AS BIGINT) AS tokens_out, count(*) AS cached_tokens, CAST(0 AS BIGINT) AS reasoning_tokens,
+  count(*) FILTER (event_type <> 'click' AND event_id % 11 <> 0) AS calls, count(*) FILTER (event_type = 'click') AS tool_calls FROM events GROUP BY user_id"""
 
 QUERIES = {
     "l_totals": (l_totals, L_TOTALS), "l_by_action": (l_by_action, L_ACTION), "l_turns": (l_turns, L_TURNS), "l_stop_reason": (l_stop_reason, L_STOP),
