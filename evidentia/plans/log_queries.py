@@ -20,7 +20,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kinds = F.create_map(*[F.lit(x) for pair in CALLS.items() for x in pair])
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    kind = F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("note"))
+    kind = F.when(F.col("event_id") % 17 == 0, "note").otherwise(F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("note")))
     none = F.lit(None).cast("string")
     return e.select(
         F.col("user_id").alias("run_id"), seq.alias("seq"), "event_id", "ts", F.col("event_type").alias("action"), kind.alias("call_type"),
@@ -33,20 +33,20 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("s"), F.col("event_id"))).alias("stdout_ref"), none.alias("stderr_ref"),
         F.concat(F.lit("r"), F.col("event_id")).alias("result_ref"), none.alias("args_ref"), none.alias("reasoning_ref"),
         F.concat(F.lit("t"), F.col("event_id") % 4).alias("tool"), F.md5((F.col("tokens") % 5).cast("string")).alias("args_hash"),
-        F.lit(10).alias("latency_ms"), F.when(F.col("event_id") % 5 == 0, "pass").alias("verdict"),
+        F.lit(10).alias("latency_ms"), F.when(F.col("event_id") % 5 == 0, "pass").when(F.col("event_id") % 7 == 0, "fail").alias("verdict"),
         (F.col("tokens") / 2).cast("int").alias("cached_tokens"), (F.col("event_id") % 3).cast("int").alias("reasoning_tokens"),
-        F.when(F.col("event_id") % 6 == 0, F.concat(F.lit('{"var": "v'), F.col("event_id") % 4, F.lit('", "call_id": "k'), F.col("event_id") % 9, F.lit('"}')))
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"var": "v'), F.col("event_id") % 4, F.lit('", "call_id": "k'), F.col("event_id") % 9, F.lit('"}')))
         .when(F.col("event_id") % 13 == 0, F.concat(F.lit('{"budget": '), F.col("event_id"), F.lit("}"))).alias("extra"),
     )
 
 
-_CASE = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in CALLS.items()) + " ELSE 'note' END"
+_CASE = "CASE WHEN event_id % 17 = 0 THEN 'note' " + " ".join(f"WHEN event_type = '{a}' THEN '{b}'" for a, b in CALLS.items()) + " ELSE 'note' END"
 LOG = f"""log AS (
   SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, ts, event_type AS action,
     {_CASE} AS call_type, value / 10000 AS cost_usd, CAST(props->>'$.k' AS INT) AS tokens,
     CASE WHEN event_id % 11 = 0 THEN 'failed' END AS error, CASE WHEN event_id % 2 = 0 THEN 'root' ELSE 'sub' END AS actor,
-    CAST(props->>'$.k' AS INT) // 2 AS cached_tokens, event_id % 3 AS reasoning_tokens, CASE WHEN event_id % 6 = 0 THEN 'v' || (event_id % 4) END AS var,
-    CASE WHEN event_id % 6 = 0 THEN 'k' || (event_id % 9) END AS call_id, CASE WHEN event_id % 6 <> 0 AND event_id % 13 = 0 THEN CAST(event_id AS VARCHAR) END AS budget
+    CAST(props->>'$.k' AS INT) // 2 AS cached_tokens, event_id % 3 AS reasoning_tokens, CASE WHEN event_id % 3 = 0 THEN 'v' || (event_id % 4) END AS var,
+    CASE WHEN event_id % 3 = 0 THEN 'k' || (event_id % 9) END AS call_id, CASE WHEN event_id % 3 <> 0 AND event_id % 13 = 0 THEN CAST(event_id AS VARCHAR) END AS budget
   FROM events
 )"""
 
@@ -83,7 +83,7 @@ L_TURNS = f"""WITH {LOG} SELECT run_id, CAST(seq // 5 AS INT) AS step_idx, round
   CASE arg_max(CASE WHEN error IS NOT NULL THEN 0 WHEN event_id % 3 = 0 THEN 1 ELSE 2 END, seq) FILTER (call_type = 'exec')
     WHEN 0 THEN false WHEN 1 THEN true END AS ok,
   coalesce(string_agg('t' || (event_id % 4), ',' ORDER BY seq) FILTER (call_type = 'tool'), '') AS tools,
-  CAST(count(*) FILTER (call_type = 'emit') AS INT) AS emits, CAST(count(*) FILTER (call_type = 'note' AND event_id % 5 = 0) AS INT) AS verdicts
+  CAST(count(*) FILTER (call_type = 'emit') AS INT) AS emits, CAST(count(*) FILTER (call_type = 'note' AND (event_id % 5 = 0 OR event_id % 7 = 0)) AS INT) AS verdicts
 FROM log GROUP BY run_id, seq // 5"""
 
 
