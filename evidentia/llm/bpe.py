@@ -28,7 +28,6 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ from evidentia.llm.common import Growing, Numbers, Stretches, gathered, list_arr
 
 BATCH_BYTES = 3 << 20
 #: Stretches of text, and words, that a codec remembers.
-CACHE_ENTRIES, WORDS = 200_000, 300_000
+CACHE_ENTRIES, WORDS = 400_000, 300_000
 #: New stretches, or words, that are looked at together.
 CHUNK = 1 << 14
 NONE, NEVER = 1 << 31, 1 << 30
@@ -320,15 +319,16 @@ class Codec:
             marked = {k: self._marked(s) for k, s in enumerate(new) if "<|" in s}
         # One pass over all stretches; the line feeds stay as pieces that part them.
         found = self.parted(_plain("\n".join("" if k in marked else s for k, s in enumerate(new)) if marked else "\n".join(new)))
-        order = self.words.of(found)
+        order, fresh = self.words.fresh(found)
         breaks = order == self.line
         per = np.diff(np.concatenate([[-1], np.flatnonzero(breaks), [len(found)]])) - 1
         order = order[~breaks]
         for k, pieces in sorted(marked.items(), reverse=True):
             # A special token is the word that is its number.
-            order = np.insert(order, int(per[:k].sum()), self.words.of(pieces))
+            numbers, more = self.words.fresh(pieces)
+            fresh += more
+            order = np.insert(order, int(per[:k].sum()), numbers)
             per[k] = len(pieces)
-        fresh = list(islice(self.words, len(self.word_bounds) - 1, None))
         for a in range(0, len(fresh), CHUNK):
             part = fresh[a : a + CHUNK]
             special = [k for k, x in enumerate(part) if isinstance(x, int)] if marked else []

@@ -8,7 +8,7 @@ import functools
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
-from itertools import count, islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +124,14 @@ class Numbers(defaultdict):
     def of(self, keys: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 
+    def fresh(self, keys: list) -> tuple[np.ndarray, list]:
+        """Numbers of the keys, and the keys that are new, in order of their number."""
+        known = len(self)
+        numbers = self.of(keys)
+        later = np.flatnonzero(numbers >= known)
+        first = later[np.unique(numbers[later], return_index=True)[1]]
+        return numbers, [keys[k] for k in first.tolist()]
+
 
 class Stretches:
     """Numbers stretches of text in a table of bounded size.
@@ -162,7 +170,7 @@ class Stretches:
         self.calls[known : len(self)] = 0
         self.calls[numbers] += self.calls[numbers] < 255
         if len(self) > known:
-            new = list(islice(self.number, known, None))
+            new = [distinct[k] for k in np.flatnonzero(numbers >= known).tolist()]
             for a in range(0, len(new), step):
                 self.learn(new[a : a + step])
         return numbers[np.asarray(coded.indices)]

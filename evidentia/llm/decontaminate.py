@@ -17,7 +17,6 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -104,9 +103,9 @@ class Lexicon:
         self.begins.extend(begins)
         self.ends.extend(ends)
 
-    def _learn_words(self) -> None:
+    def _learn_words(self, fresh: list[str]) -> None:
         kinds, hashes, caseless = [], [], []
-        for word in islice(self.words, len(self.kind), None):
+        for word in fresh:
             low = word.lower()
             self.lower.append(word if low == word else low)
             if word in _STOPS or word == "\n":
@@ -127,8 +126,8 @@ class Lexicon:
 
     def _learn(self, new: list[str]) -> None:
         found = _PIECE.findall("\n".join(new))
-        which = self.words.of(found)
-        self._learn_words()
+        which, fresh = self.words.fresh(found)
+        self._learn_words(fresh)
         kind = self.kind.array[which]
         line, real = kind == _LINE, kind < _STOP
         owner = np.cumsum(line) - line
