@@ -95,13 +95,15 @@ def choose(sweep: DataFrame, least_pass: float = 0.25, least_tpr: float = 0.5, l
 
 
 def stratified(rows: DataFrame, stratum: str, n: int, seed: int, key: str) -> DataFrame:
-    """About ``n`` rows, ``max(1, round(n * share))`` of each stratum, by hash."""
+    """``n`` rows, ``max(1, round(n * share))`` of each stratum, by hash: cut to
+    ``n`` if these are more, and topped up in the same order if they are fewer."""
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
     total = rows.agg(F.count("*").alias("_all"))
     sized = rows.join(F.broadcast(rows.groupBy(stratum).agg(F.count("*").alias("_size"))), stratum).join(F.broadcast(total), how="cross")
     ranked = sized.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)))
     quota = F.greatest(F.lit(1), F.round(n * F.col("_size") / F.col("_all")))
-    return ranked.where(F.col("_r") <= quota).withColumn("_o", order).orderBy("_o", key).limit(n).drop("_r", "_o", "_size", "_all")
+    within = ranked.withColumn("_late", F.col("_r") > quota).withColumn("_o", order)
+    return within.orderBy("_late", "_o", key).limit(n).drop("_r", "_o", "_late", "_size", "_all")
 
 
 #: Bands of scores for calibration: half open, the last one closed by its bound.
@@ -144,6 +146,34 @@ def triple_precision(rows: DataFrame) -> DataFrame:
     return out.withColumn("precision", F.try_divide("triple_ok", "n")).withColumn("low", low).withColumn("high", high)
 
 
+def lenient_types(rows: DataFrame) -> DataFrame:
+    """Type flags (``head_ok, tail_ok``) that let a benchmark be a Dataset or a Method."""
+    from evidentia.operators.graph import is_benchmark
+
+    def flag(side: str) -> Column:
+        return F.col(f"{side}_ok") | (is_benchmark(F.col(side)) & F.col(f"{side}_type").isin("Dataset", "Method"))
+
+    return rows.withColumns({f"{side}_ok": flag(side) for side in ("head", "tail")})
+
+
+def entity_recall_by_type(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Of each gold type: entities, those found, and those found with their type."""
+    g = gold.select("chunk", X.fold("name").alias("name"), "type").dropDuplicates(["chunk", "name"])
+    p = predicted.select("chunk", X.fold("name").alias("name"), F.col("type").alias("_t")).dropDuplicates(["chunk", "name"])
+    out = g.join(p, ["chunk", "name"], "left").groupBy("type").agg(
+        F.count("*").alias("gold"), F.count("_t").alias("untyped"), F.count_if(F.col("_t") == F.col("type")).alias("typed")
+    )
+    return out.withColumn("recall", X.rate(F.col("untyped"), F.col("gold"))).withColumn("typed_recall", X.rate(F.col("typed"), F.col("gold")))
+
+
+def confusion_intervals(sweep: DataFrame) -> DataFrame:
+    """Wilson bounds of the true positive and negative rates of each cell."""
+    for rate, hit, miss in (("tpr", "tp", "fn"), ("tnr", "tn", "fp")):
+        low, high = X.wilson(F.col(hit), F.col(hit) + F.col(miss))
+        sweep = sweep.withColumn(f"{rate}_low", low).withColumn(f"{rate}_high", high)
+    return sweep
+
+
 def entity_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Recall and precision of (chunk, folded name), typed and not."""
     g = gold.select("chunk", X.fold("name").alias("name"), F.col("type").alias("g_type")).dropDuplicates(["chunk", "name"])

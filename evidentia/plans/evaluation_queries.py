@@ -139,6 +139,18 @@ def e_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 E_SWEEP = f"WITH {SWEEP} SELECT rule, tau, tp, fn, fp, tn, {', '.join(f'round({r}, 6) AS {r}' for r in _RATES)} FROM sweep"
 
 
+def e_sweep_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = ("tpr_low", "tpr_high", "tnr_low", "tnr_high")
+    return E.confusion_intervals(E.threshold_sweep(gates(spark, sf_dir))).select("rule", "tau", *[F.round(c, 6).alias(c) for c in bounds])
+
+
+_BOUND = "CASE WHEN {n} = 0 THEN 0 ELSE round({cut}({edge}, (({k} / {n} + 3.8416::DOUBLE / (2 * {n})) {s} 1.96::DOUBLE * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + 3.8416::DOUBLE / (4.0::DOUBLE * {n} * {n}))) / (1 + 3.8416::DOUBLE / {n})), 6) END"
+E_INTERVALS = f"WITH {SWEEP} SELECT rule, tau, " + ", ".join(
+    _BOUND.format(k=k, n=f"({k} + {m})", cut="greatest" if s == "-" else "least", edge=0 if s == "-" else 1, s=s) + f" AS {name}_{'low' if s == '-' else 'high'}"
+    for name, k, m in (("tpr", "tp", "fn"), ("tnr", "tn", "fp")) for s in "-+"
+) + " FROM sweep"
+
+
 def e_choose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.choose(E.threshold_sweep(gates(spark, sf_dir)), 0.25, 0.3, 0.3).select("rule", "tau", "tp", F.round("precision", 6).alias("precision"))
 
@@ -153,7 +165,7 @@ def e_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 E_STRATIFIED = """WITH d AS (SELECT doc_id, source, md5(CAST(doc_id AS VARCHAR) || '7') AS o, count(*) OVER (PARTITION BY source) AS size, count(*) OVER () AS total
   FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o, doc_id) AS rn FROM d)
-SELECT doc_id, source FROM r WHERE rn <= greatest(1, round(60 * size / total)) ORDER BY o, doc_id LIMIT 60"""
+SELECT doc_id, source FROM r ORDER BY rn > greatest(1, round(60 * size / total)), o, doc_id LIMIT 60"""
 
 
 def e_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +204,35 @@ FROM (SELECT relation, count(*) AS n, count(*) FILTER (ok) AS k FROM (SELECT 'r'
   l_partkey % 5 <> 0 AND l_suppkey % 7 <> 0 AND l_quantity > 6 AS ok FROM lineitem) GROUP BY ROLLUP (relation))"""
 
 
+def e_triple_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision where a benchmark may be a dataset or a method, beside the strict one."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.lit("r").alias("relation"), F.lit(True).alias("relation_ok"), (F.col("l_partkey") % 5 != 0).alias("head_ok"), (F.col("l_suppkey") % 7 != 0).alias("tail_ok"),
+        F.when(F.col("l_partkey") % 2 == 0, "HotpotQA").otherwise("Net").alias("head"), F.when(F.col("l_linenumber") % 2 == 0, "Dataset").otherwise("Task").alias("head_type"),
+        F.lit("BERT").alias("tail"), F.lit("Method").alias("tail_type"),
+    )
+    strict, kind = E.triple_precision(rows), E.triple_precision(E.lenient_types(rows))
+    return strict.where("relation is null").select(F.lit("strict").alias("view"), "n", "triple_ok").unionByName(
+        kind.where("relation is null").select(F.lit("lenient").alias("view"), "n", "triple_ok")
+    )
+
+
+E_LENIENT = """SELECT 'strict' AS view, count(*) AS n, count(*) FILTER (l_partkey % 5 <> 0 AND l_suppkey % 7 <> 0) AS triple_ok FROM lineitem UNION ALL
+SELECT 'lenient', count(*), count(*) FILTER ((l_partkey % 5 <> 0 OR (l_partkey % 2 = 0 AND l_linenumber % 2 = 0)) AND l_suppkey % 7 <> 0) FROM lineitem"""
+
+
+def e_entity_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    named = li.select(F.col("l_orderkey").alias("chunk"), F.concat(F.lit("N "), F.col("l_partkey").cast("string")).alias("name"), (F.col("l_partkey") % 3).alias("t"), "l_partkey")
+    kind = F.element_at(F.array(F.lit("Method"), F.lit("Task"), F.lit("Metric")), (F.col("t") + 1).cast("int"))
+    found = named.where("l_partkey % 4 <> 0").select("chunk", F.upper("name").alias("name"), F.when(F.col("l_partkey") % 5 == 0, "Other").otherwise(kind).alias("type"))
+    return E.entity_recall_by_type(named.select("chunk", "name", kind.alias("type")), found)
+
+
+E_BY_TYPE = """WITH g AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS p FROM lineitem), k AS (SELECT ['Method', 'Task', 'Metric'][p % 3 + 1] AS type, count(*) AS gold, count(*) FILTER (p % 4 <> 0) AS untyped,
+  count(*) FILTER (p % 4 <> 0 AND p % 5 <> 0) AS typed FROM g GROUP BY 1) SELECT *, round(untyped / gold, 4) AS recall, round(typed / gold, 4) AS typed_recall FROM k"""
+
+
 def e_entity_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     gold = rows.where("l_linenumber <= 2").select(F.col("l_orderkey").alias("chunk"), F.col("p_name").alias("name"), F.lit("Method").alias("type"))
@@ -277,6 +318,7 @@ E_POOL = f"WITH {RANKED} SELECT DISTINCT query_id, doc_id FROM rankings WHERE ra
 QUERIES = {
     "e_ndcg": (e_ndcg, E_NDCG), "e_recall_mrr_p": (e_recall_mrr_p, E_RECALL), "e_score_config": (e_score_config, E_CONFIG), "e_kappa": (e_kappa, E_KAPPA),
     "e_wilson": (e_wilson, E_WILSON), "e_threshold_sweep": (e_threshold_sweep, E_SWEEP), "e_choose": (e_choose, E_CHOOSE),
+    "e_sweep_intervals": (e_sweep_intervals, E_INTERVALS), "e_triple_lenient": (e_triple_lenient, E_LENIENT), "e_entity_by_type": (e_entity_by_type, E_BY_TYPE),
     "e_stratified": (e_stratified, E_STRATIFIED), "e_bands": (e_bands, E_BANDS), "e_mean_sd": (e_mean_sd, E_MEAN), "e_pooled_sd": (e_pooled_sd, E_POOLED),
     "e_triple_precision": (e_triple_precision, E_TRIPLES), "e_entity_recall": (e_entity_recall, E_ENTITY), "e_value_match": (e_value_match, E_VALUE),
     "e_clause_match": (e_clause_match, E_CLAUSE), "e_oolong": (e_oolong, E_OOLONG), "e_job_matrix": (e_job_matrix, E_JOBS),

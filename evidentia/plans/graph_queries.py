@@ -33,6 +33,7 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("l_orderkey") % 300).alias("chunk_uuid"), F.concat(F.lit("a"), F.col("l_orderkey") % 50).alias("arxiv_id"),
         *[none.cast(k).alias(f"{s}_type_{n}") for s in G.SIDES for n, k in (("source", "string"), ("confidence", "double"))],
         (F.col("l_tax") - 0.03).alias("direction_margin"),
+        F.when(F.col("l_partkey") % 3 == 0, True).when(F.col("l_partkey") % 3 == 1, False).alias("direction_verified"),
     )
 
 
@@ -45,7 +46,8 @@ TRIPLES = f"""t AS (
   SELECT ((l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS ord, {_name('l_suppkey % 12')} AS head,
     {_TYPES}[(l_suppkey % 12) % 6 + 1] AS head_type, CASE WHEN l_partkey % 11 = 0 THEN 'improves' ELSE {list(RELATIONS)}[l_linenumber % 8 + 1] END AS relation,
     {_name('l_partkey % 12')} AS tail, {_TYPES}[(l_partkey % 12) % 6 + 1] AS tail_type, round(l_quantity / 100 + l_discount, 4) AS score,
-    'c' || (l_orderkey % 300) AS chunk_uuid, 'a' || (l_orderkey % 50) AS arxiv_id, l_tax - 0.03 AS direction_margin FROM lineitem
+    'c' || (l_orderkey % 300) AS chunk_uuid, 'a' || (l_orderkey % 50) AS arxiv_id, l_tax - 0.03 AS direction_margin,
+    CASE l_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS direction_verified FROM lineitem
 )"""
 _SCHEMA = "schema_(relation, heads, tails) AS (VALUES " + ", ".join(f"('{r}', {list(s[0])}, {list(s[1])})" for r, s in lex.RELATION_SCHEMA.items()) + ")"
 REASON = f"""{_SCHEMA}, judged AS (
@@ -154,7 +156,7 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _GRAPH = f"""{TRIPLES}, dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(head), relation, lower(tail) ORDER BY ord) AS r FROM t) WHERE r = 1),
-edges AS (SELECT lower(head) AS src, lower(tail) AS dst, relation, score, chunk_uuid, arxiv_id FROM dd), ends AS (
+edges AS (SELECT lower(head) AS src, lower(tail) AS dst, relation, score, chunk_uuid, arxiv_id, direction_verified FROM dd), ends AS (
   SELECT ord, 0 AS side, lower(head) AS key, head AS display, head_type AS type FROM dd UNION ALL SELECT ord, 1, lower(tail), tail, tail_type FROM dd),
 nodes AS (SELECT key, display, type, 'model' AS type_source FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord, side) AS r FROM ends) WHERE r = 1)"""
 
@@ -191,7 +193,8 @@ G_SUBGRAPH = f"""WITH {_GRAPH}, k AS (SELECT key FROM nodes WHERE type IN ('Meth
 SELECT src, dst, relation FROM edges WHERE src IN (SELECT key FROM k) AND dst IN (SELECT key FROM k)"""
 G_SUMMARY = f"""WITH {_GRAPH} SELECT 'nodes' AS kind, 'all' AS name, count(*) AS n FROM nodes UNION ALL SELECT 'edges', 'all', count(*) FROM edges
 UNION ALL SELECT 'type', type, count(*) FROM nodes GROUP BY type UNION ALL SELECT 'type_source', type_source, count(*) FROM nodes GROUP BY type_source
-UNION ALL SELECT 'relation', r, count(e.relation) FROM (SELECT unnest({list(RELATIONS)}) AS r) LEFT JOIN edges e ON e.relation = r GROUP BY r"""
+UNION ALL SELECT 'relation', r, count(e.relation) FROM (SELECT unnest({list(RELATIONS)}) AS r) LEFT JOIN edges e ON e.relation = r GROUP BY r
+UNION ALL SELECT 'direction', s, count(e.src) FROM (SELECT unnest(['verified', 'unverified', 'unknown']) AS s) LEFT JOIN edges e ON s = CASE WHEN direction_verified THEN 'verified' WHEN NOT direction_verified THEN 'unverified' ELSE 'unknown' END GROUP BY s"""
 G_DEGREE = f"""WITH {_GRAPH} SELECT key, count(*) AS degree FROM (SELECT src AS key FROM edges UNION ALL SELECT dst FROM edges) GROUP BY key ORDER BY degree DESC, key LIMIT 5"""
 
 
@@ -206,12 +209,8 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g_cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that reach themselves; each round doubles the length of the paths."""
-    edges = trade(spark, sf_dir)
-    paths = edges
-    for _ in range(5):  # 2**5 > 25 nodes
-        paths = paths.unionByName(paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")).distinct()
-    return paths.where("src = dst").select(F.col("src").alias("node"))
+    """Nations that are on a cycle of the trade edges."""
+    return G.cycle_members(trade(spark, sf_dir))
 
 
 G_CYCLES = """WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * k + 3) % 25 AS dst FROM nation, (SELECT unnest([2, 7]) AS k)
@@ -276,9 +275,73 @@ def g_gazetteer_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.build_gazetteer(p).select("key", "type", "count", "name", "confidence")
 
 
-G_BUILD = """WITH n AS (SELECT lower(p_name) AS key, 'Dataset' AS type, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM part
+G_BUILD = """WITH m AS (SELECT lower(p_name) AS key, 'Dataset' AS type, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name FROM part
   UNION ALL SELECT 'accuracy', 'Metric', 'accuracy' FROM part UNION ALL SELECT 'f1-score', 'Metric', 'F1-score' FROM part UNION ALL SELECT 'bleu-4', 'Metric', 'BLEU-4' FROM part WHERE p_size > 25)
-SELECT key, type, count(*) AS count, min(name) AS name, CASE WHEN count(*) >= 10 THEN 0.9 WHEN count(*) >= 5 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence FROM n GROUP BY key, type HAVING count(*) >= 2"""
+SELECT key, type, count(*) * CASE type WHEN 'Dataset' THEN 2 ELSE 1 END AS count, min(name) AS name,
+  CASE WHEN type = 'Dataset' THEN CASE WHEN 2 * count(*) >= 5 THEN 0.9 ELSE 0.8 END WHEN count(*) >= 10 THEN 0.9 WHEN count(*) >= 5 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence
+FROM m GROUP BY key, type HAVING type = 'Dataset' OR count(*) >= 2"""
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small node-link document of each part."""
+    name, brand, key = F.col("p_name"), F.col("p_brand"), F.col("p_partkey").cast("string")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    json = F.concat(
+        F.lit('{"directed": true, "nodes": [{"key": "a", "display": '), quoted(name), F.lit(', "type": "Method"}, {"key": "b", "display": '), quoted(brand),
+        F.lit(', "type": "Dataset"}], "links": [{"src": "a", "dst": "b", "relation": "uses", "score": 0.5, "chunk_uuid": "c'), key,
+        F.lit('"}, {"src": "b", "dst": "z", "relation": "extends", "score": 1, "chunk_uuid": null}]}'),
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("payload"), json.alias("json"))
+
+
+def g_payload_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.payload_triples(payloads(spark, sf_dir))
+
+
+G_PAYLOAD = """SELECT p_partkey AS payload, p_name AS head, 'Method' AS head_type, 'uses' AS relation, p_brand AS tail, 'Dataset' AS tail_type, 0.5::DOUBLE AS score, 'c' || p_partkey AS chunk_uuid FROM part
+UNION ALL SELECT p_partkey, p_brand, 'Dataset', 'extends', 'z', 'Concept', 1, NULL FROM part"""
+
+
+def g_payload_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.payload_entities(payloads(spark, sf_dir))
+
+
+G_PAYLOAD_ENTITIES = """SELECT p_partkey AS payload, 'c' || p_partkey AS chunk_uuid, p_name AS name, 'Method' AS type FROM part
+UNION ALL SELECT p_partkey, 'c' || p_partkey, p_brand, 'Dataset' FROM part"""
+
+
+def g_gold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("instance_id"), F.concat(F.lit("c"), F.col("o_orderkey") % 400).alias("chunk_uuid"))
+    return G.gold_coverage(gold, graph(spark, sf_dir)[1])
+
+
+G_COVERAGE = f"""WITH {_GRAPH}, h AS (SELECT DISTINCT chunk_uuid FROM edges) SELECT o_custkey AS instance_id, count(*) AS claims, count(h.chunk_uuid) AS covered, round(count(h.chunk_uuid) / count(*), 4) AS coverage
+FROM orders LEFT JOIN h ON 'c' || (o_orderkey % 400) = h.chunk_uuid GROUP BY o_custkey"""
+
+
+def plain_extractor(text: str) -> list[tuple[str, str, str, str, str, float]]:
+    """Triples of made-up texts: ``X outperforms Y on Z.``"""
+    out = []
+    for line in text.split(". "):
+        words = line.rstrip(".").split(" outperforms ")
+        if len(words) == 2:
+            loser, _, bench = words[1].partition(" on ")
+            out += [(words[0], "Method", "outperforms", loser, "Method", 0.9), (words[0], "Method", "evaluated_on", bench, "Dataset", 0.4 if bench.endswith("9") else 0.8)]
+    return out
+
+
+def g_build_kg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that every stage leaves, over one made-up text of each part."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("Alpha"), k, F.lit(" outperforms "), F.when(F.col("p_partkey") % 4 == 0, F.lit("it")).otherwise(F.concat(F.lit("Beta"), (F.col("p_partkey") % 7).cast("string"))), F.lit(" on Corpus "), k, F.lit("."))
+    chunks_ = p.select(F.concat(F.lit("c"), k).alias("chunk_uuid"), F.concat(F.lit("a"), F.col("p_partkey") % 9).alias("arxiv_id"), text.alias("chunk_text"))
+    return G.stage_counts(G.build_kg(chunks_, plain_extractor)).select("stage", "n")
+
+
+G_KG = """WITH p AS (SELECT p_partkey AS k, CAST(p_partkey AS VARCHAR) LIKE '%9' AS low, p_partkey % 4 = 0 AS it FROM part), c AS (SELECT count(*) + count(*) FILTER (NOT low) AS e, count(*) FILTER (it) AS its,
+  count(*) FILTER (NOT it) AS wins, count(*) FILTER (NOT low) AS evals, count(DISTINCT CASE WHEN NOT it THEN k % 7 END) AS losers FROM p)
+SELECT 'extracted' AS stage, e AS n FROM c UNION ALL SELECT 'coref', e FROM c UNION ALL SELECT 'spans', e FROM c UNION ALL SELECT 'processed', e - its FROM c UNION ALL SELECT 'ontology', e - its FROM c
+UNION ALL SELECT 'dedup', e - its FROM c UNION ALL SELECT 'nodes', (SELECT count(*) FROM p WHERE NOT it OR NOT low) + losers + evals FROM c UNION ALL SELECT 'edges', e - its FROM c"""
 
 QUERIES = {
     "g_ontology_filter": (g_ontology_filter, G_ONTOLOGY), "g_drop_counts": (g_drop_counts, G_COUNTS), "g_gazetteer": (g_gazetteer, G_GAZETTEER),
@@ -287,5 +350,6 @@ QUERIES = {
     "g_edges": (g_edges, G_EDGES), "g_neighbors": (g_neighbors, G_NEIGHBORS), "g_subgraph": (g_subgraph, G_SUBGRAPH), "g_index_summary": (g_index_summary, G_SUMMARY),
     "g_top_degree": (g_top_degree, G_DEGREE), "g_cycle_break": (g_cycle_break, None), "g_cycle_members": (g_cycle_members, G_CYCLES),
     "g_coref": (g_coref, G_COREF), "g_span_filter": (g_span_filter, G_SPANS), "g_verify_budget": (g_verify_budget, G_VERIFY),
-    "g_gazetteer_build": (g_gazetteer_build, G_BUILD),
+    "g_gazetteer_build": (g_gazetteer_build, G_BUILD), "g_payload_triples": (g_payload_triples, G_PAYLOAD), "g_payload_entities": (g_payload_entities, G_PAYLOAD_ENTITIES),
+    "g_gold_coverage": (g_gold_coverage, G_COVERAGE), "g_build_kg": (g_build_kg, G_KG),
 }
