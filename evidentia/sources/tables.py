@@ -28,12 +28,18 @@ RANKINGS = "config string, query_id string, rank int, doc_id string"
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, keep_corrupt: bool = False) -> DataFrame:
-    """JSON lines by schema; blank, corrupt and non-object lines are left out."""
+    """JSON lines by schema; blank, corrupt and non-object lines are left out.
+
+    Lines are parsed as text, so that whether one is corrupt is known whatever
+    columns a query asks for.
+    """
     whole = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    if keep_corrupt:
-        return rows
-    return rows.where("_corrupt is null").drop("_corrupt")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    body = F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    odd = ~F.startswith(F.ltrim("value"), F.lit("{"))
+    rows = lines.select(body.alias("r"), odd.alias("odd")).select("r.*", "odd")
+    rows = rows.withColumn("_corrupt", F.when(F.col("odd"), F.lit("")).otherwise(F.col("_corrupt"))).drop("odd")
+    return rows if keep_corrupt else rows.where("_corrupt is null").drop("_corrupt")
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -74,6 +80,48 @@ def rankings(spark: SparkSession, path: str) -> DataFrame:
     return csv(spark, path, RANKINGS)
 
 
+INSTRUMENT = "instance_id string, instrument string, query string, answer_format string, gold string, meta string"
+TRIPLE_SHEET = (
+    "id string, head string, head_type string, relation string, tail string, tail_type string, score double, chunk_uuid string, "
+    "arxiv_id string, section_type string, gold_relation_ok string, gold_head_type_ok string, gold_tail_type_ok string, notes string"
+)
+ENTITY_SHEET = "chunk_uuid string, arxiv_id string, section_type string, chunk_text string, gold_entities string, notes string"
+POINTS = "points array<struct<name: string, k: int, n: int, C: int, c_top: int>>"
+QUERIES = "id string, text string"
+
+
+def instruments(spark: SparkSession, path: str) -> DataFrame:
+    """Instances by line; one without an id is an error when it is read."""
+    rows = spark.read.schema(INSTRUMENT).option("mode", "FAILFAST").json(path)
+    checked = F.when(F.col("instance_id").isNull(), F.raise_error(F.lit("an instance has no instance_id"))).otherwise(F.col("instance_id"))
+    return rows.withColumn("instance_id", checked)
+
+
+def triple_sheet(spark: SparkSession, path: str) -> DataFrame:
+    return csv(spark, path, TRIPLE_SHEET)
+
+
+def entity_sheet(spark: SparkSession, path: str) -> DataFrame:
+    return csv(spark, path, ENTITY_SHEET)
+
+
+def funnel_points(spark: SparkSession, path: str) -> DataFrame:
+    """The grid of a sweep; a point whose final depth is over its wide one is an error."""
+    rows = documents_json(spark, path, POINTS, "points")
+    wrong = F.col("c_top") > F.col("C")
+    return rows.withColumn("c_top", F.when(wrong, F.raise_error(F.lit("a point's c_top is over its C"))).otherwise(F.col("c_top")))
+
+
+def campaign_queries(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Queries of several files, each text once, the first by file and id."""
+    parts = [spark.read.schema(QUERIES).option("mode", "FAILFAST").json(p).withColumn("_f", F.lit(k)) for k, p in enumerate(paths)]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    first = rows.groupBy("text").agg(F.min(F.struct("_f", "id")).alias("x"))
+    return first.select("x.id", "text")
+
+
 def markup_files(spark: SparkSession, path: str, glob: str = "*.tei.xml") -> DataFrame:
     """Listing of marked-up full texts: ``path`` and file ``name`` alone."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)

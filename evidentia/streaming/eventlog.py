@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from evidentia.operators.eventlog import counts
+from evidentia.operators.eventlog import counts, turns
 
 
 def stream_totals(events: DataFrame, *by: str) -> DataFrame:
@@ -18,6 +18,34 @@ def stream_totals(events: DataFrame, *by: str) -> DataFrame:
     return events.groupBy(*by).agg(F.count("*").alias("events"), *counts())
 
 
+def stream_turns(events: DataFrame) -> DataFrame:
+    """Turns of runs that go on (``eventlog.turns``); write in update or complete mode."""
+    return turns(events)
+
+
+def stream_heartbeat(events: DataFrame, stale_s: int) -> DataFrame:
+    """``run_id, status, events``: running with every batch that has events of the
+    run, interrupted once it gave none for ``stale_s`` seconds of processing time.
+
+    The state of a run is one number. Write in update mode.
+    """
+
+    def beat(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"run_id": [key[0]], "status": ["interrupted"], "events": [seen]})
+            return
+        seen += sum(len(b) for b in batches)
+        state.update((seen,))
+        state.setTimeoutDuration(stale_s * 1000)
+        yield pd.DataFrame({"run_id": [key[0]], "status": ["running"], "events": [seen]})
+
+    return events.groupBy("run_id").applyInPandasWithState(
+        beat, "run_id string, status string, events long", "events long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
 def windowed(events: DataFrame, time: str, size: str, late: str, *by: str) -> DataFrame:
     """Tumbling windows with a watermark: late events within ``late`` still count."""
     return events.withWatermark(time, late).groupBy(F.window(time, size), *by).agg(F.count("*").alias("events"))
