@@ -16,6 +16,7 @@ from evidentia.functions import lexicons as lex
 from evidentia.functions import text as X
 from evidentia.functions.vectors import cosine
 from evidentia.operators.ingest import year_from_id
+from evidentia.sources.shared import written
 
 #: A scorer makes a column of a query text and a text column.
 Scorer = Callable[[str, Column], Column]
@@ -86,10 +87,13 @@ def funnel(
     papers: DataFrame, chunks: DataFrame, vector: Sequence[float], query: str, depth: Funnel = Funnel(), scorer: Scorer = overlap_score
 ) -> tuple[DataFrame, DataFrame]:
     """Chunks, and the metadata of their papers in the order of first mention."""
-    near = shallow_match(papers, vector, depth.k)
-    kept = rerank_papers(papers, near, query, depth.n, scorer)
-    wide = deep_match(chunks, kept, vector, depth.c_wide)
-    best = rerank_chunks(chunks, wide, query, depth.c_top, scorer)
+    # Each stage leaves a few hundred rows, which the next ones read; written,
+    # they are not worked out again for every use.
+    near = written(shallow_match(papers, vector, depth.k), "funnel")
+    kept = written(rerank_papers(papers, near, query, depth.n, scorer), "funnel")
+    scoped = chunks.join(F.broadcast(kept.select("arxiv_id")), "arxiv_id", "left_semi")
+    wide = written(deep_match(scoped, kept, vector, depth.c_wide), "funnel")
+    best = written(rerank_chunks(scoped, wide, query, depth.c_top, scorer), "funnel")
     first = best.groupBy("arxiv_id").agg(F.min("pos").alias("pos"))
     return best, fetch_papers(papers, first).orderBy("pos")
 
@@ -159,6 +163,17 @@ def lexical_topk(papers: DataFrame, query: str, k: int, text: str = "abstract")
     return positioned(scored.orderBy(F.desc("score"), "arxiv_id").limit(k), F.desc("score"), F.col("arxiv_id"))
 
 
+def phrase_match(papers: DataFrame, phrase: str, k: int, text: str = "abstract") -> DataFrame:
+    """Papers whose words hold the phrase's in a row, the most often first."""
+    words = " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in phrase.lower()).split())
+    if not words:
+        return papers.select("arxiv_id", F.lit(0).alias("times"), F.lit(0).alias("pos")).limit(0)
+    body = F.concat(F.lit(" "), X.normalize_span(F.coalesce(text, F.lit(""))), F.lit(" "))
+    times = (F.length(body) - F.length(F.replace(body, F.lit(f" {words} "), F.lit("  ")))).cast("int")
+    found = papers.select("arxiv_id", F.floor(times / F.lit(len(words))).cast("int").alias("times")).where("times > 0")
+    return positioned(found.orderBy(F.desc("times"), "arxiv_id").limit(k), F.desc("times"), F.col("arxiv_id"))
+
+
 def rrf(ranked: DataFrame, k: int = RRF_K, group: Sequence[str] = ()) -> DataFrame:
     """Reciprocal rank fusion of ``list, rank, doc_id`` (ranks from 1); ties by
     the first list, then the rank in it."""

@@ -157,6 +157,26 @@ def bundle_status(refs: DataFrame, blobs: DataFrame, secrets: str | None = None)
     return out.withColumn("ok", (F.col("missing") == 0) & (F.col("corrupt") == 0) & (F.col("leaks") == 0))
 
 
+def export_bundle(refs: DataFrame, blobs: DataFrame, path: str, secrets: str | None = None) -> None:
+    """Write the blobs that runs refer to, each once; refused where one is missing, does not fit its hash or holds a secret."""
+    bad = bundle_status(refs, blobs, secrets).where("not ok").select("run_id").limit(5).collect()
+    if bad:
+        raise ValueError(f"not exported: {', '.join(str(r['run_id']) for r in bad)}")
+    load_blobs(refs.select("ref").distinct(), blobs).write.mode("errorifexists").parquet(path)
+
+
+def import_bundle(bundle: DataFrame, stored: DataFrame) -> DataFrame:
+    """Blobs (``ref, text``) of a bundle that are not stored yet; one that does not fit its hash is an error."""
+    fits = F.concat(F.lit("sha256:"), F.sha2("text", 256)) == F.col("ref")
+    checked = bundle.withColumn("text", F.when(fits, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("a blob does not fit "), F.col("ref")))))
+    return checked.dropDuplicates(["ref"]).join(stored.select("ref"), "ref", "left_anti")
+
+
+def remaining_seconds(elapsed: Column, done: Column, total: Column) -> Column:
+    """Time that is left at the pace so far; null before anything is done."""
+    return F.try_divide(elapsed * F.greatest(F.lit(0), total - done), done)
+
+
 def ledger_rows(ledgers: DataFrame) -> DataFrame:
     """Display rows of ledgers (``run_id, units, frames``): one a frame, then one
     ``uncovered`` for each unit that no frame is of, numbered in that order.

@@ -290,6 +290,16 @@ SELECT CAST(pos AS INT) AS pos, arxiv_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (ORDER BY score DESC, arxiv_id) AS pos FROM scored WHERE score > 0) WHERE pos <= 50"""
 
 
+def r_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one common word, by how often they have it."""
+    return retrieval.phrase_match(papers(spark, sf_dir), "the", 40).select("pos", "arxiv_id", "times")
+
+
+R_PHRASE = f"""WITH {Q.PAPERS}, b AS (SELECT arxiv_id, ' ' || trim(regexp_replace(lower(coalesce(abstract, '')), '[^a-z0-9]+', ' ', 'g'), ' ') || ' ' AS t FROM papers), c AS (
+  SELECT arxiv_id, CAST(floor((length(t) - length(replace(t, ' the ', '  '))) / 3) AS INT) AS times FROM b)
+SELECT CAST(pos AS INT) AS pos, arxiv_id, times FROM (SELECT *, row_number() OVER (ORDER BY times DESC, arxiv_id) AS pos FROM c WHERE times > 0) WHERE pos <= 40"""
+
+
 def r_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = papers(spark, sf_dir)
     dense = retrieval.shallow_match(p, vector(spark, sf_dir), 100).select(F.lit(0).alias("list"), F.col("pos").alias("rank"), F.col("arxiv_id").alias("doc_id"))
@@ -361,6 +371,6 @@ QUERIES = {
     "r_shallow_topk": (r_shallow_topk, R_SHALLOW), "r_rerank_papers": (r_rerank_papers, R_RERANK_PAPERS), "r_deep_match": (r_deep_match, R_DEEP),
     "r_rerank_chunks": (r_rerank_chunks, R_RERANK_CHUNKS), "r_funnel": (r_funnel, R_FUNNEL), "r_fetch_papers": (r_fetch_papers, R_FETCH),
     "r_fetch_paper_chunks": (r_fetch_paper_chunks, R_PAPER_CHUNKS), "r_lookup_missing": (r_lookup_missing, R_LOOKUP),
-    "r_ann_recall_lsh": (r_ann_recall_lsh, None), "r_lexical_topk": (r_lexical_topk, R_LEXICAL), "r_rrf": (r_rrf, R_RRF),
+    "r_ann_recall_lsh": (r_ann_recall_lsh, None), "r_lexical_topk": (r_lexical_topk, R_LEXICAL), "r_phrase_match": (r_phrase_match, R_PHRASE), "r_rrf": (r_rrf, R_RRF),
     "r_capacity_summary": (r_capacity_summary, R_CAPACITY), "r_matryoshka": (r_matryoshka, R_MATRYOSHKA), "r_many_topk": (r_many_topk, R_MANY),
 }

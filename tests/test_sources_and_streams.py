@@ -145,3 +145,20 @@ def test_nodelink_round_trip_and_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 6), (7, 1)], "src long, dst long")
     assert sorted(r["node"] for r in G.cycle_members(edges).collect()) == [1, 2, 3, 6]
     assert G.cycle_members(edges.limit(0)).count() == 0
+
+
+def test_bundles(spark, tmp_path):
+    docs = spark.createDataFrame([("one",), ("two",), ("password x",)], "text string")
+    blobs = L.with_blobs(docs)
+    refs = blobs.where("text <> 'password x'").select(F.lit("r").alias("run_id"), "ref")
+    path = str(tmp_path / "bundle")
+    runs.export_bundle(refs.unionByName(refs), blobs, path, "password")
+    bundle = spark.read.parquet(path)
+    assert bundle.count() == 2
+    assert runs.import_bundle(bundle, blobs.where("text = 'one'")).first()["text"] == "two"
+    with pytest.raises(ValueError):
+        runs.export_bundle(blobs.select(F.lit("r").alias("run_id"), "ref"), blobs, path + "2", "password")
+    with pytest.raises(Exception, match="does not fit"):
+        runs.import_bundle(bundle.withColumn("text", F.lit("other")), blobs.limit(0)).collect()
+    left = spark.range(1).select(runs.remaining_seconds(F.lit(10.0), F.lit(5), F.lit(20)).alias("a"), runs.remaining_seconds(F.lit(1.0), F.lit(0), F.lit(20)).alias("b")).first()
+    assert left["a"] == 30.0 and left["b"] is None
