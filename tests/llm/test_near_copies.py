@@ -86,3 +86,22 @@ def test_texts_within_eight_bits_but_unlike_stay(spark):
     a, b = shingles(text[155]), shingles(text[192])
     assert (simhash(text[155], 5) ^ simhash(text[192], 5)).bit_count() <= 8 and len(a & b) < 0.8 * len(a | b)
     assert kept(spark, list(text.items())) == [155, 192]
+
+
+def test_parts_of_a_bucket_meet_where_needed(spark, monkeypatch):
+    """Two unlike families and a bridge between them, dealt to many small parts."""
+    monkeypatch.setattr(near_copies, "SPLIT_ABOVE", 5)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(200)]
+    rows = [(k, edited(base, rng, 2)) for k in range(30)]
+    far = list(base)
+    for p in range(4, 196, 15):
+        far[p] = f"far{p}"
+    rows += [(100 + k, edited(far, rng, 1)) for k in range(12)]
+    middle = list(base)
+    for p in range(4, 196, 40):
+        middle[p] = f"far{p}"
+    rows += [(200, " ".join(middle)), (300, " ".join(f"z{k}" for k in range(50)))]
+    assert kept(spark, rows) == kept_by_jaccard(rows)
+    monkeypatch.setattr(near_copies, "bucket_keys", lambda sets: near_copies.np.zeros((len(sets), 2), "i8"))
+    assert kept(spark, rows) == kept_by_jaccard(rows)  # all texts in one bucket
