@@ -2,8 +2,10 @@
 
 Every slice of input sorts its suffixes into a run and front-codes it: each
 suffix is sent as the length of the prefix that it shares with the one before,
-and the rest, compressed. The exchange deals runs by the suffixes' first ``gram`` bytes,
-so equal beginnings meet. There, a tree of losers merges the runs. It keeps,
+and the rest, compressed. The exchange cuts runs at splitters, quantiles of the
+first ``gram`` bytes of a bounded sample of suffixes, so that parts are ranges
+of the order of all suffixes and equal beginnings meet. There, a tree of losers
+merges the runs. It keeps,
 for each loser, how much of it equals the last winner; these lengths mostly
 decide a match by themselves, and where they tie, comparison starts behind
 them, so no byte known to be equal is looked at again. The lengths that fall
@@ -40,6 +42,8 @@ from evidentia.llm.repeats import (
 from evidentia.llm.substring_dedup import SPANS, _span_batch, with_mark
 
 FILTER_BITS = 27
+#: Documents, and suffixes of each, that splitters are chosen by.
+SAMPLE_DOCS, SAMPLE_SUFFIXES = 4_000, 64
 _BYTE_HASH = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -80,7 +84,41 @@ def _sides(wide: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray
     return right, length, back, left
 
 
-def _runs(rows: DataFrame, shape: Shape, bitmap, filter_bits: int, parts: int) -> DataFrame:
+def _beginnings(data: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """First ``gram`` bytes of the suffixes at anchors, as strings that compare."""
+    if not len(at):
+        return np.empty(0, f"S{gram}")
+    return np.ascontiguousarray(sliding_window_view(data, gram)[at]).view(f"S{gram}").ravel()
+
+
+def splitters(rows: DataFrame, shape: Shape, bitmap, filter_bits: int, parts: int) -> np.ndarray:
+    """Beginnings that cut the suffixes to be sent into about ``parts`` equal ranges.
+
+    They only decide how even the parts are. Of about ``SAMPLE_DOCS`` documents
+    at most ``SAMPLE_SUFFIXES`` beginnings each come to the driver.
+    """
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bitmap.value
+        for table in gathered(batches, "text", SLICE_BYTES):
+            data, offsets, _ = read_bytes(table.column("text"))
+            for a in find_anchors(data, offsets, shape, _hashed):
+                hit = np.flatnonzero(in_filter(a.id, bits, filter_bits))
+                # Every document's suffixes at even distances.
+                first = np.searchsorted(a.doc[hit], a.doc[hit])
+                last = np.searchsorted(a.doc[hit], a.doc[hit], "right")
+                step = np.maximum(1, -(-(last - first) // SAMPLE_SUFFIXES))
+                hit = hit[(np.arange(len(hit)) - first) % step == 0]
+                found = _beginnings(data, a.at[hit], shape.gram).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], names=["found"])
+
+    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    taken = rows.sample(share, seed=50).mapInArrow(tidy(sample), "found binary").collect()
+    every = np.sort(np.frombuffer(b"".join(bytes(r["found"]) for r in taken), f"S{shape.gram}"))
+    return np.unique(every[np.arange(1, parts) * len(every) // parts]) if len(every) else every
+
+
+def _runs(rows: DataFrame, shape: Shape, bitmap, filter_bits: int, cuts: np.ndarray) -> DataFrame:
     """Sorted, front-coded runs of the suffixes at the anchors in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +129,11 @@ def _runs(rows: DataFrame, shape: Shape, bitmap, filter_bits: int, parts: int) -
             kept: list[tuple] = []
             for a in find_anchors(data, offsets, shape, _hashed):
                 hit = in_filter(a.id, bits, filter_bits)
-                kept.append((a.at[hit], a.first[hit], a.last[hit], a.doc[hit], a.id[hit]))
+                kept.append((a.at[hit], a.first[hit], a.last[hit], a.doc[hit]))
             if not kept:
                 continue
-            at, first, last, doc, ids = (np.concatenate(x) for x in zip(*kept, strict=True))
-            # The part is of the first bytes alone; its order means nothing.
-            part = ((ids >> np.uint64(8)) % np.uint64(parts)).astype(np.int64)
+            at, first, last, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
+            part = np.searchsorted(cuts, _beginnings(data, at, shape.gram), "right")
             wide = _padded(data, shape)
             place = at - offsets[doc]
             done = np.zeros(len(at), bool)
@@ -286,8 +323,9 @@ def repeated_byte_spans(rows: DataFrame, window: int, gram: int = 24, filter_bit
     if not gram <= window < 256:
         raise ValueError("a window has between a gram and 255 bytes")
     shape, spark = Shape(window, gram), rows.sparkSession
-    parts = partitions(spark)
     bitmap = shared_anchors(rows, read_bytes, _hashed, shape, filter_bits, "doc", "text")
+    # More parts than tasks, as a task holds one at a time.
+    cuts = splitters(rows, shape, bitmap, filter_bits, 2 * partitions(spark))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -306,7 +344,7 @@ def repeated_byte_spans(rows: DataFrame, window: int, gram: int = 24, filter_bit
             yield _merged_spans(held, shape)
 
     return (
-        _runs(rows, shape, bitmap, filter_bits, parts)
+        _runs(rows, shape, bitmap, filter_bits, cuts)
         .repartition(partitions(spark), "part")
         .sortWithinPartitions("part")
         .mapInArrow(tidy(merge), SPANS)
