@@ -8,6 +8,11 @@ A fingerprint's home is the anchor within 1; it is replicated to every anchor
 within 1 + ``most // 3``. So the home of one of the two holds a replica of the
 other, and a link is found where it is compared with its home's replicas.
 
+That gives 2**17 anchors a block, and each holds more fingerprints the more
+there are. Beyond ``WIDE_ABOVE`` distinct ones there are two blocks instead, of
+the Hamming [31, 26] code and one more bit: a thousand times as many anchors,
+for eight times the replicas. The links are the same.
+
 Within an anchor, links are reduced to a spanning forest before they leave
 the task; components are found over these edges, never over all pairs.
 """
@@ -38,6 +43,8 @@ BLOCKS = ((0, 21), (21, 21), (42, 22))
 CODE_BITS = 15
 #: Fingerprints at home in an anchor, before they are dealt to several tasks.
 SPLIT_ABOVE = 5_000
+#: Distinct fingerprints from which the anchors are of the longer code.
+WIDE_ABOVE = 1 << 25
 _PARTS = 8192
 _PAIRS = 1 << 20
 
@@ -120,6 +127,38 @@ def anchors(fp: np.ndarray, radius: int = 2) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+@lru_cache
+def _flips(radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By syndrome of a 32-bit word (the [31, 26] code and one more bit): flips
+    that lead to anchors within ``radius``, whether to its home, and bounds."""
+    by: list[list[tuple[int, bool]]] = [[] for _ in range(32)]
+    for n in range(radius + 1):
+        for bits in combinations(range(31), n):
+            syndrome = reduce(xor, (b + 1 for b in bits), 0)
+            mask = sum(1 << b for b in bits)
+            by[syndrome].append((mask, n <= 1))
+            if n < radius:
+                by[syndrome].append((mask | 1 << 31, False))
+    flat = [x for own in by for x in own]
+    return np.array([m for m, _ in flat], np.int64), np.array([h for _, h in flat]), ragged(np.array([len(own) for own in by]))
+
+
+def wide_anchors(fp: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``anchors``, of two blocks of the longer code."""
+    masks, homes, bounds = _flips(radius)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for block in range(2):
+        word = (fp >> np.uint64(32 * block) & np.uint64((1 << 32) - 1)).astype(np.int64)
+        syndrome = np.zeros(len(word), np.int64)
+        for bit in range(31):
+            syndrome ^= (word >> bit & 1) * (bit + 1)
+        size = np.diff(bounds)[syndrome]
+        which = take_ragged(np.arange(len(masks)), bounds[syndrome], size)
+        row = np.repeat(np.arange(len(fp)), size)
+        out.append((row, block << 40 | word[row] ^ masks[which], homes[which]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _forest(fp: np.ndarray, home: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links that a home is part of.
 
@@ -172,30 +211,33 @@ def _bucket_links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, home: np.nd
     return pairs[0], pairs[1]
 
 
-def fingerprint_links(prints: DataFrame, most: int = 4, split_above: int = SPLIT_ABOVE) -> DataFrame:
+def fingerprint_links(prints: DataFrame, most: int = 4, split_above: int = SPLIT_ABOVE, wide_above: int = WIDE_ABOVE) -> DataFrame:
     """Edges (a, b) that join all distinct fingerprints (``fp``) within ``most`` bits.
 
-    Replicas of a fingerprint: about 45 for up to 5 bits, 300 for up to 8. An
+    Replicas of a fingerprint: about 45 for up to 5 bits, 300 for up to 8, and
+    340 with the longer code, which is for up to 5 bits. An
     anchor that is home to over ``split_above`` is compared by several tasks:
     each gets all replicas and a part of those at home.
     """
     if not 0 <= most <= 8:
         raise ValueError("the anchors cover distances of 0 to 8")
-    radius = 1 + max(1, most // 3)
     spark = prints.sparkSession
     prints = prints.select("fp")
+    wide = most <= 5 and prints.count() > wide_above
+    near = wide_anchors if wide else anchors
+    radius = 1 + (max(1, most // 2) if wide else max(1, most // 3))
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, key, home = anchors(np.asarray(batch.column("fp")).view(np.uint64), 1)
+            _, key, home = near(np.asarray(batch.column("fp")).view(np.uint64), 1)
             yield pa.RecordBatch.from_arrays([pa.array(key[home])], names=["key"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 8192 if radius < 3 else 1024
+        step = 1024 if wide or radius > 2 else 8192
         for batch in batches:
             fp = np.asarray(batch.column("fp"))
             for a in range(0, len(fp), step):
-                row, key, home = anchors(fp[a : a + step].view(np.uint64), radius)
+                row, key, home = near(fp[a : a + step].view(np.uint64), radius)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(fp[a : a + step][row]), pa.array(home)], names=["key", "fp", "home"]
                 )
