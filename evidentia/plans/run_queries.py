@@ -31,13 +31,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l_replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = U.replay_summary(L.turns(log(spark, sf_dir)))
-    return out.withColumn("cost_usd", F.round("cost_usd", 5)).withColumn("chat_cost_usd", F.round("chat_cost_usd", 5))
+    return out.withColumn("cost_usd", F.round("cost_usd", 6)).withColumn("chat_cost_usd", F.round("chat_cost_usd", 6))
 
 
 L_REPLAY = f"""WITH {LOG} SELECT run_id, count(DISTINCT seq // 5) AS turns, CAST(coalesce(sum(tokens) FILTER (call_type = 'chat'), 0) AS BIGINT) AS tokens_in, CAST(0 AS BIGINT) AS tokens_out,
   CAST(coalesce(sum(cached_tokens) FILTER (call_type = 'chat'), 0) AS BIGINT) AS cached_tokens, CAST(coalesce(sum(reasoning_tokens) FILTER (call_type = 'chat'), 0) AS BIGINT) AS reasoning_tokens,
-  CAST(coalesce(sum(tokens) FILTER (call_type = 'jev'), 0) AS BIGINT) AS jev_tokens_in, round(coalesce(sum(cost_usd) FILTER (call_type IN ('chat', 'jev')), 0), 5) AS cost_usd,
-  round(coalesce(sum(cost_usd) FILTER (call_type = 'chat'), 0), 5) AS chat_cost_usd, count(*) FILTER (call_type = 'tool') AS tool_calls,
+  CAST(coalesce(sum(tokens) FILTER (call_type = 'jev'), 0) AS BIGINT) AS jev_tokens_in, round(coalesce(sum(cost_usd) FILTER (call_type IN ('chat', 'jev')), 0), 6) AS cost_usd,
+  round(coalesce(sum(cost_usd) FILTER (call_type = 'chat'), 0), 6) AS chat_cost_usd, count(*) FILTER (call_type = 'tool') AS tool_calls,
   count(*) FILTER (call_type = 'chat' AND actor = 'sub') AS sub_tasks, count(DISTINCT call_id) FILTER (call_type = 'chat' AND actor = 'sub') AS sub_calls,
   count(DISTINCT CASE WHEN call_type = 'exec' THEN seq // 5 END) AS code_blocks, count(*) FILTER (call_type = 'emit') AS emits,
   count(*) FILTER (call_type = 'note' AND event_id % 5 = 0) AS gates_passed, count(*) FILTER (call_type = 'note' AND event_id % 5 <> 0 AND event_id % 7 = 0) AS gates_failed,
