@@ -64,7 +64,13 @@ SELECT token, CASE WHEN n = 1 THEN id END AS id FROM hits WHERE regexp_matches(t
 
 
 def v_claim_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.explode_units(answers(spark, sf_dir), "doc_id", "answer", include_uncited=True)
+    units = V.explode_units(answers(spark, sf_dir), "doc_id", "answer", include_uncited=True)
+    return units.withColumn("ids", F.array_join("ids", " "))
+
+
+V_UNITS = f"""WITH {_ANSWERS}, u AS (SELECT *, CASE doc_id % 4 WHEN 2 THEN '[' || substr(chunk_uuid, 1, 8) || ']' ELSE token END AS said FROM answers)
+SELECT doc_id, 0 AS unit_index, 'It rests on ' || said || ' and on ' || arxiv_id || 'v2, as in ' || arxiv_id || ' before.' AS text, CASE WHEN token IS NULL THEN arxiv_id ELSE token || ' ' || arxiv_id END AS ids FROM u
+UNION ALL SELECT doc_id, 1, 'Also 0101.00001 says so.', '0101.00001' FROM u"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -145,6 +151,6 @@ V_EVIDENCE = f"""WITH {Q.LINES}, cut AS (SELECT doc_id, section_order, least(200
 SELECT doc_id, CAST(count(*) AS INT) AS chunks, CAST(least(1000, sum(n)) AS INT) AS chars FROM run WHERE before < 1000 GROUP BY doc_id"""
 
 QUERIES = {
-    "v_cited_ids": (v_cited_ids, V_CITED), "v_resolve": (v_resolve, V_RESOLVE), "v_short_ids": (v_short_ids, V_SHORT), "v_claim_units": (v_claim_units, None),
+    "v_cited_ids": (v_cited_ids, V_CITED), "v_resolve": (v_resolve, V_RESOLVE), "v_short_ids": (v_short_ids, V_SHORT), "v_claim_units": (v_claim_units, V_UNITS),
     "v_frame_verdicts": (v_frame_verdicts, V_FRAMES), "v_coverage": (v_coverage, V_COVERAGE), "v_quotes": (v_quotes, V_QUOTES), "v_evidence_cap": (v_evidence_cap, V_EVIDENCE),
 }

@@ -251,16 +251,21 @@ x AS (SELECT count(g.c) AS gold, count(p.c) AS predicted, count(*) FILTER (g.c I
 SELECT *, round(untyped / gold, 4) AS recall, round(typed / gold, 4) AS typed_recall, round(untyped / predicted, 4) AS precision, round(typed / predicted, 4) AS typed_precision FROM x"""
 E_ENTITY = E_ENTITY.replace("ascii(substr(upper(p_name), 1, 1))", "ascii(substr(p_name, 1, 1))")
 
-VALUES = (("12.5", "about 12.52 points"), ("12.5", "12.9"), ("1,200", "we saw 1200 rows"), ("exact match", "An Exact Match score"), ("big red fox", "fox, big and red"), ("", "x"))
-
-
 def e_value_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(g).alias("gold"), F.lit(t).alias("text")) for g, t in VALUES])
-    rows = table(spark, sf_dir, "region").select("r_regionkey", F.posexplode(pairs).alias("i", "p"))
-    return rows.select("r_regionkey", "i", X.value_matches(F.col("p.gold"), F.col("p.text")).alias("ok"))
-
-
-E_VALUE = """SELECT r_regionkey, CAST(i AS INT) AS i, ok FROM region, (VALUES (0, true), (1, false), (2, true), (3, true), (4, true), (5, false)) v(i, ok)"""
+    """Prices near and far from the stated one, names in other case and order, blanks."""
+    price, name = F.col("p_retailprice"), F.col("p_name")
+    words = F.array_join(F.reverse(F.split("p_name", " ")), ", then ")
+    stated = lambda x: F.concat(F.lit("it cost about "), F.format_number(x, 2), F.lit(" in all"))
+    cases = [
+        (F.format_number(price, 2), stated(price * 1.004)), (F.format_number(price, 2), stated(price * 1.02)), (name, F.concat(F.lit("The "), F.upper(name), F.lit("!"))),
+        (name, F.concat(F.lit("so "), words)), (F.concat(name, F.lit(" quux")), name), (F.lit(""), name),
+    ]
+    pairs = F.array(*[F.struct(g.alias("gold"), t.alias("text")) for g, t in cases])
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(pairs).alias("i", "p"))
+    return rows.select("p_partkey", "i", X.value_matches(F.col("p.gold"), F.col("p.text")).alias("ok"))
+
+
+E_VALUE = """SELECT p_partkey, CAST(i AS INT) AS i, ok FROM part, (VALUES (0, true), (1, false), (2, true), (3, true), (4, false), (5, false)) v(i, ok)"""
 
 
 def e_clause_match(spark: SparkSession, sf_dir: str) -> DataFrame:

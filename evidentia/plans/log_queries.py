@@ -151,7 +151,17 @@ SELECT conv_id, min(turn) FILTER (total <= 300 OR suffix <= 200 OR turn = newest
 def l_budget_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations").select("conv_id", F.struct(F.col("turn").cast("int").alias("pos"), X.token_estimate("text").cast("long").alias("cost")).alias("m"))
     lists = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("items"))
-    return lists.select("conv_id", L.budget_select(F.col("items"), 250).alias("kept"))
+    return lists.select("conv_id", F.array_join(F.transform(L.budget_select(F.col("items"), 250), lambda x: x.cast("string")), " ").alias("kept"))
+
+
+L_BUDGET = """WITH RECURSIVE m AS (
+  SELECT conv_id, turn, tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, tokens) AS k FROM (
+    SELECT conv_id, turn, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens FROM conversations)
+), r AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, CAST(250 AS BIGINT) AS room, '' AS kept FROM m
+  UNION ALL SELECT r.conv_id, m.k, CASE WHEN tokens <= room THEN room - tokens ELSE room END, CASE WHEN tokens <= room THEN kept || ' ' || turn ELSE kept END
+  FROM r JOIN m ON m.conv_id = r.conv_id AND m.k = r.k + 1
+) SELECT conv_id, trim(arg_max(kept, k), ' ') AS kept FROM r GROUP BY conv_id"""
 
 
 def l_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +223,6 @@ L_STREAM = """SELECT user_id AS run_id, count(*) AS events, round(sum(value / 10
 QUERIES = {
     "l_totals": (l_totals, L_TOTALS), "l_by_action": (l_by_action, L_ACTION), "l_turns": (l_turns, L_TURNS), "l_stop_reason": (l_stop_reason, L_STOP),
     "l_heartbeat": (l_heartbeat, L_HEART), "l_tool_cache_last": (l_tool_cache_last, L_CACHE), "l_refs_distinct": (l_refs_distinct, L_REFS),
-    "l_blob_dedup": (l_blob_dedup, L_BLOB), "l_compaction": (l_compaction, L_COMPACTION), "l_budget_select": (l_budget_select, None),
+    "l_blob_dedup": (l_blob_dedup, L_BLOB), "l_compaction": (l_compaction, L_COMPACTION), "l_budget_select": (l_budget_select, L_BUDGET),
     "l_rebuild": (l_rebuild, L_REBUILD), "l_stream_totals": (l_stream_totals, L_STREAM),
 }
