@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evidentia.config import GATE_AGGREGATE, GATE_CLAIM
 from evidentia.functions import lexicons as lex
 from evidentia.functions import text as X
 
@@ -249,6 +250,51 @@ def bucket_scores(gold: Column, produced: Column) -> Column:
     )
 
 
+def union_recall(gold: Column, produced: Column) -> Column:
+    """Gold clauses that stand in any produced bucket (``bucket, clauses``): ``gold, matched, recall``."""
+    every, wanted = not_blank(F.flatten(F.transform(produced, lambda b: b["clauses"]))), not_blank(gold)
+    n = F.size(F.filter(wanted, lambda e: F.exists(every, lambda p: X.clause_matches(e, p))))
+    return F.struct(F.size(wanted).alias("gold"), n.alias("matched"), X.rate(n, F.size(wanted)).alias("recall"))
+
+
+def excerpts(ids: Column, *texts: Column) -> Column:
+    """``id, text`` of a worksheet's ids and excerpts, in order, blank ones left out."""
+    both = F.arrays_zip(ids.alias("id"), F.array(*texts).alias("text"))
+    blank = lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""
+    return F.filter(both, lambda x: ~blank(x["id"]) & ~blank(x["text"]))
+
+
+def final_gate(aggregate: Column, claims: Column, score: Column | None = None, threshold: float = 0.8, fails: tuple[float, float] = (GATE_AGGREGATE, GATE_CLAIM), named: int = 3) -> Column:
+    """``verdict, decision, named`` of an answer's last gate.
+
+    ``aggregate``: the probability that it is not supported; ``claims``: those of
+    its claims (``name, p``). A score from ``threshold`` on passes by itself. A
+    missing aggregate is uncertain. Where the aggregate fails and no claim does,
+    the likeliest claims from the aggregate's bound on are named.
+    """
+    failed = F.filter(claims, lambda c: c["p"] >= fails[1])
+    near = F.array_sort(
+        F.filter(claims, lambda c: c["p"] >= fails[0]),
+        lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0),
+    )
+    by_all, by_claim = aggregate >= fails[0], F.size(failed) > 0
+    decision = F.when(by_all & by_claim, "both").when(by_claim, "claim").when(by_all, "aggregate").otherwise("none")
+    names = lambda a: F.transform(a, lambda c: c["name"])
+    said = F.when(by_claim, names(failed)).when(by_all, names(F.slice(near, 1, named))).otherwise(F.array().cast(STRINGS))
+    whole = F.when(aggregate.isNull(), F.struct(F.lit("uncertain").alias("verdict"), F.lit("none").alias("decision"), F.array().cast(STRINGS).alias("named"))).otherwise(
+        F.struct(F.when(by_all | by_claim, "fail").otherwise("pass").alias("verdict"), decision.alias("decision"), said.alias("named"))
+    )
+    if score is None:
+        return whole
+    short = F.struct(F.lit("pass").alias("verdict"), F.lit("score").alias("decision"), F.array().cast(STRINGS).alias("named"))
+    return F.when(score >= threshold, short).otherwise(whole)
+
+
+def citation_labels(c: Column | str) -> Column:
+    """``id, label`` of an answer's citations, numbered in order of first mention."""
+    return F.transform(X.cited_ids(c), lambda x, i: F.struct(x.alias("id"), F.concat(F.lit("["), (i + 1).cast("string"), F.lit("]")).alias("label")))
+
+
 def answer_units(c: Column | str) -> Column:
     """Sentences and lines of an answer."""
     return not_blank(F.split(F.coalesce(X.col(c), F.lit("")), rf"{lex.SENTENCE_GAP}|\n+"))

@@ -103,6 +103,16 @@ POSITIVE_CUES = ("outperform", "surpass", "exceed", "better", "higher", "above",
 NEGATIVE_CUES = ("underperform", "worse", "lower", "below", "less accurate", "inferior")
 GAP_PHRASES = ("unsupported", "could not support", "cannot support", "could not verify", "not supported by")
 
+# Labels that an extractor is given for the entity types.
+ENTITY_LABELS = {
+    "abstract": dict(zip(ENTITY_TYPES, ENTITY_TYPES, strict=True)),
+    "descriptive": {
+        "Method": "machine learning method, model, or algorithm", "Dataset": "dataset, corpus, or benchmark", "Metric": "evaluation metric or measure",
+        "Task": "research task or problem setting", "Problem": "research problem, limitation, or gap", "Concept": "technical concept, term, or technique",
+    },
+    "scierc": {"Method": "Method", "Dataset": "Material", "Metric": "Metric", "Task": "Task", "Problem": "Problem", "Concept": "OtherScientificTerm"},
+}
+
 # Buckets of a query in their order, languages of a code block, the mark before a final answer.
 BUCKETS = ("objectives", "problems", "constraints", "requirements")
 CODE_LANGUAGES = ("", "python", "py", "python3")

@@ -201,7 +201,10 @@ def job_matrix(arms: DataFrame, queries: DataFrame, repeats: int) -> DataFrame:
     )
 
 
-def cost_rollup(cells: DataFrame, fee: float = CREDIT_FEE) -> DataFrame:
+def cost_rollup(cells: DataFrame, fee: float = CREDIT_FEE, companions: DataFrame | None = None) -> DataFrame:
+    """Runs and cost of each arm and of all (null); runs beside the campaign are an arm of their own."""
+    if companions is not None:
+        cells = cells.select("arm", "cost").unionByName(companions.select(F.lit("companions").alias("arm"), "cost"))
     return cells.rollup("arm").agg(F.count("*").alias("runs"), F.sum("cost").alias("cost"), (F.sum("cost") * fee).alias("with_fee"))
 
 
@@ -213,12 +216,34 @@ def usable(status: Column, stop: Column, answer: Column) -> Column:
     return (F.trim(F.coalesce(answer, F.lit(""))) != "") & (status != "failed") & (stop != "error")
 
 
+#: What an answer may say of two frequencies.
+FREQUENCIES = ("more common", "less common", "same frequency")
+
+
+def oolong_answer(answer: Column) -> Column:
+    """What a reply answers: the part behind its last colon without marks, or the
+    phrase about frequencies in a long one; without a colon the reply if it is
+    short, else its last word."""
+    text = F.coalesce(answer, F.lit(""))
+    behind = F.regexp_replace(F.regexp_replace(F.substring_index(text, ":", -1), r"^\s+|\s+$", ""), r"[*\[\]]", "")
+    long = F.lit(None).cast("string")
+    for phrase in reversed(FREQUENCIES):
+        long = F.when(F.contains(behind, F.lit(phrase)), phrase).otherwise(long)
+    last = F.regexp_extract(text, r"(\S+)\s*$", 1)
+    return F.when(~F.contains(text, F.lit(":")), F.when(F.length(text) < 20, text).otherwise(last)).when(
+        F.length(behind) < 20, behind
+    ).otherwise(F.coalesce(long, behind))
+
+
 def oolong_score(answer: Column, gold: Column, kind: Column) -> Column:
-    """Numbers lose a quarter for each step away; anything else is right or wrong."""
-    a, g = answer.try_cast("double"), gold.try_cast("double")
-    numeric = F.when(a.isNull() | g.isNull(), 0.0).otherwise(F.pow(F.lit(0.75), F.abs(a - g)))
-    plain = (F.lower(F.trim(answer)) == F.lower(F.trim(gold))).cast("double")
-    return F.when(kind == "numeric", numeric).otherwise(F.coalesce(plain, F.lit(0.0)))
+    """1 of the gold answer, or of the phrase about frequencies that it holds;
+    whole numbers lose a quarter for each step away."""
+    said = oolong_answer(answer)
+    whole = lambda c: F.when(c.rlike(r"^\s*[-+]?\d+\s*$"), F.trim(c).try_cast("long"))
+    steps = F.abs(whole(said) - whole(gold))
+    numeric = F.when((kind == "numeric") & steps.isNotNull(), F.pow(F.lit(0.75), steps)).otherwise(0.0)
+    phrase = F.contains(gold, said).cast("double")
+    return F.when(said == gold, 1.0).when(said.isin(*FREQUENCIES), F.coalesce(phrase, F.lit(0.0))).otherwise(numeric)
 
 
 def pool(rankings: DataFrame, depth: int = 10) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.config import HEARTBEAT_STALE_S, MAX_COST_USD, MAX_ITERATIONS, MAX_TOKENS
+from evidentia.config import EVIDENCE_CHUNK_CHARS, EVIDENCE_CHUNKS, EVIDENCE_TOTAL_CHARS, HEARTBEAT_STALE_S, MAX_BACKTRACKS, MAX_COST_USD, MAX_ITERATIONS, MAX_TOKENS
 from evidentia.sources.tables import REFS
 
 #: Call types that are model calls.
@@ -92,9 +92,13 @@ def running(events: DataFrame, *order: str) -> DataFrame:
     )
 
 
-def stop_reason(iterations: Column, tokens: Column, cost: Column, caps: tuple[int, int, float] = (MAX_ITERATIONS, MAX_TOKENS, MAX_COST_USD)) -> Column:
+def stop_reason(
+    iterations: Column, tokens: Column, cost: Column, caps: tuple[int, int, float] = (MAX_ITERATIONS, MAX_TOKENS, MAX_COST_USD),
+    backtracks: Column | None = None, most_backtracks: int = MAX_BACKTRACKS,
+) -> Column:
     """The first cap that is used up, in fixed order; null while all hold."""
-    return F.when(iterations >= caps[0], "iterations").when(tokens >= caps[1], "tokens").when(cost >= caps[2], "cost")
+    out = F.when(iterations >= caps[0], "iterations").when(tokens >= caps[1], "tokens").when(cost >= caps[2], "cost")
+    return out if backtracks is None else out.when(backtracks >= most_backtracks, "backtracks")
 
 
 def heartbeat(runs: DataFrame, now: Column, stale_s: int = HEARTBEAT_STALE_S) -> DataFrame:
@@ -171,12 +175,22 @@ def rebuild(events: DataFrame) -> DataFrame:
     return state.join(emits, "run_id", "left").join(tools, "run_id", "left")
 
 
-def compaction(messages: DataFrame, trigger: int, target: int, key: str = "conv_id", order: str = "turn", tokens: str = "tokens") -> DataFrame:
+def compaction(
+    messages: DataFrame, trigger: int, target: int, key: str = "conv_id", order: str = "turn", tokens: str = "tokens",
+    system_tokens: int = 0, start: Column | None = None,
+) -> DataFrame:
     """First message that stays, for conversations over the trigger: the longest
-    suffix within the target, and the newest message whatever it costs."""
+    suffix within the target, and the newest message whatever it costs.
+
+    ``start`` is where the conversation began before; it never moves back, and
+    not at all while what it keeps, with the system's tokens, is within the trigger.
+    """
     total = Window.partitionBy(key)
     back = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = messages.withColumn("total", F.sum(tokens).over(total)).withColumn("suffix", F.sum(tokens).over(back)).withColumn("newest", F.max(order).over(total))
+    rows = messages.withColumn("newest", F.max(order).over(total))
+    if start is not None:
+        rows = rows.where(F.col(order) >= F.least(F.coalesce(start, F.col(order)), F.col("newest")))
+    rows = rows.withColumn("total", F.sum(tokens).over(total) + system_tokens).withColumn("suffix", F.sum(tokens).over(back) + system_tokens)
     keep = (F.col("total") <= trigger) | (F.col("suffix") <= target) | (F.col(order) == F.col("newest"))
     return rows.groupBy(key).agg(F.min(F.when(keep, F.col(order))).alias("start"), F.max("total").alias("total"))
 
@@ -209,5 +223,15 @@ def evidence_cap(items: Column, per_item: int, total: int) -> Column:
     return F.aggregate(items, start, add)["kept"]
 
 
+def cited_evidence(items: Column, most: int = EVIDENCE_CHUNKS, per_item: int = EVIDENCE_CHUNK_CHARS, total: int = EVIDENCE_TOTAL_CHARS) -> Column:
+    """``kept`` texts of ``struct<mentions, pos, text>``, most mentioned first, and
+    whether anything was ``truncated``: items, ends of texts, or what came after ``total``."""
+    ranked = F.array_sort(items, lambda a, b: F.when(a["mentions"] != b["mentions"], (b["mentions"] - a["mentions"]).cast("int")).otherwise((a["pos"] - b["pos"]).cast("int")))
+    texts = F.transform(ranked, lambda x: F.coalesce(x["text"], F.lit("")))
+    kept = evidence_cap(F.slice(texts, 1, most), per_item, total)
+    size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    return F.struct(kept.alias("kept"), (size(kept) < size(texts)).alias("truncated"))
+
+
 def first_not_null(*columns: str) -> Column:
     return reduce(lambda a, b: F.coalesce(a, b), [F.col(c) for c in columns])

@@ -194,7 +194,33 @@ A_NUMBERS = """SELECT p_partkey, 'We found ' || p_partkey || '.5 of them.' AS se
   p_partkey + 17.5::DOUBLE AS after, 'Net ' || p_partkey || '.5 (new), see' AS surface, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS truth FROM part"""
 
 
+def a_final_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates over two claims of each part, with labels of the citations in a line."""
+    k = F.col("p_partkey")
+    claims = rows_of("name p", (F.lit("b"), k % 10 / 10), (F.lit("a"), k % 5 / 10))
+    gate = A.final_gate(F.when(k % 9 != 0, k % 7 / 10), claims, k % 11 / 10, 0.95)
+    line = F.concat(F.lit("see 2101.00002v1, "), F.lpad(k % 10000, 4, "0"), F.lit(".00001 and 2101.00002"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", gate.alias("g"), A.citation_labels(line).alias("l"))
+    return rows.select("p_partkey", "g.verdict", "g.decision", F.array_join("g.named", " ").alias("named"), F.array_join(F.transform("l", lambda x: F.concat(x["id"], x["label"])), " ").alias("labels"))
+
+
+A_GATE = """WITH p AS (SELECT p_partkey AS k, p_partkey % 10 AS b, p_partkey % 5 AS a, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 7 END AS g FROM part), d AS (
+  SELECT *, g >= 5 AS al, b >= 7 OR a >= 7 AS cl FROM p)
+SELECT k AS p_partkey, CASE WHEN k % 11 = 10 THEN 'pass' WHEN g IS NULL THEN 'uncertain' WHEN al OR cl THEN 'fail' ELSE 'pass' END AS verdict,
+  CASE WHEN k % 11 = 10 THEN 'score' WHEN g IS NULL THEN 'none' WHEN al AND cl THEN 'both' WHEN cl THEN 'claim' WHEN al THEN 'aggregate' ELSE 'none' END AS decision,
+  CASE WHEN k % 11 = 10 OR g IS NULL THEN '' WHEN cl THEN 'b' WHEN al AND b >= 5 THEN 'b' ELSE '' END AS named, '2101.00002[1] ' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || '.00001[2]' AS labels FROM d"""
+
+
+def a_union_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    produced = rows_of("bucket clauses", (F.lit("objectives"), F.array(F.lit("nothing"))), (F.lit("problems"), F.array(F.concat(F.lit("about "), F.col("p_name")), F.lit(" "))))
+    sheet = A.excerpts(F.array(F.lit("u1"), F.lit(" "), F.lit("u3")), F.col("p_name"), F.lit("x"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_brand")))
+    return table(spark, sf_dir, "part").select("p_partkey", A.union_recall(F.array(F.col("p_name"), F.lit("zebra"), F.lit("")), produced).alias("u"), F.size(sheet).alias("excerpts")).select("p_partkey", "u.*", "excerpts")
+
+
+A_UNION = "SELECT p_partkey, 2 AS gold, 1 AS matched, 0.5::DOUBLE AS recall, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS excerpts FROM part"
+
 QUERIES = {
+    "a_final_gate": (a_final_gate, A_GATE), "a_union_recall": (a_union_recall, A_UNION),
     "a_snippet": (a_snippet, A_SNIPPET), "a_gold_entities": (a_gold_entities, A_ENTITIES), "a_answer_scores": (a_answer_scores, A_SCORES),
     "a_blocks": (a_blocks, A_BLOCKS), "a_buckets": (a_buckets, A_BUCKETS), "a_bucket_scores": (a_bucket_scores, A_BUCKET_SCORES),
     "a_claim_scores": (a_claim_scores, A_CLAIM_SCORES), "a_quotes": (a_quotes, A_QUOTES), "a_ledger_status": (a_ledger_status, A_LEDGER),

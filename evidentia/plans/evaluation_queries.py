@@ -289,6 +289,23 @@ E_OOLONG = """SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_part
 FROM lineitem"""
 
 
+def e_oolong_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of several shapes about each part."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    reply = (
+        F.when(k % 5 == 0, F.concat(F.lit("Reasoning first: Answer: **["), n.cast("string"), F.lit("]**"))).when(k % 5 == 1, F.concat(F.lit("I count them all as "), (n + 2).cast("string")))
+        .when(k % 5 == 2, "Label: it is clearly the more common one of the two").when(k % 5 == 3, F.col("p_name")).otherwise("Date: a long reply that says nothing of use")
+    )
+    gold = F.when(k % 5 == 2, F.when(k % 2 == 0, "more common than").otherwise("less common than")).when(k % 5 == 3, F.col("p_name")).otherwise(n.cast("string"))
+    kind = F.when(k % 5 < 2, "numeric").otherwise("label")
+    return table(spark, sf_dir, "part").select("p_partkey", E.oolong_answer(reply).alias("said"), F.round(E.oolong_score(reply, gold, kind), 6).alias("score"))
+
+
+E_PARSE = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN CAST(p_size + 2 AS VARCHAR) WHEN 2 THEN 'more common'
+    WHEN 3 THEN CASE WHEN length(p_name) < 20 THEN p_name ELSE list_last(string_split(p_name, ' ')) END ELSE 'a long reply that says nothing of use' END AS said,
+  CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0.5625 WHEN 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END WHEN 3 THEN CASE WHEN length(p_name) < 20 THEN 1 ELSE 0 END ELSE 0 END::DOUBLE AS score FROM part"""
+
+
 def e_job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     arms = table(spark, sf_dir, "region").select(F.col("r_name").alias("arm"), F.create_map(F.lit("a"), F.lit("arm"), F.lit("b"), F.col("r_name")).alias("arm_env"))
     queries = table(spark, sf_dir, "nation").select(F.col("n_name").alias("query_id"), F.create_map(F.lit("b"), F.col("n_name")).alias("query_env"))
@@ -326,6 +343,6 @@ QUERIES = {
     "e_sweep_intervals": (e_sweep_intervals, E_INTERVALS), "e_triple_lenient": (e_triple_lenient, E_LENIENT), "e_entity_by_type": (e_entity_by_type, E_BY_TYPE),
     "e_stratified": (e_stratified, E_STRATIFIED), "e_bands": (e_bands, E_BANDS), "e_mean_sd": (e_mean_sd, E_MEAN), "e_pooled_sd": (e_pooled_sd, E_POOLED),
     "e_triple_precision": (e_triple_precision, E_TRIPLES), "e_entity_recall": (e_entity_recall, E_ENTITY), "e_value_match": (e_value_match, E_VALUE),
-    "e_clause_match": (e_clause_match, E_CLAUSE), "e_oolong": (e_oolong, E_OOLONG), "e_job_matrix": (e_job_matrix, E_JOBS),
+    "e_clause_match": (e_clause_match, E_CLAUSE), "e_oolong": (e_oolong, E_OOLONG), "e_oolong_parse": (e_oolong_parse, E_PARSE), "e_job_matrix": (e_job_matrix, E_JOBS),
     "e_cost_rollup": (e_cost_rollup, E_COST), "e_arm_accuracy": (e_arm_accuracy, E_ACCURACY), "e_pool": (e_pool, E_POOL),
 }

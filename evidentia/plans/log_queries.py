@@ -139,12 +139,13 @@ WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 10 = 0)"""
 
 def l_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "conversations").withColumn("tokens", X.token_estimate("text"))
-    return L.compaction(messages, trigger=300, target=200)
+    return L.compaction(messages, trigger=300, target=200, system_tokens=20, start=F.col("conv_id") % 4)
 
 
 L_COMPACTION = """WITH m AS (SELECT conv_id, turn, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS tokens FROM conversations),
-w AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) AS total, max(turn) OVER (PARTITION BY conv_id) AS newest,
-  sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS suffix FROM m)
+l AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS newest FROM m), k AS (SELECT * FROM l WHERE turn >= least(conv_id % 4, newest)),
+w AS (SELECT *, 20 + sum(tokens) OVER (PARTITION BY conv_id) AS total,
+  20 + sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS suffix FROM k)
 SELECT conv_id, min(turn) FILTER (total <= 300 OR suffix <= 200 OR turn = newest) AS start, CAST(max(total) AS BIGINT) AS total FROM w GROUP BY conv_id"""
 
 
