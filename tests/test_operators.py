@@ -258,3 +258,32 @@ def test_gap_headings(spark):
     for head in ("## Unsupported claims", "**Could not verify**", "__Not supported by the chunks__", "What I cannot support:"):
         assert value(spark, claims.without_gaps(F.lit(f"Body.\nMore. \n\n{head}\n- z"))) == "Body.\nMore."
     assert value(spark, claims.without_gaps(F.lit("Unsupported\nx"))) == ""
+
+
+def test_caps_evidence_and_ontology(spark):
+    reason = eventlog.stop_reason(F.lit(1), F.lit(1), F.lit(0.0), backtracks=F.lit(3))
+    assert value(spark, reason) == "backtracks"
+    assert value(spark, eventlog.stop_reason(F.lit(10), F.lit(1), F.lit(9.0), backtracks=F.lit(3))) == "iterations"
+    items = F.array(*[F.struct(F.lit(m).alias("mentions"), F.lit(p).alias("pos"), F.lit(t).alias("text")) for m, p, t in ((1, 0, "aaaa"), (3, 1, "bb"), (3, 2, None), (2, 3, "cccccc"))])
+    assert value(spark, eventlog.cited_evidence(items, most=3, per_item=4, total=99)) == (["bb", "", "cccc"], True)
+    assert value(spark, eventlog.cited_evidence(items)) == (["bb", "", "cccccc", "aaaa"], False)
+    state = graph.ontology()
+    assert state == graph.ontology() and len(state["version"]) == 12 and len(state["relations"]) == 8
+    assert value(spark, evaluation.usable(F.lit("done"), F.lit("answer"), F.lit(" x "))) and not value(spark, evaluation.usable(F.lit("failed"), F.lit("answer"), F.lit("x")))
+
+
+def test_drift_counts_and_postprocess(spark):
+    now = spark.createDataFrame([("caps", "a", "1"), ("caps", "b", "2"), ("model", None, "m")], "field string, key string, value string")
+    frozen = spark.createDataFrame([("caps", "a", "1"), ("caps", "b", "3"), ("caps", "c", "4")], "field string, key string, value string")
+    drift = {(r["field"], r["key"]): (r["now"], r["frozen"]) for r in evaluation.frozen_drift(now, frozen).collect()}
+    assert drift[("caps", "b")] == ("2", "3") and drift[("caps", "c")] == (None, "4") and ("caps", "a") not in drift
+    cited = spark.createDataFrame([("r", "resolved"), ("r", "merged"), ("r", "unresolved"), ("r", "resolved")], "run string, status string")
+    assert claims.citation_counts(cited, "run").first().asDict() == {"run": "r", "cited": 4, "resolved": 2, "merged": 1, "unresolved": 1}
+    rows = spark.createDataFrame(
+        [(1, "Alpha", None, "outperforms", "Beta", None, 0.9, "c"), (2, "Beta", None, "outperforms", "Alpha", None, 0.5, "c"), (3, "Alpha", None, "outperforms", "alpha", None, 0.5, "c")],
+        "ord long, head string, head_type string, relation string, tail string, tail_type string, score double, chunk_uuid string",
+    )
+    for s in graph.SIDES:
+        rows = rows.withColumn(f"{s}_type_source", F.lit(None).cast("string")).withColumn(f"{s}_type_confidence", F.lit(None).cast("double"))
+    out = graph.postprocess(rows.withColumn("direction_margin", F.lit(None).cast("double")).withColumn("arxiv_id", F.lit("p"))).collect()
+    assert [r["ord"] for r in out] == [1]
