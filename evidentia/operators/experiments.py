@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -208,3 +210,52 @@ class Registry:
             out = {"ok": False, "error": f"{type(error).__name__}: {error}"}
         self.events.append({"call_type": "tool", "tool": name, "error": out.get("error")})
         return out
+
+
+def gold_sheet(triples: DataFrame, n: int, seed: int) -> DataFrame:
+    """A worksheet of triples to label: stratified by relation, with a question and empty label columns."""
+    from evidentia.functions.answers import clean_surface, triple_question
+    from evidentia.operators.evaluation import stratified
+
+    picked = stratified(triples, "relation", n, seed, "ord")
+    question = triple_question(clean_surface("head"), F.col("head_type"), F.col("relation"), clean_surface("tail"), F.col("tail_type"), F.col("arxiv_id"))
+    blank = {c: F.lit("") for c in ("gold_relation_ok", "gold_head_type_ok", "gold_tail_type_ok", "notes")}
+    return picked.withColumn("question", question).withColumns(blank)
+
+
+def instances(rows: DataFrame, key: str, question: str, answer: str, kind: str, document: str, seed: int) -> DataFrame:
+    """Rows of another benchmark as instances of this one: ``instance_id, query, gold, meta``."""
+    gold = F.struct(F.col(answer).cast("string").alias("answer"))
+    meta = F.struct(F.lit(document).alias("document"), F.lit(seed).alias("seed"), F.col(kind).alias("answer_type"))
+    return rows.select(F.concat(F.lit("bridge-"), F.col(key).cast("string")).alias("instance_id"), F.col(question).alias("query"), gold.alias("gold"), meta.alias("meta"))
+
+
+def arm_fingerprint(settings: Mapping[str, object]) -> dict[str, object]:
+    """Settings of an arm in order of their names, and a hash that names them."""
+    plain = {k: settings[k] for k in sorted(settings)}
+    return {**plain, "fingerprint": hashlib.sha256(json.dumps(plain, sort_keys=True, default=str).encode()).hexdigest()}
+
+
+def query_json(buckets: Column) -> Column:
+    """Buckets of a query (``bucket, clauses``) as one JSON object."""
+    return F.to_json(F.map_from_entries(F.transform(buckets, lambda b: F.struct(b["bucket"], b["clauses"]))))
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """Write a run's state; the one before stays until the new one is complete."""
+    spark = state.sparkSession
+    jvm = spark._jvm
+    target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    state.write.mode("overwrite").parquet(f"{path}.new")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(target, True)
+    if not fs.rename(new, target):
+        raise OSError(f"{path} could not be replaced")
+
+
+def query_sample(papers: DataFrame, chunks: DataFrame, vector: Sequence[float], query: str, depth) -> DataFrame:
+    """Ids of the chunks that a query's funnel ends with, in its order."""
+    from evidentia.operators.retrieval import funnel
+
+    best, _ = funnel(papers, chunks, vector, query, depth)
+    return best.select("pos", "chunk_uuid")

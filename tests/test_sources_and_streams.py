@@ -162,3 +162,21 @@ def test_bundles(spark, tmp_path):
         runs.import_bundle(bundle.withColumn("text", F.lit("other")), blobs.limit(0)).collect()
     left = spark.range(1).select(runs.remaining_seconds(F.lit(10.0), F.lit(5), F.lit(20)).alias("a"), runs.remaining_seconds(F.lit(1.0), F.lit(0), F.lit(20)).alias("b")).first()
     assert left["a"] == 30.0 and left["b"] is None
+
+
+def test_sheets_instances_and_states(spark, tmp_path):
+    triples = spark.createDataFrame([(k, f"GPT {k} . 5", "Method", "uses" if k % 3 else "extends", "X", "Dataset", "2101.00001") for k in range(12)],
+                                    "ord long, head string, head_type string, relation string, tail string, tail_type string, arxiv_id string")
+    sheet = P.gold_sheet(triples, 6, 1).collect()
+    assert len(sheet) == 6 and {r["relation"] for r in sheet} == {"uses", "extends"} and all(r["gold_relation_ok"] == "" for r in sheet)
+    assert any(r["question"] == f"Is it true that GPT {r['ord']}.5 (Method) {r['relation']} X (Dataset) at arxiv paper 2101.00001" for r in sheet)
+    one = P.instances(triples, "ord", "head", "tail", "relation", "d.txt", 3).where("instance_id = 'bridge-0'").first()
+    assert one["gold"]["answer"] == "X" and one["meta"].asDict() == {"document": "d.txt", "seed": 3, "answer_type": "extends"}
+    assert P.arm_fingerprint({"b": 1, "a": 2}) == P.arm_fingerprint({"a": 2, "b": 1}) != P.arm_fingerprint({"a": 2, "b": 2})
+    buckets = F.array(F.struct(F.lit("problems").alias("bucket"), F.array(F.lit("x")).alias("clauses")))
+    assert json.loads(spark.range(1).select(P.query_json(buckets)).first()[0]) == {"problems": ["x"]}
+    path = str(tmp_path / "state")
+    for n in (3, 5):
+        P.save_state(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert not (tmp_path / "state.new").exists()
