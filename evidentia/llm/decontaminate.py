@@ -396,6 +396,6 @@ def contaminated(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` that hold no benchmark item; all columns stay."""
-    found = contaminated(docs, benchmark, key=key, **options).select(F.col(key).alias("_found")).distinct()
-    return docs.join(found, F.col(key) == F.col("_found"), "left_anti")
+    """Rows of ``docs`` that hold no benchmark item; all columns stay, and so do rows without an id."""
+    found = contaminated(docs, benchmark, key=key, **options).select(key).distinct()
+    return docs.join(found, key, "left_anti")

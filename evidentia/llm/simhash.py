@@ -319,4 +319,4 @@ def simhash_dedup(
     All columns stay. Rows with a null doc_id are kept.
     """
     lost = simhash_components(docs, width, most, key, text).where(F.col(key) != F.col("component_id"))
-    return docs.join(lost.select(F.col(key).alias("_lost")).distinct(), F.col(key) == F.col("_lost"), "left_anti")
+    return docs.join(lost.select(key).distinct(), key, "left_anti")
