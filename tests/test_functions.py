@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.config import UUID_NAMESPACE, Funnel, hnsw_ef_for
 from evidentia.functions import text as X
 from evidentia.functions.vectors import cell_topk_many, cosine, matryoshka, topk_many
-from evidentia.operators import chunking, claims, ingest
+from evidentia.operators import chunking, ingest
 from evidentia.operators.sqlgate import query_sql, sql_is_allowed, validate_sql
 
 
