@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.llm.bpe import bpe_encode
+from evidentia.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode
 from evidentia.llm.common import bounded, shared_dir
 from evidentia.llm.decontaminate import contaminated
 from evidentia.llm.fingerprint import fingerprint_edits
@@ -164,10 +165,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_positions(spark, path)
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = byte_bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
+    out = byte_bpe_decode(docs.select("doc_id", "ids"), path, pattern, packed="packed")
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("packed", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_simhash, op2_url_filter, op3_decontaminate, op4_token_counts, op5_bpe, op6_substring_dedup, op7_suffix_dedup,
-        op8_quality, op9_fingerprint, op10_token_files,
+        op8_quality, op9_fingerprint, op10_token_files, op13_byte_bpe,
     )
     return {query.__name__: bounded(query) for query in every}
 
