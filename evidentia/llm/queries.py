@@ -13,6 +13,7 @@ from evidentia.llm.byte_bpe import byte_bpe_decode, byte_bpe_encode
 from evidentia.llm.common import bounded, shared_dir
 from evidentia.llm.decontaminate import contaminated
 from evidentia.llm.fingerprint import fingerprint_edits
+from evidentia.llm.hard_negatives import hard_negatives
 from evidentia.llm.quality import fit_quality, held_out, score_quality
 from evidentia.llm.simhash import simhash_components
 from evidentia.llm.substring_dedup import substring_dedup
@@ -165,6 +166,35 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_positions(spark, path)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", shifted), anchors=F.col("vec_id") % 50 == 0)
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND s.label <> s.anchor_label
+  AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 3
+"""
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -182,7 +212,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         op1_simhash, op2_url_filter, op3_decontaminate, op4_token_counts, op5_bpe, op6_substring_dedup, op7_suffix_dedup,
-        op8_quality, op9_fingerprint, op10_token_files, op13_byte_bpe,
+        op8_quality, op9_fingerprint, op10_token_files, op11_hard_negatives, op13_byte_bpe,
     )
     return {query.__name__: bounded(query) for query in every}
 
@@ -191,4 +221,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filter": OP2_SQL,
         "op6_substring_dedup": OP6_SQL,
+        "op11_hard_negatives": OP11_SQL,
     }
