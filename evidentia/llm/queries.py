@@ -14,6 +14,7 @@ from evidentia.llm.common import bounded, shared_dir
 from evidentia.llm.decontaminate import contaminated
 from evidentia.llm.fingerprint import fingerprint_edits
 from evidentia.llm.hard_negatives import hard_negatives
+from evidentia.llm.prefix_trie import conversation_trie
 from evidentia.llm.quality import fit_quality, held_out, score_quality
 from evidentia.llm.simhash import simhash_components
 from evidentia.llm.substring_dedup import substring_dedup
@@ -195,6 +196,62 @@ QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.sc
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(
+        table(spark, sf_dir, "conversations"),
+        base=F.expr("conv - conv % 20"), head=F.expr("crc32(cast(conv AS string)) % 4"),
+    )
+
+
+OP12_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(concat(length(coalesce(role, '')), ':', role, text))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), bits AS (
+  SELECT c, s, 1 AS i, CAST(4294967295 AS BIGINT) AS crc FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t)
+  UNION ALL
+  SELECT c, s, i + 1, (
+    WITH RECURSIVE step(k, v) AS (
+      SELECT 0, xor(crc, CAST(ascii(substr(s, i, 1)) AS BIGINT))
+      UNION ALL
+      SELECT k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, CAST(3988292384 AS BIGINT)) ELSE v // 2 END FROM step WHERE k < 8
+    ) SELECT v FROM step WHERE k = 8
+  ) FROM bits WHERE i <= length(s)
+), heads AS (
+  SELECT c, c - c % 20 AS base, xor(crc, CAST(4294967295 AS BIGINT)) % 4 AS h FROM bits WHERE i = length(s) + 1
+), joined AS (
+  SELECT heads.c, 0 AS part, pos, role, text FROM heads JOIN t ON t.c = heads.base AND pos <= h
+  UNION ALL
+  SELECT heads.c, 1, pos, role, text FROM heads JOIN t ON t.c = heads.c AND pos > h
+), turns AS (
+  SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d FROM joined
+), ways AS (
+  SELECT c, d, text, string_agg(sha256(concat(length(role), ':', role, text)), '/') OVER (PARTITION BY c ORDER BY d) AS way FROM turns
+), all_ways AS (
+  SELECT c, d, text, way FROM ways UNION ALL SELECT c, 0, '', '' FROM heads
+), lengths AS (
+  SELECT c, max(d) AS n FROM all_ways GROUP BY c
+), nodes AS (
+  SELECT way, d, min(a.c) AS c, count(*) AS n, string_agg(CAST(a.c AS VARCHAR), ',' ORDER BY a.c) FILTER (WHERE l.n = d) AS ends,
+    (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS saves
+  FROM all_ways a JOIN lengths l ON a.c = l.c GROUP BY way, d
+), linked AS (
+  SELECT n.*, p.c AS parent, p.way AS above FROM nodes n LEFT JOIN nodes p
+    ON p.d = n.d - 1 AND p.way = CASE WHEN n.d > 1 THEN left(n.way, length(n.way) - 65) ELSE '' END
+), children AS (
+  SELECT above, d - 1 AS d, count(*) AS k FROM linked WHERE d > 0 GROUP BY ALL
+), counted AS (
+  SELECT l.*, coalesce(k, 0) AS k FROM linked l LEFT JOIN children ch ON ch.above = l.way AND ch.d = l.d
+)
+SELECT a.c AS conv_id, CAST(a.d AS BIGINT) AS depth, a.parent AS parent_conv_id, a.n AS n_convs, CAST(a.k AS BIGINT) AS n_children,
+  count(*) FILTER (WHERE b.k = 0) AS n_leaves, CAST(sum(b.saves) AS BIGINT) AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM counted a JOIN counted b ON b.d >= a.d AND starts_with(b.way, a.way)
+GROUP BY ALL
+"""
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -212,7 +269,8 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     every = (
         op1_simhash, op2_url_filter, op3_decontaminate, op4_token_counts, op5_bpe, op6_substring_dedup, op7_suffix_dedup,
-        op8_quality, op9_fingerprint, op10_token_files, op11_hard_negatives, op13_byte_bpe,
+        op8_quality, op9_fingerprint, op10_token_files, op11_hard_negatives, op12_prefix_trie,
+        op13_byte_bpe,
     )
     return {query.__name__: bounded(query) for query in every}
 
@@ -222,4 +280,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_url_filter": OP2_SQL,
         "op6_substring_dedup": OP6_SQL,
         "op11_hard_negatives": OP11_SQL,
+        "op12_prefix_trie": OP12_SQL,
     }
