@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -362,8 +363,8 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least if least is not None else 1 << 62
 
 
-def frequent_words(texts: DataFrame, codec: Codec, text: str, most: int = WORDS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The most frequent words of all texts, the ids of all and where each one's begin.
+def frequent_words(texts: DataFrame, codec: Codec, text: str, most: int = WORDS) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The most frequent words of all texts by their hashes, the ids of all and where each one's begin.
 
     Words that occur once, and those of more than ``LONG`` bytes, are left to
     the texts, so that ``most`` bounds the bytes that the driver gets.
@@ -372,12 +373,25 @@ def frequent_words(texts: DataFrame, codec: Codec, text: str, most: int = WORDS)
     counts = stored(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word-counts")
     chosen = counts.where(F.col("n") >= _least_count(counts, most)).select("word")
     ids = codec.with_map(lambda known: codec.word_ids(known, F.col("word")))
-    found = stored(chosen.repartition(partitions(texts.sparkSession)).withColumn("ids", ids), "word-ids").toArrow()
+    coded = chosen.repartition(partitions(texts.sparkSession)).withColumn("ids", ids).withColumn("hash", F.xxhash64("word"))
+    found = stored(coded, "word-ids").toArrow().sort_by("hash").combine_chunks()
     flat, offsets = flat_lists(found["ids"].combine_chunks())
-    return found["word"].to_pylist(), flat.astype(np.int32), offsets
+    return found["hash"].to_numpy(), found["word"].combine_chunks().cast(pa.binary()), flat.astype(np.int32), offsets
 
 
-def _look_up(docs: DataFrame, table: tuple[list[str], np.ndarray, np.ndarray], words: str) -> DataFrame:
+def _places(words: pa.Array, hashes: np.ndarray, names: pa.Array) -> np.ndarray:
+    """Where each word stands among names in order of their hashes, or their number."""
+    own = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+    at, out = np.searchsorted(hashes, own), np.full(len(words), len(hashes))
+    # Words of one hash are neighbours; more than two are next to impossible, but looked at.
+    while (near := np.flatnonzero((at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == own))).size:
+        same = pc.equal(names.take(pa.array(at[near])), words.take(pa.array(near))).to_numpy(zero_copy_only=False)
+        out[near[same]] = at[near[same]]
+        at[near] += 1
+    return out
+
+
+def _look_up(docs: DataFrame, table: tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray], words: str) -> DataFrame:
     """Arrays of words as their ids and the words that the table lacks: columns ids and rest of ``words``.
 
     The k-th such word of a row stands among its ids as -1 - k.
@@ -385,8 +399,8 @@ def _look_up(docs: DataFrame, table: tuple[list[str], np.ndarray, np.ndarray], w
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, flat, offsets = held.value
-        number, lacks = dict(zip(names, range(len(names)), strict=True)).get, len(names)
+        hashes, names, flat, offsets = held.value
+        lacks = len(names)
         # A word that is not there is one entry, whose only value is set below.
         known, starts = np.append(flat, np.int32(0)), offsets
         lengths = np.append(np.diff(offsets), 1)
@@ -394,8 +408,7 @@ def _look_up(docs: DataFrame, table: tuple[list[str], np.ndarray, np.ndarray], w
             lists = batch.column(words)
             _, ends = flat_lists(lists)
             coded = lists.flatten().dictionary_encode()
-            distinct = np.fromiter((number(w, lacks) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-            codes = distinct[np.asarray(coded.indices, np.int64)]
+            codes = _places(coded.dictionary.cast(pa.binary()), hashes, names)[np.asarray(coded.indices, np.int64)]
             sizes = lengths[codes]
             at = ragged(sizes)
             ids = take_ragged(known, starts[codes], sizes)
