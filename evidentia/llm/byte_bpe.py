@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import list_array, partitions, ragged, stored, take_ragged, tidy
+from evidentia.llm.common import give_back, list_array, partitions, ragged, stored, take_ragged, tidy
 
 #: Bytes of a word that are folded at once, and of a window of a longer one.
 LONG = 60
@@ -121,7 +121,7 @@ def cuckoo(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     a free place in it and need no second look: a place once taken stays so.
     The tables grow until every key has a place.
     """
-    wide, narrow = 4 * len(pairs) + 5, len(pairs) // 2 + 5
+    wide, narrow = 2 * len(pairs) + 5, len(pairs) // 2 + 5
     while True:
         sizes = _prime(wide), _prime(narrow)
         tables = [-1] * sizes[0], [-1] * sizes[1]
@@ -374,9 +374,12 @@ def frequent_words(texts: DataFrame, codec: Codec, text: str, most: int = WORDS)
     chosen = counts.where(F.col("n") >= _least_count(counts, most)).select("word")
     ids = codec.with_map(lambda known: codec.word_ids(known, F.col("word")))
     coded = chosen.repartition(partitions(texts.sparkSession)).withColumn("ids", ids).withColumn("hash", F.xxhash64("word"))
-    found = stored(coded, "word-ids").toArrow().sort_by("hash").combine_chunks()
+    found = stored(coded, "word-ids").orderBy("hash").select("hash", F.col("word").cast("binary"), "ids").toArrow()
     flat, offsets = flat_lists(found["ids"].combine_chunks())
-    return found["hash"].to_numpy(), found["word"].combine_chunks().cast(pa.binary()), flat.astype(np.int32), offsets
+    out = found["hash"].to_numpy(), found["word"].combine_chunks(), flat, offsets.astype(np.int32)
+    del found
+    give_back()
+    return out
 
 
 def _places(words: pa.Array, hashes: np.ndarray, names: pa.Array) -> np.ndarray:
@@ -402,8 +405,8 @@ def _look_up(docs: DataFrame, table: tuple[np.ndarray, pa.Array, np.ndarray, np.
         hashes, names, flat, offsets = held.value
         lacks = len(names)
         # A word that is not there is one entry, whose only value is set below.
-        known, starts = np.append(flat, np.int32(0)), offsets
-        lengths = np.append(np.diff(offsets), 1)
+        known, starts = np.append(flat, np.int32(0)), offsets.astype(np.int64)
+        lengths = np.append(np.diff(starts), 1)
         for batch in batches:
             lists = batch.column(words)
             _, ends = flat_lists(lists)
