@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.config import Funnel
 from evidentia.functions import text as X
+from evidentia.functions.vector_index import build_index, index_topk, over_fetch
 from evidentia.functions.vectors import cell_topk_many, matryoshka, recall_many, topk_many
 from evidentia.operators import chunking, ingest, retrieval
+from evidentia.operators import text_index as text_indexes
 from evidentia.plans import sql as Q
 from evidentia.sources.corpus import chunks, papers, query_vectors, table
+from evidentia.sources.shared import shared_dir, written
 
 QUERY = "evaluation of the thing that is here and with this oneed erin"
 DEPTH = Funnel(k=100, n=20, c_wide=150, c_top=40)
@@ -281,6 +286,30 @@ def r_ann_recall_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall_many(cell_topk_many(rows, queries, 10, id_="vec_id"), topk_many(rows, queries, 10, id_="vec_id"), "vec_id")
 
 
+def r_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against the exact search, at three depths, over the whole query set.
+
+    ``reached`` says that 0.9 and more of the exact rows are found, and
+    ``few_compared`` that less than a tenth of the vectors was compared.
+    """
+    rows, queries = table(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir)
+    index = build_index(rows, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", id_="vec_id")
+    depths = spark.createDataFrame([(1,), (5,), (10,)], "depth int")
+    found = written(index_topk(spark, index, queries, 10, id_="vec_id"), "found")
+    exact = written(topk_many(rows, queries, 10, id_="vec_id"), "exact")
+    both = exact.withColumnRenamed("rank", "place").join(found.select("query_id", "vec_id", "rank"), ["query_id", "vec_id"], "left")
+    hit = (F.col("place") <= F.col("depth")) & F.col("rank").isNotNull()
+    compared = F.lit(over_fetch(index, 10) / max(1, index.rows))
+    return both.join(depths, F.col("place") <= F.col("depth")).groupBy("depth").agg(
+        F.count("*").alias("wanted"), (F.sum(hit.cast("int")) >= 0.9 * F.count("*")).alias("reached")
+    ).withColumn("few_compared", compared < 0.1)
+
+
+R_INDEX = """SELECT depth::INT AS depth, count(*) * least(depth, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL)) AS wanted,
+  true AS reached, true AS few_compared
+FROM embeddings, (SELECT unnest([1, 5, 10]) AS depth) WHERE vec_id % 20 = 0 AND embedding IS NOT NULL GROUP BY depth"""
+
+
 def r_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical_topk(papers(spark, sf_dir), QUERY, 50).select("pos", "arxiv_id", F.round("score", 6).alias("score"))
 
@@ -290,6 +319,58 @@ SELECT CAST(pos AS INT) AS pos, arxiv_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (ORDER BY score DESC, arxiv_id) AS pos FROM scored WHERE score > 0) WHERE pos <= 50"""
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> text_indexes.TextIndex:
+    """First lines, counted ten times, and whole texts of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"), "text")
+    return text_indexes.build_text_index(docs, f"{shared_dir(spark)}/words-{uuid.uuid4().hex}", {"title": 1.0, "text": 0.1})
+
+
+def r_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents by weighted words in any form, from the inverted index."""
+    found = text_indexes.search(spark, text_index(spark, sf_dir), WORDS, 100)
+    return found.select("pos", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def r_phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_indexes.phrase(spark, text_index(spark, sf_dir), PHRASE).select(F.col("id").alias("doc_id"), "times")
+
+
+WORDS, PHRASE = "Evaluations of the thing, and whos with thises oneed: benchmarks", "of the"
+_FORMS = """CASE WHEN length(w) < 4 THEN w
+    WHEN w LIKE '%ies' AND NOT (w LIKE '%eies' OR w LIKE '%aies') THEN left(w, length(w) - 3) || 'y'
+    WHEN w LIKE '%es' AND NOT (w LIKE '%aes' OR w LIKE '%ees' OR w LIKE '%oes') THEN left(w, length(w) - 1)
+    WHEN w LIKE '%s' AND NOT (w LIKE '%us' OR w LIKE '%ss') THEN left(w, length(w) - 1) ELSE w END"""
+
+
+def _fields(field: str, weight: float) -> str:
+    norm = f"trim(regexp_replace(lower(coalesce({field}, '')), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    return f"SELECT doc_id, {weight} AS weight, list_filter(string_split({norm}, ' '), lambda w: w <> '') AS ws FROM documents"
+
+
+_TERMS = f"""fields AS ({_fields("string_split(text, chr(10))[1]", 1.0)} UNION ALL {_fields("text", 0.1)}
+), terms AS (
+  SELECT doc_id, weight, place, {_FORMS} AS term
+  FROM (SELECT doc_id, weight, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS place FROM fields)
+)"""
+R_RANKED = f"""WITH {_TERMS}, asked AS (
+  SELECT DISTINCT {_FORMS} AS term FROM (SELECT unnest(string_split(trim(regexp_replace(lower('{WORDS}'), '[^a-z0-9]+', ' ', 'g'), ' '), ' ')) AS w)
+), lengths AS (
+  SELECT doc_id, sum(len(ws)) AS n FROM fields GROUP BY doc_id
+), tf AS (
+  SELECT doc_id, term, sum(weight)::DOUBLE AS w FROM terms JOIN asked USING (term) GROUP BY doc_id, term
+), df AS (
+  SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY term
+), scored AS (
+  SELECT doc_id, round(sum(idf * w * 2.2 / (w + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM lengths)))), 9) AS score
+  FROM tf JOIN df USING (term) JOIN lengths USING (doc_id) GROUP BY doc_id
+)
+SELECT CAST(pos AS INT) AS pos, doc_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM scored) WHERE pos <= 100"""
+R_PHRASES = f"""WITH {_TERMS}
+SELECT a.doc_id, CAST(count(*) AS INT) AS times FROM terms a JOIN terms b
+  ON a.doc_id = b.doc_id AND a.weight = b.weight AND b.place = a.place + 1 AND a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id"""
+
+
 def r_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with one common word, by how often they have it."""
     return retrieval.phrase_match(papers(spark, sf_dir), "the", 40).select("pos", "arxiv_id", "times")
@@ -371,6 +452,6 @@ QUERIES = {
     "r_shallow_topk": (r_shallow_topk, R_SHALLOW), "r_rerank_papers": (r_rerank_papers, R_RERANK_PAPERS), "r_deep_match": (r_deep_match, R_DEEP),
     "r_rerank_chunks": (r_rerank_chunks, R_RERANK_CHUNKS), "r_funnel": (r_funnel, R_FUNNEL), "r_fetch_papers": (r_fetch_papers, R_FETCH),
     "r_fetch_paper_chunks": (r_fetch_paper_chunks, R_PAPER_CHUNKS), "r_lookup_missing": (r_lookup_missing, R_LOOKUP),
-    "r_ann_recall_lsh": (r_ann_recall_lsh, None), "r_lexical_topk": (r_lexical_topk, R_LEXICAL), "r_phrase_match": (r_phrase_match, R_PHRASE), "r_rrf": (r_rrf, R_RRF),
+    "r_ann_recall_lsh": (r_ann_recall_lsh, None), "r_index_recall": (r_index_recall, R_INDEX), "r_ranked_search": (r_ranked_search, R_RANKED), "r_phrase_search": (r_phrase_search, R_PHRASES), "r_lexical_topk": (r_lexical_topk, R_LEXICAL), "r_phrase_match": (r_phrase_match, R_PHRASE), "r_rrf": (r_rrf, R_RRF),
     "r_capacity_summary": (r_capacity_summary, R_CAPACITY), "r_matryoshka": (r_matryoshka, R_MATRYOSHKA), "r_many_topk": (r_many_topk, R_MANY),
 }
