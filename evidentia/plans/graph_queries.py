@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import lexicons as lex
 from evidentia.operators import graph as G
+from evidentia.operators.components import strong_components
 from evidentia.sources.corpus import table
 
 TAILS = (" model", " dataset", " task", "", "QA", " score", "", " corpus")
@@ -219,6 +220,20 @@ G_CYCLES = """WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS src, (n_nation
 SELECT DISTINCT src AS node FROM reach WHERE src = dst"""
 
 
+def g_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that returned lines of full discount and tax join in cycles."""
+    li, suppliers = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier").count()
+    lines = li.where("l_returnflag = 'R' and round(l_discount, 2) = 0.1 and round(l_tax, 2) >= 0.07")
+    return strong_components(lines.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % suppliers + 1).alias("dst")))
+
+
+G_COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) + 1 AS dst FROM lineitem
+  WHERE l_returnflag = 'R' AND round(l_discount, 2) = 0.1 AND round(l_tax, 2) >= 0.07), reach AS (
+  SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM reach r JOIN e ON r.dst = e.src)
+SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src
+GROUP BY a.src HAVING count(*) > 1"""
+
+
 def g_coref(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     texts = p.select(F.concat(F.lit("c"), F.col("p_partkey")).alias("chunk_uuid"), F.concat(F.lit("The "), F.col("p_brand"), F.lit(" beats "), F.col("p_name"), F.lit(". It also wins.")).alias("chunk_text"))
@@ -348,7 +363,7 @@ QUERIES = {
     "g_suffix_types": (g_suffix_types, G_SUFFIX), "g_relation_types": (g_relation_types, G_RELATION), "g_role_filter": (g_role_filter, G_ROLE),
     "g_direction_pairs": (g_direction_pairs, G_PAIRS), "g_symmetric": (g_symmetric, G_SYMMETRIC), "g_dedup": (g_dedup, G_DEDUP), "g_nodes": (g_nodes, G_NODES),
     "g_edges": (g_edges, G_EDGES), "g_neighbors": (g_neighbors, G_NEIGHBORS), "g_subgraph": (g_subgraph, G_SUBGRAPH), "g_index_summary": (g_index_summary, G_SUMMARY),
-    "g_top_degree": (g_top_degree, G_DEGREE), "g_cycle_break": (g_cycle_break, None), "g_cycle_members": (g_cycle_members, G_CYCLES),
+    "g_top_degree": (g_top_degree, G_DEGREE), "g_cycle_break": (g_cycle_break, None), "g_cycle_members": (g_cycle_members, G_CYCLES), "g_components": (g_components, G_COMPONENTS),
     "g_coref": (g_coref, G_COREF), "g_span_filter": (g_span_filter, G_SPANS), "g_verify_budget": (g_verify_budget, G_VERIFY),
     "g_gazetteer_build": (g_gazetteer_build, G_BUILD), "g_payload_triples": (g_payload_triples, G_PAYLOAD), "g_payload_entities": (g_payload_entities, G_PAYLOAD_ENTITIES),
     "g_gold_coverage": (g_gold_coverage, G_COVERAGE), "g_build_kg": (g_build_kg, G_KG),
