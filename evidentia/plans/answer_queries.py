@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import answers as A
 from evidentia.functions import text as X
+from evidentia.operators import spans
 from evidentia.plans.claim_queries import _ANSWERS, answers
 from evidentia.sources.corpus import table
 
@@ -219,8 +220,29 @@ def a_union_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 A_UNION = "SELECT p_partkey, 2 AS gold, 1 AS matched, 0.5::DOUBLE AS recall, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS excerpts FROM part"
 
+def a_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document that touches one of its tokens, in tokens."""
+    docs = table(spark, sf_dir, "documents")
+    lines, words = (spans.pieces(docs, "doc_id", "text", mark) for mark in ("\n", " "))
+    found = spans.token_spans(lines.withColumnRenamed("nth", "line"), words, "doc_id", ["line"])
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("line", "first", "last", "tokens")))
+
+
+def _pieces(mark: int) -> str:
+    return f"""SELECT doc_id, nth, start, start + length(piece) AS stop FROM (
+    SELECT *, coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+    FROM (SELECT doc_id, unnest(l) AS piece, unnest(generate_series(0, len(l) - 1)) AS nth
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr({mark})) AS l FROM documents)))"""
+
+
+A_LINE_TOKENS = f"""WITH lines AS ({_pieces(10)}), tokens AS ({_pieces(32)})
+SELECT l.doc_id, l.nth AS line, min(t.nth) AS first, max(t.nth) AS last, count(*) AS tokens
+FROM lines l JOIN tokens t ON l.doc_id = t.doc_id AND l.start < t.stop AND t.start < l.stop
+WHERE l.start < l.stop AND t.start < t.stop GROUP BY l.doc_id, l.nth"""
+
+
 QUERIES = {
-    "a_final_gate": (a_final_gate, A_GATE), "a_union_recall": (a_union_recall, A_UNION),
+    "a_line_tokens": (a_line_tokens, A_LINE_TOKENS), "a_final_gate": (a_final_gate, A_GATE), "a_union_recall": (a_union_recall, A_UNION),
     "a_snippet": (a_snippet, A_SNIPPET), "a_gold_entities": (a_gold_entities, A_ENTITIES), "a_answer_scores": (a_answer_scores, A_SCORES),
     "a_blocks": (a_blocks, A_BLOCKS), "a_buckets": (a_buckets, A_BUCKETS), "a_bucket_scores": (a_bucket_scores, A_BUCKET_SCORES),
     "a_claim_scores": (a_claim_scores, A_CLAIM_SCORES), "a_quotes": (a_quotes, A_QUOTES), "a_ledger_status": (a_ledger_status, A_LEDGER),
