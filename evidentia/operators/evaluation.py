@@ -29,7 +29,7 @@ def score_queries(rankings: DataFrame, qrels: DataFrame, k: int = 10, wide: int
         ),
         "query_id", "left",
     )
-    cells = rankings.select("config").distinct().join(F.broadcast(judged), how="cross")
+    cells = rankings.select("config").distinct().join(judged, how="cross")
     hits = rankings.join(qrels.where("rel > 0"), ["query_id", "doc_id"]).groupBy("config", "query_id").agg(
         F.sum(F.when(F.col("rank") <= k, gain(F.col("rel")) / F.log2(F.col("rank") + 1))).alias("dcg"),
         F.count_if(F.col("rank") <= k).alias("top"), F.count_if(F.col("rank") <= wide).alias("within"), F.min("rank").alias("first"),
@@ -99,7 +99,7 @@ def stratified(rows: DataFrame, stratum: str, n: int, seed: int, key: str) -> Da
     ``n`` if these are more, and topped up in the same order if they are fewer."""
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
     total = rows.agg(F.count("*").alias("_all"))
-    sized = rows.join(F.broadcast(rows.groupBy(stratum).agg(F.count("*").alias("_size"))), stratum).join(F.broadcast(total), how="cross")
+    sized = rows.join(rows.groupBy(stratum).agg(F.count("*").alias("_size")), stratum).join(total, how="cross")
     ranked = sized.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(order, key)))
     quota = F.greatest(F.lit(1), F.round(n * F.col("_size") / F.col("_all")))
     within = ranked.withColumn("_late", F.col("_r") > quota).withColumn("_o", order)
@@ -196,7 +196,7 @@ def job_matrix(arms: DataFrame, queries: DataFrame, repeats: int) -> DataFrame:
             F.filter(F.map_entries("arm_env"), lambda e: ~F.map_contains_key(F.col("query_env"), e["key"])), F.map_entries("query_env")
         )
     )
-    return arms.join(F.broadcast(queries), how="cross").select(
+    return arms.join(queries, how="cross").select(
         "arm", "query_id", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"), merged.alias("env")
     )
 

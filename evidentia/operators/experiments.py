@@ -55,12 +55,11 @@ def fork_runs(manifests: DataFrame, forks: DataFrame) -> DataFrame:
 def wave_cells(cells: DataFrame, recorded: DataFrame, start: str | None = None, through: str | None = None) -> DataFrame:
     """Cells of a plan (``place, cell, arms, queries, repeats``) from one name through
     another, with the runs that they expect, those recorded (``cell, cost``) and whether they are complete."""
-    bound = lambda name: F.max(F.when(F.col("cell") == name, F.col("place"))).over(Window.partitionBy())
-    rows = cells
-    if start is not None:
-        rows = rows.withColumn("_a", bound(start)).where("place >= _a").drop("_a")
-    if through is not None:
-        rows = rows.withColumn("_b", bound(through)).where("place <= _b").drop("_b")
+    # The bounds are one row; a name that no cell has leaves none.
+    rows, ends = cells, [(n, sign) for n, sign in ((start, ">="), (through, "<=")) if n is not None]
+    for name, sign in ends:
+        bound = cells.agg(F.max(F.when(F.col("cell") == name, F.col("place"))).alias("_end"))
+        rows = rows.join(bound, F.expr(f"place {sign} _end")).drop("_end")
     have = recorded.groupBy("cell").agg(F.count("*").alias("runs"), F.sum("cost").alias("cost"))
     out = rows.withColumn("expected", F.col("arms") * F.col("queries") * F.col("repeats")).join(have, "cell", "left")
     out = out.withColumn("runs", F.coalesce("runs", F.lit(0))).withColumn("cost", F.coalesce("cost", F.lit(0.0)))

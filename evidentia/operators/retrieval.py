@@ -63,13 +63,13 @@ def rerank_papers(
     papers: DataFrame, candidates: DataFrame, query: str, n: int = Funnel.n, scorer: Scorer = overlap_score
 ) -> DataFrame:
     """``pos, arxiv_id, score`` of the best ``n`` candidates (``pos, arxiv_id``)."""
-    rows = F.broadcast(candidates.select("pos", "arxiv_id")).join(papers.select("arxiv_id", "abstract"), "arxiv_id")
+    rows = candidates.select("pos", "arxiv_id").join(papers.select("arxiv_id", "abstract"), "arxiv_id")
     return top_by_score(rows.select("pos", "arxiv_id", scorer(query, F.col("abstract")).alias("score")), n)
 
 
 def deep_match(chunks: DataFrame, papers: DataFrame, query: Sequence[float], c: int = Funnel.c_wide) -> DataFrame:
     """``pos, chunk_uuid, arxiv_id, sim``: exact nearest chunks of the papers."""
-    scoped = chunks.where(F.col("chunk_embedding").isNotNull()).join(F.broadcast(papers.select("arxiv_id")), "arxiv_id", "left_semi")
+    scoped = chunks.where(F.col("chunk_embedding").isNotNull()).join(papers.select("arxiv_id"), "arxiv_id", "left_semi")
     rows = scoped.select("chunk_uuid", "arxiv_id", cosine(F.col("chunk_embedding"), vector_literal(query)).alias("sim"))
     return positioned(rows.orderBy(F.desc("sim"), "chunk_uuid").limit(c), F.desc("sim"), F.col("chunk_uuid"))
 
@@ -79,7 +79,7 @@ def rerank_chunks(
 ) -> DataFrame:
     """The best ``top`` candidates (``pos, chunk_uuid``) with their texts and scores."""
     columns = ["chunk_uuid", "arxiv_id", "section_type", "section_order", "chunk_text", "token_count"]
-    rows = F.broadcast(candidates.select("pos", "chunk_uuid")).join(chunks.select(*columns), "chunk_uuid")
+    rows = candidates.select("pos", "chunk_uuid").join(chunks.select(*columns), "chunk_uuid")
     return top_by_score(rows.withColumn("score", scorer(query, F.col("chunk_text"))), top)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from evidentia.operators.sqlgate import query_sql, register_views
 
-TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
 
 STATEMENTS = {
     "s_join_inner": """SELECT n_name, r_name, count(*) AS suppliers FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -36,8 +36,11 @@ STATEMENTS = {
     "s_cte": """WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey), top AS (
         SELECT o_custkey, s, row_number() OVER (ORDER BY s DESC, o_custkey) AS r FROM spend)
         SELECT o_custkey, round(s, 2) AS s, r FROM top WHERE r <= 20""",
-    "s_recursive": """WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 40)
-        SELECT n, total FROM steps""",
+    "s_recursive": """WITH RECURSIVE chain(conv_id, turn, chars) AS (
+        SELECT conv_id, turn, length(text) FROM conversations WHERE turn = 0
+        UNION ALL SELECT c.conv_id, c.turn, chain.chars + length(c.text) FROM chain JOIN conversations c
+          ON c.conv_id = chain.conv_id AND c.turn = chain.turn + 1)
+        SELECT conv_id, max(turn) AS last, max(chars) AS chars FROM chain GROUP BY conv_id""",
     "s_having": "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey HAVING count(*) > 500",
     "s_q3": """SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey
         JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY o_orderkey ORDER BY revenue DESC, o_orderkey LIMIT 10""",
@@ -50,6 +53,10 @@ STATEMENTS = {
 def _query(statement: str):
     def run(spark, sf_dir):
         register_views(spark, sf_dir, TABLES)
+        if "RECURSIVE" in statement:
+            # Chains are as long and as many as the tables make them.
+            spark.conf.set("spark.sql.cteRecursionLevelLimit", "-1")
+            spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
         # The row cap bounds what a caller fetches; here the result is written.
         return query_sql(spark, statement, row_cap=2**31 - 1)
 

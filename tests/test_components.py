@@ -70,3 +70,15 @@ def test_components_larger_than_a_share(spark, share, scores):
     frame = spark.createDataFrame(rows, "a long, b long, ord long, score double").selectExpr("*", "'x' AS problem")
     got = [r["ord"] for r in C.cycle_edges(frame, share).collect()]
     assert set(got) == plain_broken(rows) and len(got) == len(set(got))
+
+
+def test_triples_of_a_graph_have_numbers_of_their_own(spark):
+    from evidentia.operators import graph as G
+
+    def many(text):
+        return [(f"A{k}", "Method", "uses", f"B{k}", "Dataset", 0.9) for k in range(int(text))]
+
+    chunks = spark.createDataFrame([(f"c{k}", "p", n) for k, n in enumerate(["5000", "3", "0", "7"])], "chunk_uuid string, arxiv_id string, chunk_text string")
+    rows = G.build_kg(chunks, many)["extracted"].orderBy("ord").select("ord", "chunk_uuid", "place").collect()
+    assert len({r.ord for r in rows}) == len(rows) == 5010
+    assert [(r.chunk_uuid, r.place) for r in rows] == sorted((r.chunk_uuid, r.place) for r in rows)
