@@ -13,6 +13,7 @@ from evidentia.functions.vector_index import build_index, index_topk, over_fetch
 from evidentia.functions.vectors import cell_topk_many, matryoshka, recall_many, topk_many
 from evidentia.operators import chunking, ingest, retrieval
 from evidentia.operators import text_index as text_indexes
+from evidentia.operators.windows import unit_windows
 from evidentia.plans import sql as Q
 from evidentia.sources.corpus import chunks, papers, query_vectors, table
 from evidentia.sources.shared import shared_dir, written
@@ -325,6 +326,35 @@ def text_index(spark: SparkSession, sf_dir: str) -> text_indexes.TextIndex:
     return text_indexes.build_text_index(docs, f"{shared_dir(spark)}/words-{uuid.uuid4().hex}", {"title": 1.0, "text": 0.1})
 
 
+def c_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of lines of every document, by a table function."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unit_windows(docs, budget=200, overlap=40).select("doc_id", "nth", "first", "last", "start", "stop", "tokens")
+
+
+C_WINDOWS = r"""WITH RECURSIVE split AS (
+  SELECT doc_id, unnest(l) AS piece, unnest(generate_series(0, len(l) - 1)) AS nth
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), placed AS (
+  SELECT *, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS n,
+    coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM split
+), units AS (
+  SELECT doc_id, list(start ORDER BY nth) AS starts, list(start + length(piece) ORDER BY nth) AS stops, list(total ORDER BY nth) AS totals
+  FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY nth) AS total FROM placed WHERE n > 0) GROUP BY doc_id
+), w AS (
+  SELECT doc_id, totals, 0 AS nth, 1 AS first, 1 AS new, greatest(1, len(list_filter(totals, lambda t: t <= 200))) AS last FROM units
+  UNION ALL
+  SELECT doc_id, totals, nth + 1, i, last + 1, greatest(last + 1, len(list_filter(totals, lambda t: t <= base + 200)))
+  FROM (SELECT *, CASE WHEN i > 1 THEN totals[i - 1] ELSE 0 END AS base FROM (
+    SELECT *, CASE WHEN totals[last + 1] - (CASE WHEN s > 1 THEN totals[s - 1] ELSE 0 END) <= 200 THEN s ELSE last + 1 END AS i FROM (
+      SELECT *, greatest(first, len(list_filter(totals, lambda t: t < totals[last] - 40)) + CASE WHEN totals[last] <= 40 THEN 1 ELSE 2 END) AS s FROM w WHERE last < len(totals))))
+)
+SELECT w.doc_id, nth::INT AS nth, (first - 1)::INT AS first, (last - 1)::INT AS last, starts[first]::BIGINT AS start, stops[last]::BIGINT AS stop,
+  (w.totals[last] - CASE WHEN first > 1 THEN w.totals[first - 1] ELSE 0 END)::BIGINT AS tokens
+FROM w JOIN units u ON w.doc_id = u.doc_id"""
+
+
 def r_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents by weighted words in any form, from the inverted index."""
     found = text_indexes.search(spark, text_index(spark, sf_dir), WORDS, 100)
@@ -452,6 +482,6 @@ QUERIES = {
     "r_shallow_topk": (r_shallow_topk, R_SHALLOW), "r_rerank_papers": (r_rerank_papers, R_RERANK_PAPERS), "r_deep_match": (r_deep_match, R_DEEP),
     "r_rerank_chunks": (r_rerank_chunks, R_RERANK_CHUNKS), "r_funnel": (r_funnel, R_FUNNEL), "r_fetch_papers": (r_fetch_papers, R_FETCH),
     "r_fetch_paper_chunks": (r_fetch_paper_chunks, R_PAPER_CHUNKS), "r_lookup_missing": (r_lookup_missing, R_LOOKUP),
-    "r_ann_recall_lsh": (r_ann_recall_lsh, None), "r_index_recall": (r_index_recall, R_INDEX), "r_ranked_search": (r_ranked_search, R_RANKED), "r_phrase_search": (r_phrase_search, R_PHRASES), "r_lexical_topk": (r_lexical_topk, R_LEXICAL), "r_phrase_match": (r_phrase_match, R_PHRASE), "r_rrf": (r_rrf, R_RRF),
+    "r_ann_recall_lsh": (r_ann_recall_lsh, None), "r_index_recall": (r_index_recall, R_INDEX), "c_line_windows": (c_line_windows, C_WINDOWS), "r_ranked_search": (r_ranked_search, R_RANKED), "r_phrase_search": (r_phrase_search, R_PHRASES), "r_lexical_topk": (r_lexical_topk, R_LEXICAL), "r_phrase_match": (r_phrase_match, R_PHRASE), "r_rrf": (r_rrf, R_RRF),
     "r_capacity_summary": (r_capacity_summary, R_CAPACITY), "r_matryoshka": (r_matryoshka, R_MATRYOSHKA), "r_many_topk": (r_many_topk, R_MANY),
 }
