@@ -311,7 +311,9 @@ def contaminated(
     ``reparameterised``: of the templates, or of the literal windows if only
     those pass. Whole texts are looked at. An item of fewer tokens than
     ``width`` is one window, found anywhere in a document; one with no token
-    gives none. Nulls are empty texts; rows with a null id are left out.
+    gives none. A template window has ``LEAST_WORDS`` words beside its
+    placeholders, or as many as tokens if these are fewer: an item without such
+    a window is found in its own words only, not with other values. Nulls are empty texts; rows with a null id are left out.
     Repeated rows count once.
     """
 

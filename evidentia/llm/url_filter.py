@@ -8,6 +8,7 @@ rule has both.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -21,17 +22,20 @@ MAX_TRIE_BYTES = 32 << 20
 
 
 @dataclass
-class PathNode:
-    """``inner`` by whole segment; ``ends`` by the start of the next segment."""
-
-    inner: dict[str, PathNode] = field(default_factory=dict)
-    ends: dict[str, tuple] = field(default_factory=dict)
+class Trie:
+    """Nodes are numbers, so that a trie of any depth is a few flat tables.
 
+    ``labels`` leads from a host's node by a label, ``segments`` from a path's
+    node by a whole segment; ``paths`` gives the path's first node of a host's.
+    A rule ends at a path's node with the start of the next segment: ``starts``
+    has its rank, and ``lengths`` the lengths of the starts that a node has.
+    """
 
-@dataclass
-class HostNode:
-    inner: dict[str, HostNode] = field(default_factory=dict)
-    paths: PathNode | None = None
+    labels: dict[tuple[int, str], int] = field(default_factory=dict)
+    paths: dict[int, int] = field(default_factory=dict)
+    segments: dict[tuple[int, str], int] = field(default_factory=dict)
+    starts: dict[tuple[int, str], tuple] = field(default_factory=dict)
+    lengths: dict[int, list[int]] = field(default_factory=dict)
 
 
 def lower_ascii(text: str) -> str:
@@ -52,52 +56,56 @@ def split_url(url: str | None) -> tuple[str, str]:
     return lower_ascii(host), slash + path
 
 
-def build_trie(rules: Sequence[tuple[str, str, str]]) -> HostNode:
+def build_trie(rules: Sequence[tuple[str, str, str]]) -> Trie:
     """Trie of (verdict, host, path) rules; an empty host fits every host.
 
     A null host or path is empty; a rule without a verdict is none.
     """
-    root = HostNode()
+    trie, sizes = Trie(), defaultdict(set)
     for verdict, host, path in rules:
         host, path = host or "", path or ""
         if verdict is None:
             continue
         if verdict not in ("allow", "block"):
             raise ValueError(f"no such verdict: {verdict}")
-        node = root
+        node = 0
         for label in reversed(host.split(".")) if host else ():
-            node = node.inner.setdefault(label, HostNode())
-        node.paths = node.paths or PathNode()
+            node = trie.labels.setdefault((node, label), len(trie.labels) + 1)
+        place = trie.paths.setdefault(node, -1 - node)
         *whole, start = path.split("/")
-        place = node.paths
         for segment in whole:
-            place = place.inner.setdefault(segment, PathNode())
+            place = trie.segments.setdefault((place, segment), len(trie.segments))
         rank = (len(host) + len(path), len(host), verdict == "block", host + path, verdict)
-        place.ends[start] = max(rank, place.ends.get(start, rank))
-    return root
+        trie.starts[place, start] = max(rank, trie.starts.get((place, start), rank))
+        sizes[place].add(len(start))
+    trie.lengths = {place: sorted(some) for place, some in sizes.items()}
+    return trie
 
 
-def _best(paths: PathNode, segments: list[str], best: tuple | None) -> tuple | None:
+def _best(trie: Trie, place: int | None, segments: list[str], best: tuple | None) -> tuple | None:
     for k, segment in enumerate(segments):
-        for start, rank in paths.ends.items():
-            if segment.startswith(start) and (best is None or rank > best):
+        for size in trie.lengths.get(place, ()):
+            if size > len(segment):
+                break
+            rank = trie.starts.get((place, segment[:size]))
+            if rank is not None and (best is None or rank > best):
                 best = rank
         # The last segment has no "/" behind it, so it is never a whole one.
-        if k == len(segments) - 1 or (paths := paths.inner.get(segment)) is None:
+        if k == len(segments) - 1 or (place := trie.segments.get((place, segment))) is None:
             break
     return best
 
 
-def longest_rule(trie: HostNode, host: str, path: str) -> tuple[str, str] | None:
+def longest_rule(trie: Trie, host: str, path: str) -> tuple[str, str] | None:
     """The rule (host and path) and verdict that decide, or None."""
     segments = path.split("/")
-    best = _best(trie.paths, segments, None) if trie.paths else None
-    node = trie
+    best = _best(trie, trie.paths[0], segments, None) if 0 in trie.paths else None
+    node = 0
     for label in reversed(host.split(".")):
-        if (node := node.inner.get(label)) is None:
+        if (node := trie.labels.get((node, label))) is None:
             break
-        if node.paths:
-            best = _best(node.paths, segments, best)
+        if node in trie.paths:
+            best = _best(trie, trie.paths[node], segments, best)
     return None if best is None else best[3:5]
 
 
@@ -124,9 +132,10 @@ def url_filter(
         if rules.agg(size).first()[0] > max_trie_bytes:
             return _by_join(pages, rules, url, keys, default)
         rules = [tuple(r) for r in rules.select("verdict", "host", "path").collect()]
-    trie = build_trie(rules)
+    shared = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value
         for batch in batches:
             host, path, rule, verdict = [], [], [], []
             for value in batch.column(url).to_pylist():

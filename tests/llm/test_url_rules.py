@@ -1,10 +1,13 @@
 """Rules with nulls, and the join beside the trie."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.llm.queries import table
-from evidentia.llm.url_filter import url_filter
+from evidentia.llm.url_filter import build_trie, longest_rule, url_filter
 
 RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("block", "net", None), (None, "example.com", "/en/x"),
@@ -31,3 +34,32 @@ def test_join_equals_trie_on_the_given_pages(spark):
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     one, two = (sorted(map(str, url_filter(pages, rules, max_trie_bytes=m).collect())) for m in (32 << 20, 0))
     assert one == two
+
+
+def plain_rule(rules, host, path):
+    fits = [
+        (len(h) + len(p), len(h), v == "block", h + p, v)
+        for v, h, p in rules if (not h or host == h or host.endswith("." + h)) and path.startswith(p)
+    ]
+    return max(fits)[3:5] if fits else None
+
+
+def test_trie_equals_a_walk_over_all_rules():
+    rnd = random.Random(8)
+    part = lambda: "".join(rnd.choice("ab") for _ in range(rnd.randrange(3)))
+    rules = [(rnd.choice(["allow", "block"]), ".".join(part() for _ in range(rnd.randrange(4))), "/".join(part() for _ in range(rnd.randrange(4)))) for _ in range(300)]
+    trie = build_trie(rules)
+    for _ in range(2000):
+        host, path = ".".join(part() for _ in range(3)), "/" * rnd.randrange(2) + "/".join(part() for _ in range(4))
+        assert longest_rule(trie, host, path) == plain_rule(rules, host, path)
+
+
+def test_very_many_rules_of_one_host_and_very_deep_paths(spark):
+    rules = [("block", "example.com", f"/p{k}") for k in range(100_000)] + [("allow", "example.com", "/x" * 5_000)]
+    trie = build_trie(rules)
+    began = time.perf_counter()
+    for k in range(2_000):
+        assert longest_rule(trie, "www.example.com", f"/p{k * 50}") == (f"example.com/p{k * 50}", "block")
+    assert (time.perf_counter() - began) / 2_000 < 0.0005
+    pages = spark.createDataFrame([(1, "http://example.com" + "/x" * 5_001), (2, "http://example.com" + "/x" * 4_999)], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter(pages, rules, default="none").orderBy("page_id").collect()] == ["allow", "none"]
