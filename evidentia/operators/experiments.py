@@ -7,7 +7,8 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,15 +242,35 @@ def query_json(buckets: Column) -> Column:
 
 
 def save_state(state: DataFrame, path: str) -> None:
-    """Write a run's state; the one before stays until the new one is complete."""
+    """Write a run's state; the one before stays until the new one is complete.
+
+    A crash between leaves the new one beside, under ``path`` and ``.new``:
+    ``load_state`` reads it there, and the next call puts it in place first.
+    """
     spark = state.sparkSession
     jvm = spark._jvm
     target, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    state.write.mode("overwrite").parquet(f"{path}.new")
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(new, target):
-        raise OSError(f"{path} could not be replaced")
+
+    def replace() -> None:
+        fs.delete(target, True)
+        if not fs.rename(new, target):
+            raise OSError(f"{path} could not be replaced")
+
+    if not fs.exists(target) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}.new/_SUCCESS")):
+        replace()
+    state.write.mode("overwrite").parquet(f"{path}.new")
+    replace()
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """The last state that was saved whole."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.read.parquet(f"{path}.new")
 
 
 def query_sample(papers: DataFrame, chunks: DataFrame, vector: Sequence[float], query: str, depth) -> DataFrame:

@@ -135,3 +135,16 @@ def test_a_load_that_stops_between_its_writes(spark, tmp_path, monkeypatch, stop
     assert sorted(map(tuple, done.collect())) == [(0, 1), (1, 1), (2, 1)]
     run()
     assert table.ledger().where("state = 'done'").count() == 3
+
+
+def test_a_state_outlives_a_crash_while_it_is_replaced(spark, tmp_path):
+    import os
+
+    from evidentia.operators import experiments as P
+
+    path = str(tmp_path / "state")
+    P.save_state(spark.range(4), path)
+    os.rename(path, f"{path}.new")  # as if the old one was just deleted
+    assert P.load_state(spark, path).count() == 4
+    P.save_state(spark.range(6), path)
+    assert P.load_state(spark, path).count() == 6 and not os.path.exists(f"{path}.new")
