@@ -111,6 +111,16 @@ def rate(part: Column, whole: Column) -> Column:
     return F.round(F.try_divide(part, whole), 4)
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """A double at some digits, by its product with their power of ten.
+
+    ``round`` looks at the shortest decimal of the quotient, which can lie just
+    below a half that the quotient stands for: 0.333171 / 0.2.
+    """
+    scale = F.lit(10.0**digits)
+    return F.round(col(c) * scale) / scale
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval, (0, 0) of nothing."""
     n = n.cast("double")

@@ -57,7 +57,7 @@ def l_budget_warning(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = log(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("i"), F.sum("tokens").alias("t"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("double").alias("c"))
     limits = {"iterations": 60, "tokens": 2400, "cost_usd": 0.2, "backtracks": 0}
     used = {"iterations": F.col("i"), "tokens": F.col("t"), "cost_usd": F.col("c"), "backtracks": F.lit(3)}
-    return runs.select("run_id", A.budget_warning(used, limits).alias("w")).select("run_id", "w.cap", F.round("w.share", 5).alias("share"))
+    return runs.select("run_id", A.budget_warning(used, limits).alias("w")).select("run_id", "w.cap", X.rounded("w.share", 5).alias("share"))
 
 
 L_WARNING = f"""WITH {LOG}, r AS (SELECT run_id, count(*) / 60 AS i, sum(tokens) / 2400 AS t, sum(cost_usd::DECIMAL(18,6))::DOUBLE / 0.2::DOUBLE AS c FROM log GROUP BY run_id), m AS (SELECT *, greatest(i, t, c) AS top FROM r)
