@@ -87,7 +87,7 @@ def chunk_uuid(paper: Column | str, section: Column | str, order: Column | str)
 def cited_ids(c: Column | str) -> Column:
     """Chunk and paper ids of a text in its order, distinct, versions cut off."""
     found = F.regexp_extract_all(col(c), F.lit(rf"\b({lex.UUID}|{lex.PAPER_ID}(?:v\d+)?)\b"), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda x: F.when(F.length(x) < 20, F.regexp_replace(x, r"v\d+$", "")).otherwise(x)))
+    return F.array_distinct(F.transform(found, lambda x: F.when(F.contains(x, F.lit("-")), x).otherwise(F.regexp_replace(x, r"v\d+$", ""))))
 
 
 def quoted_spans(c: Column | str) -> Column:
