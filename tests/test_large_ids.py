@@ -29,7 +29,7 @@ def test_ids_of_many_digits(spark):
     assert spark.range(1).select(X.cited_ids(F.lit(text)).alias("x")).first()["x"] == ["2103.00020", "1501.100000", "2612.12345678"]
 
 
-@pytest.mark.parametrize("name", ["a_claim_scores", "v_cited_ids", "v_claim_units", "v_resolve"])
+@pytest.mark.parametrize("name", ["a_claim_scores", "v_cited_ids", "v_claim_units", "v_resolve", "r_paper_envelope"])
 def test_queries_over_later_documents(spark, later, name):
     query, sql = registry.ALL[name]
     out = query(spark, later)
