@@ -1,10 +1,10 @@
 """An inverted index of words: ranked search that skips blocks, and phrases.
 
-The index is a table of (term, block of documents): the documents as distances
-from one to the next, each one's weight of the term, its length and the term's
-positions, as distances too, and the greatest share of a score that any of them
-can have. It is partitioned by a hash of the term, so that a search reads only
-its own terms' files.
+The index is a table of (term, block of documents): the documents as places in
+the block, each one's weight of the term, its length and the term's positions,
+and the greatest share of a score that any of them can have. It is partitioned
+by a hash of the term, so that a search reads only its own terms' files. What a
+batch of texts has of a block and a bucket of terms is sent as one row.
 
 Ranked search (BM25) first adds up these greatest shares by block. The most
 promising blocks are scored; the k-th score found there is a bound, and only
@@ -21,10 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as X
+from evidentia.sources.shared import bound_batches, small_batches
 
 #: Ids of a block: documents with the same ``id // BLOCK_IDS``.
 BLOCK_IDS = 1_024
@@ -32,11 +35,18 @@ BUCKETS = 32
 #: Blocks that give the first bound of a ranked search.
 FIRST_BLOCKS = 8
 K1, B = 1.2, 0.75
+#: Files that a bucket's blocks are dealt to.
+SLOTS = 8
 #: Places between two fields, so that no phrase runs from one into the next.
 GAP = 1_000
 POSTINGS = (
-    "term string, block long, most double, documents int, steps array<long>, weight array<double>, length array<int>, "
-    "places array<array<int>>, bucket int"
+    "term string, block long, most double, documents int, ids array<int>, weight array<double>, length array<int>, "
+    "starts array<int>, places array<int>, bucket int"
+)
+#: Terms with the number of their documents; these, with the number of their places; these.
+CHUNKS = (
+    "bucket int, block long, terms array<string>, sizes array<int>, ids array<int>, weight array<double>, length array<int>, "
+    "counts array<int>, places array<int>"
 )
 
 
@@ -84,55 +94,119 @@ def impact(weight: Column, length: Column, mean: float) -> Column:
     return weight * (K1 + 1) / (weight + K1 * (1 - B + B * length / F.lit(max(mean, 1e-9))))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(X.normalize_span(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
+def _plain(text: Column) -> Column:
+    """The words of a text, with one space between them."""
+    return X.normalize_span(F.coalesce(text, F.lit("")))
+
+
+def _lists(values: np.ndarray | pa.Array, ends: np.ndarray, kind: pa.DataType | None = None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values, kind))
+
+
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(sizes)].astype(np.int64)
 
 
-def _postings(weights: list[float]):
-    """One row for each document and term: weight, length and places, of words in fields."""
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where rows begin whose keys differ from those before."""
+    return np.flatnonzero(np.r_[True, np.any([np.diff(k) != 0 for k in keys], axis=0)])
+
+
+def _chunks(weights: list[float]):
+    """What a batch of texts, words in fields, has of each bucket and block: one row, by term and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            batch = batch.take(pc.array_sort_indices(batch.column("id")))
+            ids = np.asarray(batch.column("id"), np.int64)
             doc, place, words, weight = [], [], [], []
             start = np.zeros(batch.num_rows, np.int64)
             length = np.zeros(batch.num_rows, np.int64)
             for k, w in enumerate(weights):
-                field = batch.column(f"f{k}")
-                sizes = np.diff(np.asarray(field.offsets, np.int64))
+                text = batch.column(f"f{k}")
+                field = pc.ascii_split_whitespace(pc.if_else(pc.equal(text, ""), None, text))
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(field), 0), np.int64)
                 row = np.repeat(np.arange(batch.num_rows), sizes)
                 doc.append(row)
-                place.append(np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[row])
+                place.append(np.arange(len(row)) - _ends(sizes)[row] + start[row])
                 words.append(field.flatten())
                 weight.append(np.full(len(row), w))
                 start += sizes + GAP
                 length += sizes
             coded = pa.concat_arrays(words).dictionary_encode()
             stems = [stem(w) for w in coded.dictionary.to_pylist()]
+            if not stems:
+                continue
             names = sorted(set(stems))
             number = {n: k for k, n in enumerate(names)}
             of_word = np.array([number[s] for s in stems], np.int64)
-            term = of_word[np.asarray(coded.indices, np.int64)] if len(stems) else np.empty(0, np.int64)
+            bucket = np.fromiter((xxhash.xxh64_intdigest(n, 42) for n in names), np.uint64, len(names)).view(np.int64) % BUCKETS
             doc, place, weight = map(np.concatenate, (doc, place, weight))
-            order = np.lexsort((place, doc, term))
+            term = of_word[np.asarray(coded.indices, np.int64)]
+            block, inside = np.divmod(ids, BLOCK_IDS)
+            nth = _ends(np.diff(block) != 0)  # of its block among the batch's
+            key = ((bucket[term] * (nth[-1] + 1) + nth[doc]) * len(names) + term) * batch.num_rows + doc
+            order = np.argsort(key, kind="stable")
             term, doc, place, weight = term[order], doc[order], place[order], weight[order]
-            first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(doc) != 0)]) if len(term) else np.empty(0, np.int64)
-            ends = np.r_[first, len(term)].astype(np.int32)
-            steps = np.diff(place, prepend=0)
-            steps[first] = place[first]
+            first = _changes(key[order])
+            counts, weight, term, doc = np.diff(np.r_[first, len(term)]), np.add.reduceat(weight, first), term[first], doc[first]
+            own, at = bucket[term], block[doc]
+            begin, part = _changes(own, at), _changes(own, at, term)
+            cut = np.r_[begin, len(term)]
+            of_terms = np.searchsorted(part, cut)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(names, pa.string()).take(pa.array(term[first])), batch.column("id").take(pa.array(doc[first])),
-                    pa.array(np.add.reduceat(weight, first) if len(first) else np.empty(0)), pa.array(length[doc[first]].astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(steps.astype(np.int32))),
+                    pa.array(own[begin], pa.int32()), pa.array(at[begin]),
+                    _lists(pa.array(names, pa.string()).take(pa.array(term[part])), of_terms), _lists(np.diff(np.r_[part, len(term)]), of_terms, pa.int32()),
+                    _lists(inside[doc], cut, pa.int32()), _lists(weight, cut), _lists(length[doc], cut, pa.int32()), _lists(counts, cut, pa.int32()),
+                    _lists(place, _ends(counts)[cut], pa.int32()),
                 ],
-                ["term", "id", "weight", "length", "places"],
+                ["bucket", "block", "terms", "sizes", "ids", "weight", "length", "counts", "places"],
             )
 
     return run
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of chunks that come in order of bucket and block: one row for each term and block."""
+
+    def postings(held: list[dict[str, np.ndarray]], bucket: int, block: int) -> pa.RecordBatch:
+        values = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        names, term = np.unique(values["terms"], return_inverse=True)
+        term = np.repeat(term, values["sizes"])
+        order = np.lexsort((values["ids"], term))
+        counts, term = values["counts"][order], term[order]
+        # Places go where their documents go.
+        ends = _ends(counts)
+        moved = np.repeat(_ends(values["counts"])[:-1][order] - ends[:-1], counts) + np.arange(ends[-1])
+        cut = np.r_[_changes(term), len(term)]
+        row = np.repeat(np.arange(len(names)), np.diff(cut))
+        # One more start than documents in a row: where the places of its last one end.
+        starts = np.insert(ends[:-1] - ends[cut][row], cut[1:], np.diff(ends[cut]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(names), bucket), pa.int32()), pa.array(np.full(len(names), block), pa.int64()), pa.array(names.tolist(), pa.string()),
+                _lists(values["ids"][order], cut, pa.int32()), _lists(values["weight"][order], cut), _lists(values["length"][order], cut, pa.int32()),
+                _lists(starts, cut + np.arange(len(cut)), pa.int32()), _lists(values["places"][moved], ends[cut], pa.int32()),
+            ],
+            ["bucket", "block", "term", "ids", "weight", "length", "starts", "places"],
+        )
+
+    at, held = None, []
+    for batch in batches:
+        columns = {c: batch.column(c) for c in ("terms", "sizes", "ids", "weight", "length", "counts", "places")}
+        for k, key in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+            if key != at and held:
+                yield postings(held, *at)
+                held = []
+            at = key
+            held.append({c: v[k].values.to_numpy(zero_copy_only=False) for c, v in columns.items()})
+    if held:
+        yield postings(held, *at)
+
+
 def build_text_index(docs: DataFrame, path: str, fields: Mapping[str, float], id_: str = "doc_id") -> TextIndex:
     """Index the ``fields`` (column and weight of a word there) of all documents.
 
@@ -141,28 +215,19 @@ def build_text_index(docs: DataFrame, path: str, fields: Mapping[str, float], id
     """
     spark = docs.sparkSession
     kept = docs.where(F.col(id_).isNotNull()).select(
-        F.col(id_).cast("long").alias("id"), *(_words(F.col(c)).alias(f"f{k}") for k, c in enumerate(fields))
+        F.col(id_).cast("long").alias("id"), *(_plain(F.col(c)).alias(f"f{k}") for k, c in enumerate(fields))
     )
-    words = sum((F.size(f"f{k}") for k in range(len(fields))), F.lit(0))
+    words = sum((F.when(F.col(f"f{k}") == "", 0).otherwise(F.regexp_count(f"f{k}", F.lit(" ")) + 1) for k in range(len(fields))), F.lit(0))
     count, total = kept.agg(F.count("*"), F.sum(words)).first()
     mean = (total or 0) / max(1, count)
-    kind = "term string, id long, weight double, length int, places array<int>"
-    postings = kept.mapInArrow(_postings(list(fields.values())), kind).withColumn("block", F.floor(F.col("id") / BLOCK_IDS))
-    # A block's documents bound every group, however frequent the term.
-    blocks = postings.groupBy("term", "block").agg(
-        F.sort_array(F.collect_list(F.struct("id", "weight", "length", "places"))).alias("d"),
-        F.max(impact(F.col("weight"), F.col("length"), mean)).alias("most"),
-    )
-
-    def distance(x: Column, k: Column) -> Column:
-        return x["id"] - F.coalesce(F.get(F.col("d"), k - 1)["id"], F.col("block") * BLOCK_IDS)
-
-    table = blocks.select(
-        bucket_of(F.col("term")).alias("bucket"), "term", "block", "most", F.size("d").alias("documents"),
-        F.transform("d", distance).alias("steps"), *(F.col("d")[n].alias(n) for n in ("weight", "length", "places")),
-    )
-    dealt = table.repartition("bucket", F.pmod("block", F.lit(8))).sortWithinPartitions("bucket", "term", "block")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    kind = "bucket int, block long, term string, ids array<int>, weight array<double>, length array<int>, starts array<int>, places array<int>"
+    with small_batches(spark):
+        chunks = kept.mapInArrow(_chunks(list(fields.values())), CHUNKS)
+        # A block's documents bound what meets, however frequent a term.
+        dealt = chunks.repartition("bucket", F.pmod("block", F.lit(SLOTS))).sortWithinPartitions("bucket", "block")
+        most = F.array_max(F.zip_with("weight", "length", lambda w, n: impact(w, n, mean)))
+        table = dealt.mapInArrow(_rows_of, kind).withColumns({"most": most, "documents": F.size("ids")})
+        table.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
     spark.createDataFrame([(count, float(mean))], "documents long, mean_length double").coalesce(1).write.parquet(f"{path}/index")
     return TextIndex(path, count, mean)
 
@@ -173,19 +238,22 @@ def open_text_index(spark: SparkSession, path: str) -> TextIndex:
     return TextIndex(path, count, mean)
 
 
-def _running(steps: Column, start: Column) -> Column:
-    """Sums of distances: the numbers that they lead to."""
-    last = F.lit(None).cast("long")
-    return F.aggregate(
-        steps, F.struct(start.cast("long").alias("at"), F.slice(F.array(last), 1, 0).alias("out")),
-        lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")), lambda s: s["out"],
-    )
+def _opened(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row for each term and document: ``term, id`` and some of ``weight, length, places``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (term, block) in enumerate(zip(batch.column("term").to_pylist(), batch.column("block").to_pylist(), strict=True)):
+                value = {c: batch.column(c)[k].values for c in batch.schema.names[2:]}
+                if "places" in value:
+                    value["places"] = _lists(value["places"], np.asarray(value["starts"]))
+                ids = pa.array(np.asarray(value["ids"], np.int64) + block * BLOCK_IDS)
+                yield pa.RecordBatch.from_arrays([pa.array([term] * len(ids), pa.string()), ids, *(value[c] for c in columns)], ["term", "id", *columns])
 
-def _opened(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row for each term and document."""
-    ids = _running(F.col("steps"), F.col("block") * BLOCK_IDS).alias("id")
-    return rows.select("term", ids, *columns).select("term", F.inline(F.arrays_zip("id", *columns)))
+    bound_batches(rows.sparkSession)
+    kinds = {"weight": "double", "length": "int", "places": "array<int>"}
+    held = rows.select("term", "block", "ids", *columns, *(["starts"] if "places" in columns else []))
+    return held.mapInArrow(run, ", ".join(["term string, id long", *(f"{c} {kinds[c]}" for c in columns)]))
 
 
 def search(spark: SparkSession, index: TextIndex, query: str, k: int, first_blocks: int = FIRST_BLOCKS) -> DataFrame:
@@ -233,9 +301,7 @@ def phrase(spark: SparkSession, index: TextIndex, text: str) -> DataFrame:
     rows = index.postings(spark, terms)
     several = len(set(terms))
     shared = rows.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") == several).select("block")
-    opened = _opened(rows.join(shared, "block", "left_semi"), "places")
-    places = opened.withColumn("places", _running(F.col("places"), F.lit(0)))
-    by_doc = places.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("of")).where(F.size("of") == several)
+    by_doc = _opened(rows.join(shared, "block", "left_semi"), "places").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("of")).where(F.size("of") == several)
     starts = None
     for k, term in enumerate(terms):
         here = F.transform(F.col("of")[term], lambda p: p - k)

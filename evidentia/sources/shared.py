@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch; Spark's own bound is 10,000 rows of whole texts, or 64 MB.
+ARROW_BYTES = 4 << 20
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes from now on, unless the session sets a bound itself."""
+    if spark.conf.get(_BOUND, None) is None:
+        spark.conf.set(_BOUND, str(ARROW_BYTES))
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Arrow batches are bounded by bytes, whatever the session sets."""
+    before = spark.conf.get(_BOUND, None)
+    spark.conf.set(_BOUND, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BOUND) if before is None else spark.conf.set(_BOUND, before)

@@ -115,3 +115,39 @@ def test_text_index_of_nothing(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, title string, text string")
     index = T.build_text_index(none, f"{tmp_path}/t", {"title": 1.0, "text": 0.1})
     assert T.search(spark, index, "a", 3).collect() == T.phrase(spark, index, "a").collect() == []
+
+
+def test_chunks_of_a_block_from_several_batches_are_one_row(spark, tmp_path):
+    """Documents out of order, over many tasks: every term has one row a block, its documents in order."""
+    docs = [d for d in corpus(8) if d[0] is not None]
+    random.Random(1).shuffle(docs)
+    rows = spark.createDataFrame(docs, "doc_id long, title string, text string").repartition(7)
+    index = T.build_text_index(rows, f"{tmp_path}/t", {"title": 1.0, "text": 0.1})
+    table = spark.read.schema(T.POSTINGS).parquet(f"{index.path}/postings").collect()
+    assert len({(r.term, r.block) for r in table}) == len(table)
+    for r in table:
+        assert r.ids == sorted(set(r.ids)) and r.documents == len(r.ids) == len(r.weight) == len(r.length) == len(r.starts) - 1
+        assert r.starts[0] == 0 and r.starts[-1] == len(r.places) and r.starts == sorted(set(r.starts))
+
+
+def test_batches_of_texts_are_bounded_while_an_index_is_built(spark, tmp_path, monkeypatch):
+    """Long texts reach a worker in small batches, not ten thousand at a time."""
+    name, largest = "spark.sql.execution.arrow.maxBytesPerBatch", spark.sparkContext.accumulator(0)
+    before, chunks = spark.conf.get(name, None), T._chunks
+
+    def counted(weights):
+        run = chunks(weights)
+
+        def watch(batches):
+            for batch in batches:
+                if batch.nbytes > 12 << 20:
+                    largest.add(1)
+                yield from run(iter([batch]))
+
+        return watch
+
+    monkeypatch.setattr(T, "_chunks", counted)
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("many of the words "), 5_000).alias("text"))
+    index = T.build_text_index(docs, f"{tmp_path}/t", {"text": 1.0})
+    assert largest.value == 0 and spark.conf.get(name, None) == before
+    assert T.phrase(spark, index, "of the").agg(F.count("*"), F.sum("times")).first()[:] == (400, 400 * 5_000)
