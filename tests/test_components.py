@@ -82,3 +82,21 @@ def test_triples_of_a_graph_have_numbers_of_their_own(spark):
     rows = G.build_kg(chunks, many)["extracted"].orderBy("ord").select("ord", "chunk_uuid", "place").collect()
     assert len({r.ord for r in rows}) == len(rows) == 5010
     assert [(r.chunk_uuid, r.place) for r in rows] == sorted((r.chunk_uuid, r.place) for r in rows)
+
+
+def test_edges_that_no_cycle_can_have_reach_no_group(spark, monkeypatch):
+    """Thousands of one-edge graphs, chains and one cycle: only the cycle's graph is worked on."""
+    rows = [(f"p{k}", "a", "b", k, 0.5) for k in range(300)]
+    rows += [("ring", "a", "b", 1000, 0.9), ("ring", "b", "c", 1001, 0.2), ("ring", "c", "a", 1002, 0.7), ("ring", "x", "a", 1003, 0.1)]
+    rows += [("loop", "a", "a", 2000, 0.5), ("loop", "a", "b", 2001, 0.5)]
+    seen = spark.sparkContext.accumulator(0)
+    broken = C._broken
+
+    def counted(group):
+        seen.add(len(group))
+        return broken(group)
+
+    monkeypatch.setattr(C, "_broken", counted)
+    edges = spark.createDataFrame(rows, "problem string, a string, b string, ord long, score double")
+    assert sorted(r["ord"] for r in C.cycle_edges(edges).collect()) == [1001, 2000]
+    assert seen.value == 3
