@@ -11,10 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evidentia.sources.shared import written
 
 
+#: Rows and queries of a part of a cell.
+TILE_ROWS, TILE_QUERIES = 8_192, 4_096
+
+
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(products, F.lit(0.0).cast("double"), lambda s, x: s + x)
@@ -163,7 +168,9 @@ def cell_topk_many(
     Centres are fitted on the ``sample_rows`` rows with the least hashes of
     their id; every row is indexed, in the cell of its nearest centre. A query
     looks at the ``probes`` nearest cells, exactly; a cell is dealt to
-    ``salts`` parts, each of which meets the cell's queries. Columns as
+    ``salts`` parts or more, of about ``TILE_ROWS`` rows, and its queries to
+    parts of about ``TILE_QUERIES``. Each two parts that meet are one product
+    of matrices, which leaves ``k`` rows of each query. Columns as
     ``topk_many``.
     """
     centres = cell_centres(rows, cells, sample_rows, vector, id_)
@@ -173,7 +180,10 @@ def cell_topk_many(
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                near = np.argsort(-(_unit_rows(batch.column("v")) @ centres.T), axis=1, kind="stable")[:, :count]
+                # A single cell is everyone's; that of no rows has no length.
+                near = np.zeros((batch.num_rows, 1), np.int64)
+                if len(centres) > 1:
+                    near = np.argsort(-(_unit_rows(batch.column("v")) @ centres.T), axis=1, kind="stable")[:, :count]
                 at = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), pa.array(near.ravel().astype(np.int32))], names=[*names, "cell"])
 
@@ -183,11 +193,30 @@ def cell_topk_many(
         picked = df.where(F.col(value).isNotNull()).select(F.col(key).alias(name), F.col(value).alias("v"))
         return picked.mapInArrow(nearest(count, [name, "v"]), T.StructType([*picked.schema.fields, T.StructField("cell", T.IntegerType())]))
 
-    index = dealt(rows, "id", id_, vector, 1).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    asked = dealt(queries, "q", query_id, query_vector, probes).withColumnRenamed("v", "qv").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    pairs = index.join(asked, ["cell", "salt"]).select("q", "id", cosine(F.col("v"), F.col("qv")).alias("sim"))
+    index, asked = dealt(rows, "id", id_, vector, 1), dealt(queries, "q", query_id, query_vector, probes)
+    salts = max(salts, -(-rows.count() // (len(centres) * TILE_ROWS)))
+    shares = max(1, -(-queries.count() * min(probes, len(centres)) // (len(centres) * TILE_QUERIES)))
+    salt, share = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"), F.pmod(F.xxhash64("q"), F.lit(shares)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.withColumn("salt", salt).withColumn("share", every(shares))
+    right = asked.withColumn("share", share).withColumn("salt", every(salts))
+    tile = ["cell", "salt", "share"]
+
+    kinds = T.StructType([T.StructField("q", asked.schema["q"].dataType), T.StructField("id", index.schema["id"].dataType), T.StructField("sim", T.DoubleType())])
+    none = to_arrow_schema(kinds).empty_table()
+
+    def best(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not own.num_rows or not wanted.num_rows:
+            return none
+        own = own.take(pc.sort_indices(own, [("id", "ascending")]))
+        x, y, place = _unit_rows(own.column("v")), _unit_rows(wanted.column("v")), np.arange(own.num_rows)
+        step = max(1, (1 << 22) // len(x))
+        near = [(at, sims[at]) for a in range(0, len(y), step) for sims in y[a : a + step] @ x.T for at in [_best_rows(sims, place, k)]]
+        of = np.repeat(np.arange(len(y)), [len(at) for at, _ in near])
+        at, sims = (np.concatenate(part) for part in zip(*near, strict=True))
+        return pa.table({"q": wanted.column("q").take(pa.array(of)), "id": own.column("id").take(pa.array(at)), "sim": pa.array(sims)})
+
+    pairs = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(best, kinds)
     order = Window.partitionBy("q").orderBy(F.desc("sim"), "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         F.col("q").alias(query_id), "rank", F.col("id").alias(id_), "sim"

@@ -175,3 +175,18 @@ def test_cell_index_with_one_hot_cell_and_nulls(spark):
     got = cell_topk_many(rows, queries, 3).orderBy("rank").collect()
     assert [(r["query_id"], r["doc_id"]) for r in got] == [(1, 1), (1, 2), (1, 4)]
     assert cell_topk_many(rows.limit(0), queries, 3).count() == 0 == cell_topk_many(rows, queries.limit(0), 3).count()
+
+
+def test_cells_in_many_parts_equal_the_exact_search(spark, monkeypatch):
+    """All cells looked at, in small parts of rows and of queries: the same rows; no pair is a row of a join."""
+    from evidentia.functions import vectors
+
+    monkeypatch.setattr(vectors, "TILE_ROWS", 5)
+    monkeypatch.setattr(vectors, "TILE_QUERIES", 3)
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    rows = rows.unionByName(rows.where("vec_id < 20").withColumn("vec_id", F.col("vec_id") + 1000))  # ties
+    queries = rows.where("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    found = cell_topk_many(rows, queries, 5, id_="vec_id", cells=4, probes=4, salts=1)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got, want = ({(r.query_id, r["rank"]): r.vec_id for r in x.collect()} for x in (found, topk_many(rows, queries, 5, id_="vec_id")))
+    assert got == want
