@@ -40,10 +40,13 @@ from evidentia.llm.common import give_back, list_array, partitions, ragged, stor
 LONG = 60
 #: Distinct words that are looked up; the others are encoded where they stand.
 WORDS = 1 << 20
-#: No rank: greater than all.
-NONE = (1 << 31) - 1
-#: Bits of an id in the table's entries.
+#: Bits of an id in the table's entries, and in a token of the fold.
 BITS = 21
+#: No rank: greater than all.
+NONE = 1 << BITS
+#: Where a token's rank begins; its place is below, of as many bytes as no fold can reach.
+RANK_AT = 41
+PLACE = (1 << RANK_AT) - (1 << BITS)
 
 # Letters and numbers that newer versions of Unicode have and
 # Java 17 does not know. With them the classes are those of the library.
@@ -78,11 +81,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def flat_ranges(ranges: tuple) -> str:
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
+def newer_pattern() -> str:
+    """One of the newer letters and numbers; what stands before all of them is tested once."""
+    every = sorted(NEWER_LETTERS + NEWER_NUMBERS)
+    return f"[\\x{{{every[0][0]:X}}}-\\x{{{every[-1][1]:X}}}&&[{flat_ranges(tuple(every))}]]"
+
+
 def java_pattern(pattern: str) -> str:
     """The pattern for Java's matcher, with Unicode's white space, letters and numbers."""
-
-    def flat(ranges: tuple) -> str:
-        return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+    flat = flat_ranges
 
     def known(kind: str, ranges: tuple, within: bool) -> str:
         if within:
@@ -160,6 +171,9 @@ class Codec:
         if min(ranks.values()) < 0 or max(ranks.values()) >= 1 << BITS:
             raise ValueError(f"ranks of more than {BITS} bits")
         self.pattern = java_pattern(pattern)
+        #: The same but for the newer letters and numbers; three times as fast.
+        self.plain = "(?U)" + pattern
+        self.newer = newer_pattern()
         self.size = max(ranks.values()) + 1
         self.bytes_of = [ranks[bytes([b])] for b in range(256)]
         pairs = {}
@@ -188,8 +202,13 @@ class Codec:
         )
 
     def words(self, text: Column) -> Column:
-        """The matches of the pattern in a text; null has none."""
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+        """The matches of the pattern in a text; null has none.
+
+        Only texts with a newer letter or number need the pattern that names them.
+        """
+        text = F.coalesce(text, F.lit(""))
+        plain, whole = (F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (self.plain, self.pattern))
+        return F.when(text.rlike(self.newer), whole).otherwise(plain)
 
     def _rank(self, known: Column, left: Column, right: Column) -> Column:
         """Rank of two neighbours joined, or NONE."""
@@ -216,38 +235,45 @@ class Codec:
         return F.transform(letters, lambda c: known["bytes"][F.ascii(c)])
 
     def _fold(self, known: Column, start: Column) -> Column:
-        """Ids of a short array of ids, merged as far as ranks go."""
+        """Ids of a short array of ids, merged as far as ranks go.
+
+        A token is one long: the rank of itself and the next one joined, its
+        place at the start, its id. So the least of them is the pair to merge,
+        the leftmost of equals, and a merge makes one array.
+        """
 
-        def at(ids: Column, k: Column) -> Column:
-            return F.get(ids, k)
+        def token(rank: Column, rest: Column) -> Column:
+            return F.shiftleft(rank.cast("bigint"), RANK_AT).bitwiseOR(rest)
 
-        def merge(state: Column) -> Column:
-            ids, ranks = state["ids"], state["ranks"]
+        def id_of(x: Column) -> Column:
+            return x.bitwiseAND(F.lit((1 << BITS) - 1))
 
+        def merge(tokens: Column) -> Column:
             def with_least(least: Column) -> Column:
+                rank = F.shiftright(least, RANK_AT)
+
                 def with_place(p: Column) -> Column:  # 1-based place of the left one
-                    before = F.when(
-                        p > 1,
-                        F.concat(F.slice(ranks, 1, p - 2), F.array(self._rank(known, at(ids, p - 2), least))),
-                    ).otherwise(F.slice(ranks, 1, 0))
-                    after = F.when(
-                        p < F.size(ranks),
-                        F.concat(F.array(self._rank(known, least, at(ids, p + 1))), F.slice(ranks, p + 2, F.size(ranks))),
-                    ).otherwise(F.slice(ranks, 1, 0))
-                    joined = F.concat(F.slice(ids, 1, p - 1), F.array(least), F.slice(ids, p + 2, F.size(ids)))
-                    return F.struct(joined.alias("ids"), F.concat(before, after).alias("ranks"))
-
-                place = F.array_position(ranks, least).cast("int")
-                return F.when(F.coalesce(least, F.lit(NONE)) == NONE, state).otherwise(let(place, with_place))
-
-            return let(F.array_min(ranks), with_least)
+                    before, after = F.get(tokens, p - 2), F.get(tokens, p + 1)
+                    ahead = F.when(p + 1 < F.size(tokens), self._rank(known, rank, id_of(after))).otherwise(F.lit(NONE))
+                    own = token(ahead, least.bitwiseAND(F.lit(PLACE)).bitwiseOR(rank))
+                    left = token(self._rank(known, id_of(before), rank), before.bitwiseAND(F.lit((1 << RANK_AT) - 1)))
+                    return F.when(p == 1, F.concat(F.array(own), F.slice(tokens, 3, F.size(tokens)))).otherwise(
+                        F.concat(F.slice(tokens, 1, p - 2), F.array(left, own), F.slice(tokens, p + 2, F.size(tokens)))
+                    )
+
+                return F.when(least >= F.lit(NONE << RANK_AT), tokens).otherwise(let(F.array_position(tokens, least).cast("int"), with_place))
+
+            return let(F.array_min(tokens), with_least)
 
         def run(first: Column) -> Column:
-            ranks = F.transform(
-                F.slice(first, 2, F.size(first)), lambda right, k: self._rank(known, first[k], right)
+            def begin(x: Column, k: Column) -> Column:
+                ahead = F.when(k + 1 < F.size(first), self._rank(known, x, F.get(first, k + 1))).otherwise(F.lit(NONE))
+                return token(ahead, F.shiftleft(k.cast("bigint"), BITS).bitwiseOR(x))
+
+            return F.aggregate(
+                F.slice(first, 2, F.size(first)), F.transform(first, begin), lambda s, _: merge(s),
+                lambda s: F.transform(s, lambda x: id_of(x).cast("int")),
             )
-            state = F.struct(first.alias("ids"), ranks.alias("ranks"))
-            return F.aggregate(F.slice(first, 2, F.size(first)), state, lambda s, _: merge(s), lambda s: s["ids"])
 
         return let(start, run)
 

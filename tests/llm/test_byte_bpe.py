@@ -5,6 +5,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from evidentia.llm import byte_bpe, queries
 
@@ -63,3 +64,23 @@ def test_query(spark, library):
         assert out[d.doc_id].n_tokens == len(ids)
         assert out[d.doc_id].ids_sha256 == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
         assert out[d.doc_id].decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_only_texts_with_newer_letters_meet_the_long_pattern(spark, library):
+    """Both patterns agree elsewhere, and what chooses between them knows every newer letter and number."""
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(PATH), PATTERN)
+    edges = sorted({c + d for r in byte_bpe.NEWER_LETTERS + byte_bpe.NEWER_NUMBERS for c in r for d in (-1, 0, 1)})
+    rows = spark.createDataFrame([(c, f"a{chr(c)}1 {chr(c)}{chr(c)}, .{chr(c)}") for c in edges], "c int, text string")
+    got = rows.select("c", F.col("text").rlike(codec.newer).alias("newer"), codec.words(F.col("text")).alias("words"), codec.encoded(codec.words(F.col("text"))).alias("ids"), "text").collect()
+    for r in got:
+        assert r.newer == any(a <= r.c <= b for a, b in byte_bpe.NEWER_LETTERS + byte_bpe.NEWER_NUMBERS)
+        assert "".join(r.words) == r.text and list(r.ids) == library.encode_ordinary(r.text)
+    assert len(codec.plain) < 100 < len(codec.pattern)
+
+
+def test_a_fold_is_one_array_of_longs(spark, library):
+    codec = byte_bpe.Codec(byte_bpe.read_ranks(PATH), PATTERN)
+    words = ["a", "aaaaaaa", "ababababa", "mississippi" * 5, "é" * 30, "x" * 300]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", codec.with_map(lambda k: codec._fold(k, codec._start(k, F.col("w")))).alias("ids"))
+    assert [list(r.ids) for r in rows.collect()] == [library.encode_ordinary(w) for w in words]
+    assert byte_bpe.NONE << byte_bpe.RANK_AT < 1 << 63
