@@ -105,3 +105,30 @@ def test_parts_of_a_bucket_meet_where_needed(spark, monkeypatch):
     assert kept(spark, rows) == kept_by_jaccard(rows)
     monkeypatch.setattr(near_copies, "bucket_keys", lambda sets: near_copies.np.zeros((len(sets), 2), "i8"))
     assert kept(spark, rows) == kept_by_jaccard(rows)  # all texts in one bucket
+
+
+def test_candidates_are_found_by_simhash():
+    """Bits are majorities of the shingles' hashes; pairs at 0.8 differ in few and share a band."""
+    np = near_copies.np
+    rng = np.random.default_rng(7)
+    sets = []
+    for k in range(60):
+        both, own = rng.integers(0, 1 << 63, (160 + 40 * k, ), np.uint64), rng.integers(0, 1 << 63, (2, 20 + 5 * k), np.uint64)
+        sets += [np.unique(np.concatenate([both, x])) for x in own]  # 0.8 each
+    prints = near_copies.simhashes(sets)
+    h = (sets[5] ^ near_copies._MIX[0, 3]) * (near_copies._MIX[1, 3] | np.uint64(1))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    ones = [int((h >> np.uint64(b) & np.uint64(1)).sum()) * 2 > len(h) for b in range(64)]
+    assert int(prints[5, 3]) == sum(1 << b for b, one in enumerate(ones) if one)
+    keys = near_copies.bucket_keys(prints)
+    assert keys.shape == (120, near_copies.BANDS) and (keys >> near_copies.BAND_BITS == np.arange(near_copies.BANDS)).all()
+    assert (keys[::2] == keys[1::2]).any(axis=1).all()
+    rows = np.argsort(keys, axis=None, kind="stable")
+    x, y = near_copies.close_pairs(keys.ravel()[rows], prints[rows // near_copies.BANDS, : near_copies.PRINT])
+    linked = {tuple(sorted((int(a), int(b)))) for a, b in zip(rows[x] // near_copies.BANDS, rows[y] // near_copies.BANDS, strict=True)}
+    assert linked == {(k, k + 1) for k in range(0, 120, 2)}
+    alike = np.repeat(prints[:1], 200, axis=0)
+    x, y = near_copies.close_pairs(np.zeros(200, "i8"), alike[:, : near_copies.PRINT])
+    assert len(x) == 199 and set(y.tolist()) == set(range(1, 200))
