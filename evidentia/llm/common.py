@@ -237,14 +237,16 @@ def gathered(
 
 
 def connected_components(
-    links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60
+    links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, share: int | None = None
 ) -> DataFrame:
     """Smallest node reachable from each node of an undirected edge list.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until
     the edges no longer change; each step is two shuffles of the edges, whose
     number never grows. The result has ``node`` and ``component`` for every
-    node of an edge; nothing is collected but two numbers a round.
+    node of an edge; nothing is collected but two numbers a round. With
+    ``share``, steps have a task for that many edges, not more: each task
+    leaves files for each of the shuffles.
     """
     edges = (
         links.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -254,24 +256,29 @@ def connected_components(
     )
     edges = checkpointed(edges)
     before: tuple | None = None
+    size = edges.count() if share else 0
+
+    def dealt(some: DataFrame) -> DataFrame:
+        return some.coalesce(max(1, -(-size // share))) if share else some
+
     for _ in range(rounds):
+        edges = dealt(edges)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour of u goes to u's smallest neighbour (or u).
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.where("v > u")
-            .join(least, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = dealt(
+            dealt(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
         # Small star: u and all its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        small = (
-            joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(joined.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
+        small = dealt(
+            dealt(
+                joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+                .unionByName(joined.select("u", F.col("m").alias("v")))
+                .where("u <> v")
+            ).distinct()
         )
         edges = checkpointed(small)
         now = tuple(

@@ -132,3 +132,45 @@ def test_candidates_are_found_by_simhash():
     alike = np.repeat(prints[:1], 200, axis=0)
     x, y = near_copies.close_pairs(np.zeros(200, "i8"), alike[:, : near_copies.PRINT])
     assert len(x) == 199 and set(y.tolist()) == set(range(1, 200))
+
+
+@pytest.mark.parametrize("pending, most", [(1 << 19, 1 << 21), (50, 20)])
+def test_links_of_a_group_are_fewer_than_its_members_in_a_task(spark, monkeypatch, pending, most):
+    """Near copies that meet in many small buckets: a task sends a forest, not pairs."""
+    monkeypatch.setattr(near_copies, "PENDING", pending, raising=False)
+    monkeypatch.setattr(near_copies, "HELD", most, raising=False)
+    np = near_copies.np
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, (3, 400), np.uint64)
+    sets = [np.unique(np.r_[b[40:], rng.integers(0, 1 << 63, 5, np.uint64)]) for b in base for _ in range(60)]
+    rows = [(k, p.tobytes()) for k, p in enumerate(near_copies.simhashes(sets))]
+    links = near_copies.simhash_links(spark.createDataFrame(rows, "node long, print binary"))
+    counts = [r["count"] for r in links.groupBy(near_copies.F.spark_partition_id()).count().collect()]
+    if most > 180:
+        assert max(counts) < 180
+    else:
+        assert sum(counts) < 104 * 180 / 4  # before: 30 a member and bucket
+    got = {r["node"]: r["component"] for r in near_copies.connected_components(links).collect()}
+    assert got == {k: k // 60 * 60 for k in range(180)}
+
+
+def test_stars_span_the_components_of_their_links():
+    np = near_copies.np
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 0), (10, 6), (300, 200), (300, 900), (1000, 999)):
+        name = rng.permutation(np.arange(n) * 7 - 500)
+        a, b = (np.arange(n)[:-1], np.arange(n)[1:]) if m == n - 1 else rng.integers(0, n, (2, m))
+        parent = list(range(n))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            parent[root(x)] = root(y)
+        groups = {}
+        for k in range(n):
+            groups.setdefault(root(k), []).append(int(name[k]))
+        want = sorted((min(g), x) for g in groups.values() for x in g if x != min(g))
+        assert sorted(zip(*(x.tolist() for x in near_copies.spanning_stars(name[a], name[b])))) == want
