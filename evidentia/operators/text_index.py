@@ -9,7 +9,8 @@ batch of texts has of a block and a bucket of terms is sent as one row.
 Ranked search (BM25) first adds up these greatest shares by block. The most
 promising blocks are scored; the k-th score found there is a bound, and only
 blocks that can reach it are read any further. Phrases are found by
-intersecting positions. Neither reads a text.
+intersecting positions. Neither reads a text. An index that is ranked only can
+be built without positions, which are most of it.
 """
 
 from __future__ import annotations
@@ -70,11 +71,12 @@ def query_terms(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Where an index lies, how many documents it has, and their mean length."""
+    """Where an index lies, how many documents it has, their mean length, and whether it has positions."""
 
     path: str
     documents: int
     mean_length: float
+    positions: bool = True
 
     def postings(self, spark: SparkSession, terms: list[str]) -> DataFrame:
         """The rows of some terms; the files of other buckets are not read."""
@@ -112,7 +114,7 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, np.any([np.diff(k) != 0 for k in keys], axis=0)])
 
 
-def _chunks(weights: list[float]):
+def _chunks(weights: list[float], positions: bool = True):
     """What a batch of texts, words in fields, has of each bucket and block: one row, by term and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +154,8 @@ def _chunks(weights: list[float]):
             term, doc, place, weight = term[order], doc[order], place[order], weight[order]
             first = _changes(key[order])
             counts, weight, term, doc = np.diff(np.r_[first, len(term)]), np.add.reduceat(weight, first), term[first], doc[first]
+            if not positions:
+                counts, place = np.zeros_like(counts), place[:0]
             own, at = bucket[term], block[doc]
             begin, part = _changes(own, at), _changes(own, at, term)
             cut = np.r_[begin, len(term)]
@@ -207,9 +211,11 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield postings(held, *at)
 
 
-def build_text_index(docs: DataFrame, path: str, fields: Mapping[str, float], id_: str = "doc_id") -> TextIndex:
+def build_text_index(docs: DataFrame, path: str, fields: Mapping[str, float], id_: str = "doc_id", positions: bool = True) -> TextIndex:
     """Index the ``fields`` (column and weight of a word there) of all documents.
 
+    Phrases need ``positions``; a ranked search does not.
+
     Ids are distinct whole numbers; rows with a null id are left out. A null
     field has no words; a document without words counts, but is never found.
     """
@@ -222,20 +228,20 @@ def build_text_index(docs: DataFrame, path: str, fields: Mapping[str, float], id
     mean = (total or 0) / max(1, count)
     kind = "bucket int, block long, term string, ids array<int>, weight array<double>, length array<int>, starts array<int>, places array<int>"
     with small_batches(spark):
-        chunks = kept.mapInArrow(_chunks(list(fields.values())), CHUNKS)
+        chunks = kept.mapInArrow(_chunks(list(fields.values()), *([] if positions else [False])), CHUNKS)
         # A block's documents bound what meets, however frequent a term.
         dealt = chunks.repartition("bucket", F.pmod("block", F.lit(SLOTS))).sortWithinPartitions("bucket", "block")
         most = F.array_max(F.zip_with("weight", "length", lambda w, n: impact(w, n, mean)))
         table = dealt.mapInArrow(_rows_of, kind).withColumns({"most": most, "documents": F.size("ids")})
         table.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    spark.createDataFrame([(count, float(mean))], "documents long, mean_length double").coalesce(1).write.parquet(f"{path}/index")
-    return TextIndex(path, count, mean)
+    spark.createDataFrame([(count, float(mean), positions)], "documents long, mean_length double, positions boolean").coalesce(1).write.parquet(f"{path}/index")
+    return TextIndex(path, count, mean, positions)
 
 
 def open_text_index(spark: SparkSession, path: str) -> TextIndex:
     """An index that was built before, by another session too."""
-    count, mean = spark.read.parquet(f"{path}/index").first()
-    return TextIndex(path, count, mean)
+    held = spark.read.parquet(f"{path}/index").first().asDict()
+    return TextIndex(path, held["documents"], held["mean_length"], held.get("positions", True))
 
 
 def _opened(rows: DataFrame, *columns: str) -> DataFrame:
@@ -295,6 +301,8 @@ def ranked(spark: SparkSession, index: TextIndex, query: str, k: int, first_bloc
 
 def phrase(spark: SparkSession, index: TextIndex, text: str) -> DataFrame:
     """``id, times`` of all documents that have the words of ``text`` in a row, in any of their forms."""
+    if not index.positions:
+        raise ValueError("the index was built without positions")
     terms = query_terms(text)
     if not terms:
         return spark.createDataFrame([], "id long, times int")

@@ -320,10 +320,10 @@ SELECT CAST(pos AS INT) AS pos, arxiv_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (ORDER BY score DESC, arxiv_id) AS pos FROM scored WHERE score > 0) WHERE pos <= 50"""
 
 
-def text_index(spark: SparkSession, sf_dir: str) -> text_indexes.TextIndex:
+def text_index(spark: SparkSession, sf_dir: str, positions: bool = True) -> text_indexes.TextIndex:
     """First lines, counted ten times, and whole texts of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n")[0].alias("title"), "text")
-    return text_indexes.build_text_index(docs, f"{shared_dir(spark)}/words-{uuid.uuid4().hex}", {"title": 1.0, "text": 0.1})
+    return text_indexes.build_text_index(docs, f"{shared_dir(spark)}/words-{uuid.uuid4().hex}", {"title": 1.0, "text": 0.1}, positions=positions)
 
 
 def c_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -357,7 +357,7 @@ FROM w JOIN units u ON w.doc_id = u.doc_id"""
 
 def r_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best documents by weighted words in any form, from the inverted index."""
-    found = text_indexes.search(spark, text_index(spark, sf_dir), WORDS, 100)
+    found = text_indexes.search(spark, text_index(spark, sf_dir, positions=False), WORDS, 100)
     return found.select("pos", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 

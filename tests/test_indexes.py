@@ -151,3 +151,18 @@ def test_batches_of_texts_are_bounded_while_an_index_is_built(spark, tmp_path, m
     index = T.build_text_index(docs, f"{tmp_path}/t", {"text": 1.0})
     assert largest.value == 0 and spark.conf.get(name, None) == before
     assert T.phrase(spark, index, "of the").agg(F.count("*"), F.sum("times")).first()[:] == (400, 400 * 5_000)
+
+
+def test_an_index_without_positions_ranks_alike(spark, tmp_path):
+    docs = spark.createDataFrame(corpus(5), "doc_id long, title string, text string")
+    fields = {"title": 1.0, "text": 0.1}
+    whole = T.build_text_index(docs, f"{tmp_path}/whole", fields)
+    T.build_text_index(docs, f"{tmp_path}/ranked", fields, positions=False)
+    ranked = T.open_text_index(spark, f"{tmp_path}/ranked")
+    for query in ("city aids", "rare rares glasses of"):
+        rows = T.search(spark, whole, query, 50).collect()
+        assert rows and rows == T.search(spark, ranked, query, 50).collect()
+    table = spark.read.schema(T.POSTINGS).parquet(f"{ranked.path}/postings")
+    assert table.agg(F.max(F.size("places")), F.min(F.size("starts") - F.size("ids"))).first()[:] == (0, 1)
+    with pytest.raises(ValueError):
+        T.phrase(spark, ranked, "a a")
